@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import packing, sharding, simhash
-from quillon.llm.common import read_table
+from quillon.llm import packing, quality, sharding, simhash
+from quillon.llm.common import materialize, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,3 +38,11 @@ def op4_consistent_hash_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, bits=64, radius=2)
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    stats = materialize(quality.rule_statistics(docs), "quality-statistics")
+    judged = quality.judge(stats, read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "anomaly")
