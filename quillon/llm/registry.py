@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import packing, quality, sharding, simhash
-from quillon.llm.common import materialize, read_table
+from quillon.llm import langid, maxscore, packing, quality, sharding, simhash
+from quillon.llm.common import crc32_of_id, materialize, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,3 +46,38 @@ def op2_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialize(quality.rule_statistics(docs), "quality-statistics")
     judged = quality.judge(stats, read_table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "anomaly")
+
+
+@query
+def op5_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc32_of_id(F.col("doc_id")) % 4 == 2
+    found = langid.identify(docs, train=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return maxscore.search(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+SQL["op7_maxscore_top_k"] = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
