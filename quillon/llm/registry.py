@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import langid, maxscore, packing, quality, sharding, simhash
+from quillon.llm import langid, maxscore, mixing, packing, quality, sharding, simhash, spans
 from quillon.llm.common import crc32_of_id, materialize, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,81 @@ ranked AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+def mixture():
+    """Domain and weights of the tests and the pipeline: parts of a thousand, sources alike."""
+    digit = F.conv(F.substring(F.md5(F.coalesce("source", F.lit("")).cast("binary")), 1, 1), 16, 10).cast("int")
+    return F.concat(F.lit("d"), (digit % 4).cast("string")), {
+        "domain": F.expr("CASE domain WHEN 'd0' THEN 400 WHEN 'd1' THEN 300 WHEN 'd2' THEN 200 ELSE 100 END"),
+        "lang": F.expr("CASE lang WHEN 'en' THEN 500 WHEN 'fr' THEN 200 WHEN 'de' THEN 200 WHEN 'es' THEN 100 ELSE 50 END"),
+        "source": F.lit(1),
+    }
+
+
+@query
+def op1_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(read_table(spark, sf_dir, "documents"), *mixture())
+    return found.select(F.col("doc.doc_id").alias("doc_id"), *mixing.LEVELS, "n_tokens", "copies")
+
+
+def _level(name: str, parents: str, weight: str, given: str) -> str:
+    names = f"{parents}, {name}" if parents else name
+    part = f"PARTITION BY {parents}" if parents else ""
+    return f"""
+{name}_nodes AS (
+  SELECT n.*, {given} AS given FROM (
+    SELECT {names}, CAST(SUM(tokens) AS BIGINT) * 2 AS capacity, {weight} AS weight FROM leaves GROUP BY {names}
+  ) n {f"JOIN {parents.split(', ')[-1]}_filled p USING ({parents})" if parents else ""}
+),
+{name}_ranked AS (
+  SELECT *, COALESCE(SUM(capacity) OVER w, 0) AS spent,
+         SUM(weight) OVER ({part}) - COALESCE(SUM(weight) OVER w, 0) AS weights
+  FROM {name}_nodes
+  WINDOW w AS ({part} ORDER BY capacity / CAST(weight AS DOUBLE), {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+{name}_levels AS (
+  SELECT *, MAX(CAST(given - spent AS DOUBLE) / CAST(weights AS DOUBLE)) OVER ({part}) AS level FROM {name}_ranked
+),
+{name}_filled AS (
+  SELECT {names}, GREATEST(0, LEAST(capacity, CAST(floor(level * weight + 1e-6) AS BIGINT))) AS budget FROM {name}_levels
+),"""
+
+
+SQL["op1_hierarchical_mixing"] = (
+    """
+WITH rows_ AS (
+  SELECT doc_id, 'd' || CAST(CAST('0x' || substr(md5(COALESCE(source, '')), 1, 1) AS INTEGER) % 4 AS VARCHAR) AS domain,
+         COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+         CAST(COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens
+  FROM documents
+),
+leaves AS (SELECT domain, lang, source, CAST(SUM(n_tokens) AS BIGINT) AS tokens FROM rows_ GROUP BY ALL),"""
+    + _level("domain", "", "CASE domain WHEN 'd0' THEN 400 WHEN 'd1' THEN 300 WHEN 'd2' THEN 200 ELSE 100 END", "(SELECT SUM(tokens) FROM leaves)")
+    + _level("lang", "domain", "CASE lang WHEN 'en' THEN 500 WHEN 'fr' THEN 200 WHEN 'de' THEN 200 WHEN 'es' THEN 100 ELSE 50 END", "p.budget")
+    + _level("source", "domain, lang", "1", "p.budget")
+    + """
+plan AS (
+  SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs,
+         budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest
+  FROM source_filled JOIN leaves USING (domain, lang, source)
+),
+placed AS (
+  SELECT rows_.*, epochs, rest, md5('17:' || CAST(epochs AS VARCHAR) || ':' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM rows_ JOIN plan USING (domain, lang, source)
+),
+summed AS (
+  SELECT *, SUM(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, n_tokens RANGE UNBOUNDED PRECEDING) AS after,
+         SUM(n_tokens) OVER (PARTITION BY domain, lang, source, key, n_tokens) AS own
+  FROM placed
+)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs + CASE WHEN 2 * after - own <= 2 * rest THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM summed
+"""
+)
+
+
+@query
+def op9_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.dedup_spans(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "text", "n_sentences", "n_removed")
