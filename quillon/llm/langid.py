@@ -145,7 +145,7 @@ def sample(docs: DataFrame, docs_per_language: int, sample_chars: int) -> tuple[
     picked = (
         slim.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_language).select("doc_id", "lang").distinct()
     )
-    rows = slim.join(picked, ["doc_id", "lang"], "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, sample_chars).alias("text")).collect()
+    rows = slim.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, sample_chars).alias("text")).collect()
     held: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["doc_id"] or 0, r["text"])):
         now = held.get(r["lang"], "")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_batches, materialize, texts
+from quillon.llm.common import arrow_batches, hash_sample, materialize, texts
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
@@ -178,7 +178,7 @@ def judge(
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = stats.where("not base_failed").join(marks, "doc_id").select("doc_id", "quality", *STATS)
     labelled = materialize(labelled, "quality-labelled")
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(fit_rows).toPandas()
+    sample = hash_sample(labelled, fit_rows, "doc_id", *STATS).toPandas()
     good = sample[sample.quality == 1]
     forest = None
     if len(good):

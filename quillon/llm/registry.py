@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import langid, maxscore, mixing, packing, quality, sharding, simhash, spans
+from quillon.llm import langid, maxscore, mixing, mixlm, packing, quality, sharding, simhash, spans, suffixes
 from quillon.llm.common import crc32_of_id, materialize, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,17 @@ FROM summed
 def op9_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans.dedup_spans(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("doc.doc_id").alias("doc_id"), "text", "n_sentences", "n_removed")
+
+
+@query
+def op10_sparse_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_passages(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "begin", "end", (F.col("end") - F.col("begin")).alias("n_words"), "first_doc_id", "first_begin")
+
+
+@query
+def op8_context_mixing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = crc32_of_id(F.col("doc_id")) % 7 == 2
+    found = mixlm.score(docs, train=~held_out, label="lang")
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
