@@ -101,22 +101,23 @@ def encode(text: str, letters: str) -> np.ndarray:
 def parser(samples: tuple[tuple[str, str], ...]):
     """Names, letters, bits a phrase and the joint parsing table of all languages."""
     letters = alphabet(dict(samples))
-    tables, roots, at = [], [], 0
+    tables, starts, at = [], [], 0
     for _, text in samples:
         step = suffix_automaton(encode(text, letters), SYMBOLS).astype(np.int64)
+        step = np.vstack([step, np.full((1, SYMBOLS), -1)])  # the last state, where a parse starts, ends a phrase with any symbol
         end = step < 0
-        fresh = np.where(step[0] < 0, 0, step[0])  # after a phrase has ended the symbol begins the next
+        fresh = np.where(end[0], len(step) - 1, step[0])  # the symbol that ends a phrase begins the next; an unknown one is one
         target = np.where(end, fresh[None, :], step)
         tables.append((((target + at) * SYMBOLS) << 1 | end).ravel())
-        roots.append(at * SYMBOLS)
+        starts.append((at + len(step) - 1) * SYMBOLS)
         at += len(step)
     joint = np.concatenate(tables)
     kind = np.int32 if 2 * len(joint) < 2**31 else np.int64
     bits = np.array([np.log2(max(len(t), 2)) for _, t in samples])
-    return [n for n, _ in samples], letters, bits, joint.astype(kind), np.array(roots, kind)
+    return [n for n, _ in samples], letters, bits, joint.astype(kind), np.array(starts, kind)
 
 
-def phrases(texts: list[np.ndarray], table: np.ndarray, roots: np.ndarray) -> np.ndarray:
+def phrases(texts: list[np.ndarray], table: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """(language, text) counts of phrases."""
     sizes = np.array([len(t) for t in texts], np.int64)
     owner = np.repeat(np.arange(len(texts)), -(-sizes // BLOCK))
@@ -125,15 +126,15 @@ def phrases(texts: list[np.ndarray], table: np.ndarray, roots: np.ndarray) -> np
     ends = np.minimum(begins + BLOCK, np.cumsum(sizes)[owner]) if len(owner) else begins
     order = np.argsort(begins - ends, kind="stable")
     begins, size, owner = begins[order], (ends - begins)[order], owner[order]
-    state = np.repeat(roots[:, None], len(begins), axis=1)
-    count = np.ones(state.shape, table.dtype)
+    state = np.repeat(starts[:, None], len(begins), axis=1)
+    count = np.zeros(state.shape, table.dtype)
     live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
     for t, n in enumerate(live.tolist()):
         got = table[state[:, :n] + symbols[begins[:n] + t]]
         count[:, :n] += got & 1
         state[:, :n] = got >> 1
-    total = np.zeros((len(roots), len(texts)))
-    for lang in range(len(roots)):
+    total = np.zeros((len(starts), len(texts)))
+    for lang in range(len(starts)):
         np.add.at(total[lang], owner, count[lang])
     return total
 
@@ -165,9 +166,9 @@ def identify(docs: DataFrame, train: Column, docs_per_language: int = 64, sample
             pred, score = ["und"] * len(whole), [0.0] * len(whole)
             rows = [k for k, t in enumerate(whole) if any(map(str.isalpha, t))] if samples else []
             if rows:
-                names, letters, bits, table, roots = parser(samples)
+                names, letters, bits, table, starts = parser(samples)
                 coded = [encode(whole[k], letters) for k in rows]
-                entropy = phrases(coded, table, roots) * bits[:, None] / np.array([len(c) for c in coded])
+                entropy = phrases(coded, table, starts) * bits[:, None] / np.array([len(c) for c in coded])
                 ranked = np.sort(entropy, axis=0)
                 for k, best, one, two in zip(rows, entropy.argmin(axis=0), ranked[0], ranked[min(1, len(names) - 1)]):
                     pred[k], score[k] = names[best], float(1 - one / two) if len(names) > 1 else 1.0
