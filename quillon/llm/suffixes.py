@@ -95,6 +95,7 @@ def matches(docs: DataFrame, min_words: int, window: int, gram: int, margin: int
     place = F.struct("doc_id", "key", "at")
     runs = kept.groupBy("prefix").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     runs = runs.select("prefix", F.col("first.doc_id").alias("first_doc_id"), F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at"))
+    runs = materialize(runs, "suffix-runs")  # a table of its own, so that the join below may be split at a hot prefix
     members = kept.select("prefix", "key", "at").join(runs, "prefix")
     mine = members.groupBy("key").agg(F.collect_set(F.struct("at", "prefix", "first_doc_id", "first_key", "first_at")).alias("members"))
 
