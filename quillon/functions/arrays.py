@@ -81,10 +81,10 @@ def robust_scale(df: DataFrame, value: str, by: list[str] | None = None) -> Data
     """``scaled``: 0..255 between the 1st and 99th percentile, or the extremes if those meet; 127 for a constant."""
     marks = df.groupBy(*(by or [])).agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("p"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     joined = df.join(marks, by) if by else df.crossJoin(F.broadcast(marks))  # one row of marks
-    same = F.col("p")[1] <= F.col("p")[0]
+    same = F.col("p")[1] - F.col("p")[0] < 1e-6
     lo, hi = F.when(same, F.col("lo")).otherwise(F.col("p")[0]), F.when(same, F.col("hi")).otherwise(F.col("p")[1])
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(value) - lo) / F.nullif(hi - lo, F.lit(0.0))))
-    return joined.withColumn("scaled", F.coalesce((share * 255).cast("int"), F.lit(127))).drop("p", "lo", "hi")
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(value) - lo, hi - lo)))
+    return joined.withColumn("scaled", F.when(hi - lo < 1e-6, 127).otherwise((share * 255).cast("int"))).drop("p", "lo", "hi")
 
 
 def index_list(text: Column) -> Column:

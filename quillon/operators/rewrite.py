@@ -64,7 +64,7 @@ def merged_response(value: Column) -> Column:
     labels = merged_labels(answer)
     new = F.concat(F.lit("<answer>\n"), format_answer(labels), F.lit("\n</answer>"))
     full = F.concat(F.lit("<think>\n"), merged_think(think, labels), F.lit("\n</think>\n"), new)
-    return F.when(answer.isNull(), value).otherwise(F.coalesce(full, new))
+    return F.when(answer.isNull(), value).when(think.isNull(), new).otherwise(full)
 
 
 def new_instruction(value: Column, instruction: str) -> Column:
