@@ -40,7 +40,9 @@ def exact_sample(df: DataFrame, rate: float, key: str, seed: int = 42) -> DataFr
 def apportion(groups: DataFrame, label: str, size: str, first: str, total: int) -> DataFrame:
     """``take`` of each group: floors of the proportional shares, then one more by remainder, size and first appearance."""
     every = Window.partitionBy(F.lit(0))
-    share = F.col(size) * F.lit(total) / F.sum(size).over(every)
+    whole = F.sum(size).over(every)
+    enough = F.when(whole < total, F.raise_error(F.lit(f"{total} rows asked for, more than there are")).cast("long")).otherwise(whole)
+    share = F.col(size) * F.lit(total) / enough
     floors = groups.withColumn("share", share).withColumn("take", F.least(F.floor("share"), F.col(size)))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy((F.col("share") - F.floor("share")).desc(), F.col(size).desc(), first))
     left = F.lit(total) - F.sum("take").over(every)

@@ -450,15 +450,15 @@ def exact_sample_rate(spark, sf_dir):
 
 _SPLIT_SQL = """
 WITH n AS (SELECT quality || '/' || toxic AS label, doc_id, row_number() OVER (PARTITION BY quality, toxic ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM labels),
-g AS (SELECT label, count(*) AS n, min(doc_id) AS first, count(*) * 100 / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM n GROUP BY label),
-p AS (SELECT *, floor(share) AS fl, row_number() OVER (ORDER BY share - floor(share) DESC, n DESC, first) AS r, 100 - sum(floor(share)) OVER () AS rest FROM g),
+g AS (SELECT label, count(*) AS n, min(doc_id) AS first, count(*) * 50 / CAST(sum(count(*)) OVER () AS DOUBLE) AS share FROM n GROUP BY label),
+p AS (SELECT *, floor(share) AS fl, row_number() OVER (ORDER BY share - floor(share) DESC, n DESC, first) AS r, 50 - sum(floor(share)) OVER () AS rest FROM g),
 t AS (SELECT label, n, CAST(fl + CASE WHEN r <= rest THEN 1 ELSE 0 END AS BIGINT) AS take FROM p)
 """
 
 
 def _quality_split(spark, sf_dir):
     rows = table(spark, sf_dir, "labels")
-    return split.stratified_split(rows, F.concat_ws("/", "quality", "toxic"), "doc_id", 100)
+    return split.stratified_split(rows, F.concat_ws("/", "quality", "toxic"), "doc_id", 50)
 
 
 @query(_SPLIT_SQL + "SELECT doc_id, n.label, CASE WHEN rn <= take THEN 'test' ELSE 'train' END AS split FROM n JOIN t ON n.label = t.label")

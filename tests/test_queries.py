@@ -1,8 +1,10 @@
 """Every query against its SQL in DuckDB, on the smallest tables."""
 
 import os
+from numbers import Number
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -26,7 +28,7 @@ def canon(frame):
     names = sorted(frame.columns)
     out = []
     for row in frame[names].itertuples(index=False):
-        out.append(tuple(None if x is None or x != x else float(x) if isinstance(x, (int, float)) or hasattr(x, "dtype") and not hasattr(x, "__len__") else str(x) for x in row))
+        out.append(tuple(None if pd.isna(x) else float(x) if isinstance(x, Number) else str(x) for x in row))
     return names, sorted(out, key=repr)
 
 
