@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_batches, texts
+from quillon.llm.common import arrow_batches, materialize, texts
 
 END = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*")
 
@@ -84,6 +84,7 @@ def dedup_spans(
     found = slim.mapInArrow(spans, "h long, h2 int, doc_id long, key long, at int, n int")
     place = F.struct("doc_id", "key", "at")
     repeated = found.groupBy("h", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    repeated = materialize(repeated, "span-firsts")  # a table of its own, so that the join below may be split at a hot hash
     first = F.struct("first.key", "first.at")
     later = found.select("h", "h2", "key", "at", "n").join(repeated.select("h", "h2", first.alias("first")), ["h", "h2"])
     later = later.where((F.col("first.key") != F.col("key")) | (F.col("first.at") != F.col("at")))
