@@ -18,6 +18,11 @@ def _rx(pattern: str) -> Column:
     return F.lit(pattern)
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is named once, so that a long expression is neither copied nor evaluated again."""
+    return F.element_at(F.transform(F.array(value), lambda v: then(v)), 1)
+
+
 # -- white space and sentences ---------------------------------------------------------------
 
 
@@ -307,11 +312,18 @@ def clean_evidence(c: Column) -> Column:
 
 def object_prompt(c: Column, max_words: int) -> Column:
     """A bare noun phrase of at most max_words words; null if it names nothing."""
+    return let(_bare_object(c, max_words), _named)
+
+
+def _bare_object(c: Column, max_words: int) -> Column:
     p = squeeze(F.btrim(c, F.lit(EDGE)))
     p = F.regexp_replace(p, r"(?i)^(?:the|a|an|this|that)\s+", "")
     p = strip(F.regexp_replace(p, r"(?i)\b(?:that|which|who)$", ""))
     p = F.btrim(strip(F.regexp_replace(p, r"'s\b.*$", "")), F.lit(EDGE))
-    p = limit_words(p, max_words)
+    return let(p, lambda q: limit_words(q, max_words))
+
+
+def _named(p: Column) -> Column:
     low = F.lower(p)
     bad = low.isin(*BAD_PROMPTS) | F.exists(F.array(*map(F.lit, BAD_PROMPTS)), lambda b: F.startswith(low, F.concat(b, F.lit(" "))))
     return F.when((p != "") & ~bad, p)
@@ -319,7 +331,10 @@ def object_prompt(c: Column, max_words: int) -> Column:
 
 def heuristic_object_prompt(c: Column, max_words: int) -> Column:
     """The second of two things between which something happens, else what stands before a verb, else the sentence."""
-    text = first_sentence(clean_evidence(c))
+    return let(let(clean_evidence(c), first_sentence), lambda text: _heuristic(text, max_words))
+
+
+def _heuristic(text: Column, max_words: int) -> Column:
     taken = lambda pattern, k: F.when(text.rlike(pattern), object_prompt(F.regexp_extract(text, pattern, k), max_words))
     return F.when(
         text != "",

@@ -52,9 +52,9 @@ def issue_of(ev: Column) -> Column:
 
 
 def annotation(issue: str) -> Column:
-    """(decision, evidence, time_tag): a final evaluation of this very issue overrides the survey's columns."""
+    """(decision, evidence, time_tag) over survey columns and ``_ev``, the parsed evaluation: a final evaluation of this very issue overrides the survey's columns."""
     question, flag = ISSUES[issue][0], next((f for f, i in FLAGS.items() if i == issue), None)
-    ev = evaluation(F.col("final_eval_result"))
+    ev = F.col("_ev")
     start, end = final(question, "_start_sec"), final(question, "_end_sec")
     decision, evidence, tag = yes_no(final(question)), clean_text(final(question, "_1")), F.coalesce(range_tag(start, end), F.lit(""))
     if flag:
@@ -68,7 +68,7 @@ def annotation(issue: str) -> Column:
 def fragments(rows: DataFrame) -> DataFrame:
     """One row per issue that a survey row affirms: issue, evidence key, fragment, score."""
     parts = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(i).alias("issue"), F.lit(ISSUES[i][1]).alias("name"), annotation(i).alias("a")) for k, i in enumerate(ISSUES)])
-    yes = rows.withColumn("p", F.explode(parts)).where(F.col("p.a.decision") == "Yes")
+    yes = rows.withColumn("_ev", evaluation(F.col("final_eval_result"))).withColumn("p", F.explode(parts)).where(F.col("p.a.decision") == "Yes").drop("_ev")
     evidence = some(F.col("p.a.evidence"), F.concat(F.lit("There is a "), F.lower("p.name"), F.lit(".")))
     tag = F.when(F.col("p.a.time_tag") != "", F.concat(F.col("p.a.time_tag"), F.lit(" "))).otherwise("")
     out = yes.withColumn("fragment", F.trim(F.concat(F.col("p.name"), F.lit(": "), tag, evidence)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.labels import GROUPS, LEGACY, MERGED, answers, format_answer, merge_for_rewriting
 from quillon.functions.text import (
-    clean_reasoning, ensure_sentence, first_tag, first_tag_or_null, fixed1, prompt_between, sentence_key, should_skip_claim,
+    clean_reasoning, ensure_sentence, first_tag, first_tag_or_null, fixed1, let, prompt_between, sentence_key, should_skip_claim,
     split_sentences, squeeze, strip, strip_interval_prefix,
 )
 
@@ -38,9 +38,8 @@ def without_good(text: Column, verdict: Column) -> Column:
     return F.when(verdict == "No", s).otherwise(strip(text))
 
 
-def merged_labels(answer: Column) -> dict[str, Column]:
-    """Verdicts of the three dimensions from the seven; a missing one counts as No."""
-    said = answers(answer)
+def merged_labels(said: Column) -> dict[str, Column]:
+    """Verdicts of the three dimensions from a map of the seven; a missing one counts as No."""
     get = lambda d: F.coalesce(F.element_at(said, d), F.lit("No"))
     return {"Video Quality": get("Video Quality"), **{new: merge_for_rewriting([get(d) for d in olds]) for new, olds in GROUPS.items()}}
 
@@ -48,23 +47,32 @@ def merged_labels(answer: Column) -> dict[str, Column]:
 def merged_think(think: Column, labels: dict[str, Column]) -> Column:
     """The lines grouped by new dimension, those without a heading under motion, cleaned and joined."""
     lines = F.filter(F.transform(F.split(think, r"\r\n|\r|\n"), strip), lambda x: x != "")
+    named = F.transform(lines, lambda x: F.struct(x.alias("line"), F.coalesce(line_dimension(x), F.lit("Motion & Interaction")).alias("dim")))
 
-    def of(dim):
-        mine = F.filter(lines, lambda x: F.coalesce(line_dimension(x), F.lit("Motion & Interaction")) == dim)
-        parts = F.filter(F.transform(mine, lambda x: ensure_sentence(without_good(without_heading(x), labels[dim]))), lambda x: x != "")
-        text = strip(squeeze(F.array_join(parts, " ")))
-        return F.when(text != "", F.concat(F.lit(f"{dim}: "), text))
+    def of(pairs, dim):
+        mine = F.filter(pairs, lambda p: p["dim"] == dim)
+        parts = F.transform(mine, lambda p: let(without_good(without_heading(p["line"]), labels[dim]), ensure_sentence))
+        text = strip(squeeze(F.array_join(F.filter(parts, lambda x: x != ""), " ")))
+        return let(text, lambda t: F.when(t != "", F.concat(F.lit(f"{dim}: "), t)))
 
-    return F.concat_ws("\n", *map(of, MERGED))
+    return let(named, lambda pairs: F.concat_ws("\n", *[of(pairs, dim) for dim in MERGED]))
 
 
 def merged_response(value: Column) -> Column:
     """A response without an answer is unchanged; one without a think block becomes the answer alone."""
-    answer, think = first_tag_or_null(value, "answer"), first_tag_or_null(value, "think")
-    labels = merged_labels(answer)
-    new = F.concat(F.lit("<answer>\n"), format_answer(labels), F.lit("\n</answer>"))
-    full = F.concat(F.lit("<think>\n"), merged_think(think, labels), F.lit("\n</think>\n"), new)
-    return F.when(answer.isNull(), value).when(think.isNull(), new).otherwise(full)
+
+    def write(parts, verdicts):
+        labels = {d: verdicts[f"d{k}"] for k, d in enumerate(MERGED)}
+        new = F.concat(F.lit("<answer>\n"), format_answer(labels), F.lit("\n</answer>"))
+        full = F.concat(F.lit("<think>\n"), merged_think(parts["think"], labels), F.lit("\n</think>\n"), new)
+        return F.when(parts["answer"].isNull(), parts["value"]).when(parts["think"].isNull(), new).otherwise(full)
+
+    def of(parts):
+        verdicts = let(answers(parts["answer"]), lambda said: F.struct(*[c.alias(f"d{k}") for k, c in enumerate(merged_labels(said).values())]))
+        return let(verdicts, lambda v: write(parts, v))
+
+    found = {"value": value, "answer": first_tag_or_null(value, "answer"), "think": first_tag_or_null(value, "think")}
+    return let(F.struct(*[c.alias(k) for k, c in found.items()]), of)
 
 
 def new_instruction(value: Column, instruction: str) -> Column:

@@ -552,12 +552,12 @@ def positional_zip(spark, sf_dir):
 
 
 @query(
-    "SELECT m.event_id, max(s.event_id) AS span_id FROM events m LEFT JOIN events s ON s.user_id = m.user_id AND s.event_type = 'view' AND s.event_id <= m.event_id WHERE m.event_type <> 'view' GROUP BY m.event_id"
+    "SELECT m.event_id, COALESCE(max(s.event_id), -1) AS span_id FROM events m LEFT JOIN events s ON s.user_id = m.user_id AND s.event_type = 'view' AND s.event_id <= m.event_id WHERE m.event_type <> 'view' GROUP BY m.event_id"
 )
 def noun_asof_time_span(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     spans = events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("span_id"))
-    return joins.as_of(events.where("event_type <> 'view'"), spans.withColumn("e", F.col("span_id")), ["user_id"], "event_id", "e", ["span_id"]).select("event_id", "span_id")
+    return joins.as_of(events.where("event_type <> 'view'"), spans.withColumn("e", F.col("span_id")), ["user_id"], "event_id", "e", ["span_id"]).select("event_id", F.coalesce("span_id", F.lit(-1)).alias("span_id"))
 
 
 @query("SELECT user_id, event_id, COALESCE(lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id), -1) AS until FROM events")
