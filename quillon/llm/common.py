@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,10 @@ ARROW_ROWS = 1024
 SEPARATORS = " \t\n\r\x0b\x0c"
 
 
+#: Open scopes that note the scratch tables being written.
+_SCOPES: list[list[str]] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables; a local one is set only where none is named."""
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
@@ -37,9 +42,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _SCOPES:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """The paths of the scratch tables written inside the block."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+
+
+def drop_scratch(spark: SparkSession, paths: list[str], reader: DataFrame) -> list[str]:
+    """Delete scratch tables that ``reader`` doesn't read; returns the ones it does."""
+    used = reader.inputFiles() if paths else []
+    kept = [p for p in paths if any(p.rsplit("/", 1)[1] in f for f in used)]
+    for path in set(paths) - set(kept):
+        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    return kept
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
