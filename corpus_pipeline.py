@@ -7,34 +7,58 @@ columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import mixing, packing, quality, registry, simhash, spans
-from quillon.llm.common import materialize, read_table
+from quillon.llm.common import drop_scratch, materialize, read_table, scratch_scope
+
+#: Scratch tables of the stages that ran before, of no use once their result is stored.
+_LEFT: list[str] = []
+
+
+def tidy(stage):
+    """A stage that first removes what earlier stages left, unless its ``docs`` still read it."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _LEFT[:] = drop_scratch(spark, _LEFT, docs)
+        with scratch_scope() as made:
+            out = stage(spark, docs, sf_dir)
+        _LEFT.extend(made)
+        return out
+
+    return run_stage
 
 
+@tidy
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what fails the base rules or the isolation forest."""
     return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
 
 
+@tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of texts alike in 0.8 of their five-word shingles, as SimHash tells it."""
     return simhash.drop_near_duplicates(docs, width=5, similarity=0.8)
 
 
+@tidy
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut sentences covered by a span that occurred before."""
     return spans.remove_repeated_spans(docs)
 
 
+@tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take rows, up to twice, to the target weights of domains, languages and sources."""
     domain, weights = registry.mixture()
     return mixing.mixed_rows(docs, domain, weights)
 
 
+@tidy
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 1024 tokens, piece by piece."""
     return packing.piece_digests(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -54,9 +78,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result stored before the next begins."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, stored = read_table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{k}")
+            with scratch_scope() as made:
+                docs = materialize(docs, f"pipeline-{k}")
+            stored = [*drop_scratch(spark, stored, docs), *made]
     return docs
