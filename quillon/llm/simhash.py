@@ -194,11 +194,10 @@ def link_cell(residents: np.ndarray, visitors: np.ndarray, radius: int) -> np.nd
         a = every[i : min(i + high, n)]
         for j in range(i, len(every), wide):
             b = every[j : j + wide]
-            near = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]) <= radius
-            x, y = np.nonzero(near)
-            if every.shape[1] > 1 and len(x):
-                close = np.bitwise_count(a[x] ^ b[y]).sum(axis=1, dtype=np.int64) <= radius
-                x, y = x[close], y[close]
+            apart = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+            for lane in range(1, every.shape[1]):
+                apart = apart + np.bitwise_count(a[:, None, lane] ^ b[None, :, lane])
+            x, y = np.nonzero(apart <= radius)
             if len(x):
                 merge_labels(label, x + i, y + j)
     return label
@@ -287,6 +286,116 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 64, radius: int
     return link(prints, bits, radius, blocks, band)
 
 
+# -- near-duplicates, verified -------------------------------------------------------------
+
+
+def shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(words, width, SEED))
+
+
+def set_fingerprint(grams: np.ndarray, lanes: int) -> bytes:
+    """Majority bits of distinct shingles; lane k mixes the hashes k times further, a tie takes the bit of the least hash.
+
+    Without that, texts of two or four shingles have few bits set and seem alike.
+    """
+    out, mixed = [], grams
+    for lane in range(lanes):
+        if lane:
+            mixed = _mix(_mix(mixed + np.uint64(0x9E3779B97F4A7C15)))
+        ones = np.zeros(64, np.int64)
+        for k in range(0, len(mixed), 1 << 15):
+            part = mixed[k : k + (1 << 15)].astype(">u8")
+            ones += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        if len(mixed):
+            ones = 2 * ones + np.unpackbits(mixed[:1].astype(">u8").view(np.uint8))
+        out.append(np.packbits(ones > len(mixed)).tobytes())
+    return b"".join(out)
+
+
+def set_prints(docs: DataFrame, width: int, bits: int, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep``, fp, digest (equal for equal shingle sets) and n, the size of the set."""
+
+    def run(batches):
+        for batch in batches:
+            found = ([], [], [])
+            for t in texts(batch):
+                grams = shingle_set(t.lower().split(), width)
+                found[0].append(set_fingerprint(grams, bits // 64))
+                found[1].append(xxhash.xxh3_128_digest(grams.tobytes()))
+                found[2].append(len(grams))
+            made = [pa.array(c, t) for c, t in zip(found, (pa.binary(), pa.binary(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, "fp", "digest", "n"])
+
+    extra = {"fp": F.lit(None).cast("binary"), "digest": F.lit(None).cast("binary"), "n": F.lit(None).cast("long")}
+    schema = docs.select(*keep).withColumns(extra).schema
+    for field in schema:
+        field.nullable = True
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+
+
+def alike_sets(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least ``similarity``."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def verify_cell(fps: np.ndarray, sets: list[np.ndarray], n: int, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that span every pair within the radius and alike; of the first ``n`` among each other if all are, else with the rest."""
+    label, size, out = np.arange(len(sets)), np.array(list(map(len, sets))), []
+    for a in range(n):
+        begin = a + 1 if n == len(sets) else n
+        far = np.bitwise_count(fps[begin:] ^ fps[a]).sum(axis=1, dtype=np.int64)
+        fits = np.minimum(size[begin:], size[a]) >= similarity * np.maximum(size[begin:], size[a]) - 1e-9
+        for b in (np.nonzero((far <= radius) & fits & (label[begin:] != label[a]))[0] + begin).tolist():
+            if label[a] != label[b] and alike_sets(sets[a], sets[b], similarity):
+                out.append((a, b))
+                label[label == max(label[a], label[b])] = min(label[a], label[b])
+    return out
+
+
+def verified_links(members: DataFrame, width: int, similarity: float, bits: int, radius: int) -> DataFrame:
+    """``members(grp, blocks, name, fp, text)`` to edges (a, b) that span the pairs of each group within the radius and alike.
+
+    A group of several blocks is compared block by block, so a task never holds more than two.
+    """
+    spark = members.sparkSession
+
+    def shingle(batches):
+        for batch in batches:
+            grams = [shingle_set(t.lower().split(), width).tobytes() for t in texts(batch)]
+            names = ["grp", "blocks", "name", "fp"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(grams, pa.binary())], names=[*names, "grams"])
+
+    def compare(batches):
+        held, current = [], None
+
+        def links():
+            held.sort(key=lambda h: h[0])
+            n = sum(h[0] == 0 for h in held)
+            fps = np.frombuffer(b"".join(h[2] for h in held), ">u8").reshape(-1, bits // 64).astype(np.uint64)
+            found = verify_cell(fps, [np.frombuffer(h[3], np.uint64) for h in held], n, radius, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([held[k[side]][1] for k in found], pa.int64()) for side in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("grp", "i", "j", "role", "name", "fp", "grams")]
+            for grp, i, j, *row in zip(*columns):
+                if (grp, i, j) != current:
+                    if len(held) > 1:
+                        yield links()
+                    held, current = [], (grp, i, j)
+                held.append(row)
+        if len(held) > 1:
+            yield links()
+
+    own, other = F.pmod(F.xxhash64("name"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = members.mapInArrow(shingle, "grp long, blocks long, name long, fp binary, grams binary")
+    dealt = dealt.select("grp", own.alias("own"), other.alias("other"), "name", "fp", "grams")
+    role = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
+    dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), role.alias("role"), "name", "fp", "grams")
+    return dealt.repartition(shuffle_parts(spark), "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(compare, "a long, b long")
+
+
 #: Bits that two texts of the given shingle similarity differ in, on average, plus a deviation for the spread.
 def radius_of(similarity: float, bits: int, deviations: float = 1.0) -> int:
     cosine = 2 * similarity / (1 + similarity)
@@ -295,22 +404,31 @@ def radius_of(similarity: float, bits: int, deviations: float = 1.0) -> int:
 
 
 def drop_near_duplicates(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = 128, blocks: int = 1, band: int = 8
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = 128, blocks: int = 1, band: int = 8, cell_rows: int = 512, cell_shingles: int = 1 << 21
 ) -> DataFrame:
     """One row of each group of near-duplicates of ``docs``: that of the least doc_id, with its columns as they were.
 
-    The radius is that of ``similarity`` between sets of ``width``-word shingles. Of rows with the
-    same id and fingerprint one stays. Rows with a null id stay only if no row of their group has one,
-    one for each distinct fingerprint.
+    Two rows are linked if the sets of their ``width``-word shingles have a Jaccard similarity of at least
+    ``similarity``. SimHash finds the candidates: its radius is the mean of that similarity plus three deviations.
+    Each candidate link is then told by the sets themselves (as 64-bit hashes), and the groups are those of the
+    true links. Rows with a null id stay only if no row of their group has one, one for each such group.
     """
     arrow_batches(docs.sparkSession)
+    radius = radius_of(similarity, bits, 3.0)
     tagged = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row"), "text")
-    rows = materialize(fingerprints(tagged, width, bits, keep=("doc", "_row")), "simhash-rows")
-    prints = rows.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "fp", "_row")
-    found = link(prints, bits, radius_of(similarity, bits), blocks, band)
-    group = F.coalesce("component_id", F.xxhash64("fp"))
-    nameless = F.col("component_id").isNull()
-    first = found.groupBy(group.alias("group"), nameless.alias("nameless")).agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("_row"))).alias("first")
+    rows = materialize(set_prints(tagged, width, bits, keep=("doc", "_row")), "simhash-rows")
+    prints = rows.select(F.col("_row").alias("doc_id"), "fp", "digest", "n", F.col("doc.doc_id").cast("long").alias("id"))
+    found = materialize(link(prints, bits, radius, blocks, band), "simhash-candidates")
+    sets = found.groupBy(F.col("component_id").alias("grp"), "digest").agg(F.min("doc_id").alias("name"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    sets = materialize(sets, "simhash-sets")
+    groups = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).where("m > 1")
+    parts = F.greatest(F.ceil(F.col("m") / cell_rows), F.ceil(F.col("n") / cell_shingles)).cast("long")
+    members = sets.select("grp", "name", "fp").join(groups.select("grp", parts.alias("blocks")), "grp")
+    members = members.join(rows.select(F.col("_row").alias("name"), F.col("doc.text").alias("text")), "name")
+    edges = verified_links(members.select("grp", "blocks", "name", "fp", "text"), width, similarity, bits, radius)
+    label = components(edges)
+    named = sets.join(label, F.col("name") == F.col("node"), "left").select("digest", F.coalesce("label", "name").alias("grp"))
+    first = found.join(named, "digest").groupBy("grp").agg(
+        F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("doc_id").alias("_row"))).alias("first")
     )
     return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select("doc.*")

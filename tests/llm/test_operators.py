@@ -344,6 +344,31 @@ def test_one_row_of_each_group_stays(spark, docs, clash):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("cell_rows", [512, 8])
+def test_near_duplicates_are_those_of_the_sets(spark, cell_rows):
+    rng = random.Random(3)
+    bases = [[f"{rng.choice(WORDS)}{rng.randint(0, 10**6)}" for _ in range(120)] for _ in range(40)]
+    rows = []
+    for b, base in enumerate(bases):
+        for k in range(5):
+            w = list(base)
+            for at in rng.sample(range(5, 115), rng.randint(0, 9)):
+                w[at] = f"new{rng.randint(0, 10**6)}"
+            rows.append((10 * b + k, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    want = {rows[k][0] for k in label}
+    assert len(bases) < len(want) < len(rows)
+    table = spark.createDataFrame(rows + [(None, rows[0][1]), (None, "a b"), (None, "a b")], "doc_id long, text string")
+    out = [r["doc_id"] for r in simhash.drop_near_duplicates(table, cell_rows=cell_rows).collect()]
+    assert Counter(out) == Counter([*want, None])
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(200, 199), (5, 5)], "a long, b long")
     out = {r["node"]: r["label"] for r in components(edges).collect()}
