@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-Every sentence starts a span: the shortest run of at least ``run_sentences`` sentences with at least
-``run_words`` words; a sentence of ``alone_words`` words is a span of its own. Spans are compared by a
+Every sentence starts a span and ends one: the shortest run of at least ``run_sentences`` sentences with at
+least ``run_words`` words; a sentence of ``alone_words`` words is a span of its own besides. So every sentence
+of a repeated run that reaches both floors is covered, to its last one. Spans are compared by a
 96-bit hash of their words, lower-cased in A-Z and single-spaced. Of equal spans the first is the one
 of the least doc_id, then of the earliest sentence; the sentences of every other one are removed.
 
@@ -46,19 +47,24 @@ def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
 
 
 def runs(parts: list[list[bytes]], run_sentences: int, run_words: int, alone_words: int):
-    """(sentence, number of sentences, words as one line) of each span."""
+    """(sentence, number of sentences, words as one line) of each span, by sentence and length."""
     n, total = len(parts), [0, *accumulate(map(len, parts))]
-    lines, end = [b" ".join(p) for p in parts], 0
-    for k in range(n):
-        if len(parts[k]) >= alone_words:
-            yield k, 1, lines[k]
-            continue
+    lines, end, begin = [b" ".join(p) for p in parts], 0, 0
+    found = {(k, 1) for k in range(n) if len(parts[k]) >= alone_words}
+    for k in range(n):  # the shortest run that begins with k
         end = max(end, k + run_sentences)
         while end < n and total[end] - total[k] < run_words:
             end += 1
-        if end > n or total[end] - total[k] < run_words:
+        if end <= n and total[end] - total[k] >= run_words:
+            found.add((k, end - k))
+    for k in range(run_sentences, n + 1):  # and the shortest one that ends before k
+        if total[k] < run_words:
             continue
-        yield k, end - k, b" ".join(lines[k:end])
+        while begin < k - run_sentences and total[k] - total[begin + 1] >= run_words:
+            begin += 1
+        found.add((begin, k - begin))
+    for k, m in sorted(found):
+        yield k, m, lines[k] if m == 1 else b" ".join(lines[k : k + m])
 
 
 def dedup_spans(

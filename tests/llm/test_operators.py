@@ -486,6 +486,17 @@ def test_sentence_spans_match_brute_force(spark, docs, clash):
     assert spans.dedup_spans(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [[15, 8, 5], [40, 6], [6, 40], [45, 3, 4], [12, 12, 4, 3], [3, 4, 20, 2]])
+def test_repeated_runs_are_covered_to_their_end(lengths):
+    unique = iter(range(10**6))
+    make = lambda sizes: [[b"w%d" % next(unique) for _ in range(m)] for m in sizes]
+    passage = make(lengths)
+    first, second = ([*make([9, 30]), *passage, *make([25, 4])] for _ in range(2))
+    seen = {line for _, _, line in spans.runs(first, 2, 20, 40)}
+    covered = {j for k, m, line in spans.runs(second, 2, 20, 40) if line in seen for j in range(k, k + m)}
+    assert covered == set(range(2, 2 + len(lengths)))
+
+
 def test_sentences_cover_the_text():
     for t in (b"", b"  ", b"One. Two!\n\nThree", b"a.b c?  d", b"\n\n x"):
         parts = spans.sentences(t)
