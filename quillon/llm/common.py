@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,19 +15,19 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 #: Rows per Arrow batch sent to Python; texts are long, so far below Spark's default of 10,000.
 ARROW_ROWS = 1024
-
-#: Characters that separate words: space and 0x09-0x0D, which is what ``bytes.split()`` uses.
-SEPARATORS = " \t\n\r\x0b\x0c"
-
+#: Bytes after which a batch is closed; one longer text makes a batch alone.
+ARROW_BYTES = 16 << 20
 
 #: Open scopes that note the scratch tables being written.
 _SCOPES: list[list[str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a local one is set only where none is named."""
+    """The shared folder for intermediate tables; a temporary one is made only where driver and executors are one process."""
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"name a folder that driver and executors share in {CHECKPOINT_CONF}")
         base = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set(CHECKPOINT_CONF, base)
     return f"{base}/quillon/{spark.sparkContext.applicationId}"
@@ -73,11 +72,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches of texts small; lowers the session's setting, never raises it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    """Keep Arrow batches of texts small, in rows and in bytes; lowers the session's settings, never raises them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -102,23 +101,3 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
     column = batch.column(name).cast(pa.large_binary())
     for value in column:
         yield value.as_py() or b""
-
-
-def text_blocks(batches, name: str = "text", max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices whose texts hold about ``max_bytes``; one longer text makes a slice alone."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(name)), 0), dtype=np.int64)
-        begin, held = 0, 0
-        for k, n in enumerate(sizes):
-            if held and held + n > max_bytes:
-                yield batch.slice(begin, k - begin)
-                begin, held = k, 0
-            held += int(n)
-        yield batch.slice(begin)
-
-
-def lower_ascii(data: bytes) -> bytes:
-    """A-Z lower-cased; ``bytes.lower`` leaves every other byte alone."""
-    return data.lower()

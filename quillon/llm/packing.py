@@ -4,7 +4,7 @@ Every document becomes its token ids plus one end id. Whole runs of ``capacity``
 sequences of their own. What is left of each document is packed block by block inside the
 scan task: pieces go, in descending order of estimated attention cost, to the cheapest
 sequence that still has room. A block opens only as many sequences as its tokens need, so
-a piece that fits nowhere is cut and padding stays below one sequence per block.
+a piece that no sequence has room for is cut, and padding stays below one sequence per block.
 
 The cost of a piece of n tokens is ``linear * n + quadratic * n * n``; that of a sequence is
 the sum over its pieces, since packed documents do not attend to one another.
@@ -12,7 +12,8 @@ the sum over its pieces, since packed documents do not attend to one another.
 No shuffle: a block is a run of consecutive rows of one input split, so a hot source, equal
 texts or one huge text change nothing but the number of pieces. Memory holds one block.
 
-Defined cases: a null or empty text is the end id alone; repeated rows are packed as often as
+Defined cases: a null or empty text is the end id alone; a run of white space of any length is encoded;
+repeated rows are packed as often as
 they occur; a null id stays null; columns other than the two named are ignored; an empty table
 gives an empty result.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -63,38 +65,91 @@ def load_encoder(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def balance(lengths: list[int], capacity: int, linear: float, quadratic: float, look: int = 8):
+#: White space of the encoder's pattern, in runs too long for the stack of its regular expressions.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
+
+def encode(encoder, text: str) -> list[int]:
+    """Ids of a text. A long run of white space is a token sequence of its own but for its last character, which the word after it may take."""
+    ids, at = [], 0
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        ids += encoder.encode_ordinary(text[at : m.start()])
+        ids += encoder._encode_single_piece(text[m.start() : end])
+        at = end
+    return ids + encoder.encode_ordinary(text[at:]) if at else encoder.encode_ordinary(text)
+
+
+class Rooms:
+    """Open sequences by room: for each room a heap by cost, over them a tree of the cheapest."""
+
+    NONE = (float("inf"), -1)
+
+    def __init__(self, capacity: int):
+        self.size = 1 << capacity.bit_length()
+        self.heaps: list[list] = [[] for _ in range(capacity + 1)]
+        self.tree = [self.NONE] * (2 * self.size)
+
+    def _renew(self, room: int) -> None:
+        at = room + self.size
+        self.tree[at] = self.heaps[room][0] if self.heaps[room] else self.NONE
+        while at > 1:
+            at //= 2
+            self.tree[at] = min(self.tree[2 * at], self.tree[2 * at + 1])
+
+    def add(self, room: int, cost: float, k: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, k))
+        self._renew(room)
+
+    def take(self, least: int, room: list[int]) -> int | None:
+        """The cheapest sequence with at least that room, removed."""
+        a, b, best = least + self.size, 2 * self.size, self.NONE
+        while a < b:
+            if a & 1:
+                best = min(best, self.tree[a])
+                a += 1
+            if b & 1:
+                b -= 1
+                best = min(best, self.tree[b])
+            a, b = a // 2, b // 2
+        if best[1] < 0:
+            return None
+        heapq.heappop(self.heaps[room[best[1]]])
+        self._renew(room[best[1]])
+        return best[1]
+
+    def greatest(self) -> int:
+        """The greatest room of an open sequence."""
+        at = 1
+        while at < self.size:
+            at = 2 * at + (self.tree[2 * at + 1][1] >= 0)
+        return at - self.size
+
+
+def balance(lengths: list[int], capacity: int, linear: float, quadratic: float):
     """Assign pieces to sequences; returns per sequence its (piece, begin, length) parts and its cost.
 
-    ``look``: how many of the cheapest sequences are tried before a piece is cut.
+    Pieces go in descending cost to the cheapest sequence with room. One longer than the greatest room left fills
+    the cheapest sequence of that room, and its rest takes its turn among the others.
     """
-    total = sum(lengths)
-    n = -(-total // capacity)
-    room, cost, parts = [capacity] * n, [0.0] * n, [[] for _ in range(n)]
-    heap = [(0.0, k) for k in range(n)]
+    n = -(-sum(lengths) // capacity)
+    room, cost, parts, open_ = [capacity] * n, [0.0] * n, [[] for _ in range(n)], Rooms(capacity)
+    for k in range(n):
+        open_.add(capacity, 0.0, k)
     todo = [(-(linear * m + quadratic * m * m), i, 0, m) for i, m in enumerate(lengths) if m]
     heapq.heapify(todo)
     while todo:
         _, i, begin, m = heapq.heappop(todo)
-        tried, put = [], None
-        while heap and len(tried) < look:
-            k = heapq.heappop(heap)
-            tried.append(k)
-            if room[k[1]] >= m:
-                put = k
-                break
-        put = put or tried[0]
-        k, take = put[1], min(m, room[put[1]])
+        take, k = m, open_.take(m, room) if m <= capacity else None
+        if k is None:
+            take = open_.greatest()
+            k = open_.take(take, room)
         parts[k].append((i, begin, take))
         room[k] -= take
         cost[k] += linear * take + quadratic * take * take
-        for other in tried:
-            if other is not put:
-                heapq.heappush(heap, other)
         if room[k]:
-            heapq.heappush(heap, (cost[k], k))
-        if take < m:
-            rest = m - take
+            open_.add(room[k], cost[k], k)
+        if rest := m - take:
             heapq.heappush(todo, (-(linear * rest + quadratic * rest * rest), i, begin + take, rest))
     return parts, cost
 
@@ -130,7 +185,7 @@ def _packer(path, capacity, end_id, linear, quadratic, block_tokens):
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.concatenate([np.array(encoder.encode_ordinary(text.as_py() or ""), dtype="<u4"), end])
+                ids = np.concatenate([np.array(encode(encoder, text.as_py() or ""), dtype="<u4"), end])
                 total = len(ids)
                 whole = total - total % capacity
                 for start in range(0, whole, capacity):
