@@ -1,177 +1,145 @@
 """Language identification by cross-parsing entropy.
 
-Each language has a suffix automaton of a bounded sample of its labelled texts (``docs_per_language``
-rows, chosen by a hash of the id, of ``sample_chars`` characters in all). A text is parsed greedily
-into the longest phrases that occur in the sample; phrases * log2(sample size) / text length
-estimates its cross entropy, and the language with the least wins. The parse needs only the
-transitions, so a table with one entry per (state, symbol) holds the next state and whether a
-phrase ends; whole batches of texts advance one symbol at a time through all automata at once.
-
-Texts are parsed whole, in blocks of ``BLOCK`` symbols; a phrase ends where a block does.
-
-The driver sees docs_per_language rows a language. Executors build the automata from the sample.
-
-Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text when
-nothing could be learned; null languages are not learned; of equal entropies the first language in
-alphabetical order wins; the score is one less the ratio of the best entropy to the second.
+Each language has a suffix automaton of a bounded sample of its labelled texts. A text is parsed whole and greedily
+into the longest phrases that occur in the sample; phrases * log2(sample size) / text length estimates its cross
+entropy, and the language with the least wins. Texts and samples are lower-cased and what stands between letters is
+one blank; every other character is a symbol of its own, in any script: a state of an automaton is a dict from symbol
+to state, so nothing grows with the alphabet. A symbol that a sample doesn't hold is a phrase of its own.
+
+The sample: of the distinct (id, text) pairs of a language the ``docs_per_language`` of the least hashes, texts over
+``sample_chars`` characters last, shortest first; of these, in that order, whole texts as long as their characters
+together stay within ``sample_chars`` (and within an equal share of ``total_chars``, if there are many languages), one
+at least. The driver sees that sample, first as hashes and lengths; executors build the automata from it. Texts are
+never shuffled but those of the sample.
+
+Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text when nothing could be
+learned; null languages and texts without a letter are not learned; rows with a null id are learned like any other;
+repeated rows are learned once; of equal entropies the first language in alphabetical order wins; the score is one less
+the ratio of the best entropy to the second, 1 if only one language is known; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import arrow_batches
 
-BLOCK = 1024
-#: Symbols: 0 for what the samples do not hold, 1 for everything that is not a letter, then letters.
-SYMBOLS = 56
-GAP = 1
-
-
-def suffix_automaton(symbols: np.ndarray, width: int) -> np.ndarray:
-    """Transitions (state, symbol) of the automaton of all substrings; -1 where there is none; root 0."""
-    size = 2 * len(symbols) + 2
-    step = np.full((size, width), -1, np.int32)
-    rows = [dict() for _ in range(size)]
-    link, length = [-1] * size, [0] * size
-    last, used = 0, 1
-    for c in symbols.tolist():
-        now = used
-        used += 1
-        length[now] = length[last] + 1
-        p = last
-        while p != -1 and c not in rows[p]:
-            rows[p][c] = now
-            p = link[p]
-        if p == -1:
-            link[now] = 0
-        else:
-            q = rows[p][c]
-            if length[p] + 1 == length[q]:
-                link[now] = q
-            else:
-                twin = used
-                used += 1
-                length[twin], rows[twin], link[twin] = length[p] + 1, dict(rows[q]), link[q]
-                while p != -1 and rows[p].get(c) == q:
-                    rows[p][c] = twin
-                    p = link[p]
-                link[q] = link[now] = twin
-        last = now
-    for s in range(used):
-        for c, t in rows[s].items():
-            step[s, c] = t
-    return step[:used]
+GAPS = re.compile(r"[\W\d_]+")
+#: Stands between the texts of a sample and occurs in no normalised text.
+BORDER = "\n"
 
 
-def alphabet(samples: dict[str, str]) -> str:
-    """The most frequent letters of all samples."""
-    seen: dict[str, int] = {}
-    for text in samples.values():
-        for c in text.lower():
-            if c.isalpha() and ord(c) < 0x10000:
-                seen[c] = seen.get(c, 0) + 1
-    return "".join(sorted(seen, key=lambda c: (-seen[c], c))[: SYMBOLS - 2])
+def normal(text: str) -> str:
+    return GAPS.sub(" ", text.lower())
 
 
-@lru_cache(maxsize=2)
-def symbol_table(letters: str) -> np.ndarray:
-    """Symbol of each code point of the basic plane; its last entry stands for all beyond."""
-    table = np.zeros(0x10001, np.uint8)
-    for k in range(0x10000):
-        c = chr(k)
-        if not c.isalpha():
-            table[k] = GAP
-        elif (at := letters.find(c.lower()[0])) >= 0:
-            table[k] = at + 2
-    return table
+def suffix_automaton(text: str) -> dict:
+    """The root of the automaton of all substrings; a state is a dict from symbol to state."""
+    root: dict = {}
+    state, link, length = [root], [-1], [0]
+    number = {id(root): 0}
+    last = 0
+    for c in text:
+        now = len(state)
+        state.append({})
+        number[id(state[now])] = now
+        link.append(0)
+        length.append(length[last] + 1)
+        p = last
+        while p != -1 and c not in state[p]:
+            state[p][c] = state[now]
+            p = link[p]
+        if p != -1:
+            q = number[id(state[p][c])]
+            if length[p] + 1 != length[q]:
+                twin = len(state)
+                state.append(dict(state[q]))
+                number[id(state[twin])] = twin
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p != -1 and state[p].get(c) is state[q]:
+                    state[p][c] = state[twin]
+                    p = link[p]
+                link[q] = twin
+                q = twin
+            link[now] = q
+        last = now
+    return root
 
 
-def encode(text: str, letters: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return symbol_table(letters)[np.minimum(points, 0x10000)]
+def phrases(text: str, root: dict) -> int:
+    """Number of greedy longest phrases of a normalised text."""
+    n, at = 0, root
+    for c in text:
+        to = at.get(c)
+        if to is None:
+            n += at is not root
+            to = root.get(c)
+            if to is None:
+                n += 1
+                to = root
+        at = to
+    return n + (at is not root)
 
 
 @lru_cache(maxsize=2)
-def parser(samples: tuple[tuple[str, str], ...]):
-    """Names, letters, bits a phrase and the joint parsing table of all languages."""
-    letters = alphabet(dict(samples))
-    tables, starts, at = [], [], 0
-    for _, text in samples:
-        step = suffix_automaton(encode(text, letters), SYMBOLS).astype(np.int64)
-        step = np.vstack([step, np.full((1, SYMBOLS), -1)])  # the last state, where a parse starts, ends a phrase with any symbol
-        end = step < 0
-        fresh = np.where(end[0], len(step) - 1, step[0])  # the symbol that ends a phrase begins the next; an unknown one is one
-        target = np.where(end, fresh[None, :], step)
-        tables.append((((target + at) * SYMBOLS) << 1 | end).ravel())
-        starts.append((at + len(step) - 1) * SYMBOLS)
-        at += len(step)
-    joint = np.concatenate(tables)
-    kind = np.int32 if 2 * len(joint) < 2**31 else np.int64
-    bits = np.array([np.log2(max(len(t), 2)) for _, t in samples])
-    return [n for n, _ in samples], letters, bits, joint.astype(kind), np.array(starts, kind)
-
-
-def phrases(texts: list[np.ndarray], table: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(language, text) counts of phrases."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    owner = np.repeat(np.arange(len(texts)), -(-sizes // BLOCK))
-    symbols = np.concatenate(texts) if len(texts) else np.empty(0, np.uint8)
-    begins = np.concatenate([np.arange(0, n, BLOCK) + b for n, b in zip(sizes, np.cumsum(sizes) - sizes)] or [np.empty(0, np.int64)]).astype(np.int64)
-    ends = np.minimum(begins + BLOCK, np.cumsum(sizes)[owner]) if len(owner) else begins
-    order = np.argsort(begins - ends, kind="stable")
-    begins, size, owner = begins[order], (ends - begins)[order], owner[order]
-    state = np.repeat(starts[:, None], len(begins), axis=1)
-    count = np.zeros(state.shape, table.dtype)
-    live = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), side="left")
-    for t, n in enumerate(live.tolist()):
-        got = table[state[:, :n] + symbols[begins[:n] + t]]
-        count[:, :n] += got & 1
-        state[:, :n] = got >> 1
-    total = np.zeros((len(starts), len(texts)))
-    for lang in range(len(starts)):
-        np.add.at(total[lang], owner, count[lang])
-    return total
-
-
-def sample(docs: DataFrame, docs_per_language: int, sample_chars: int) -> tuple[tuple[str, str], ...]:
-    """(language, text) of the bounded training sample of ``docs(doc_id, text, lang)``."""
-    slim = docs.where("lang is not null and length(text) > 0")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (
-        slim.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_language).select("doc_id", "lang").distinct()
-    )
-    rows = slim.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, sample_chars).alias("text")).collect()
-    held: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["doc_id"] or 0, r["text"])):
-        now = held.get(r["lang"], "")
-        if len(now) + len(r["text"]) < sample_chars or not now:
-            held[r["lang"]] = now + r["text"] + "\n"
-    return tuple(sorted(held.items()))
-
-
-def identify(docs: DataFrame, train: Column, docs_per_language: int = 64, sample_chars: int = 1 << 15) -> DataFrame:
+def automata(samples: tuple[tuple[str, str], ...]) -> list[tuple[str, dict, float]]:
+    """Name, automaton and bits a phrase of each language."""
+    return [(name, suffix_automaton(text), math.log2(max(len(text), 2))) for name, text in samples]
+
+
+def judge(text: str, samples: tuple[tuple[str, str], ...]) -> tuple[str, float]:
+    """Language and score of one text."""
+    if not samples or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    line = normal(text)
+    ranked = sorted((phrases(line, root) * bits, name) for name, root, bits in automata(samples))
+    return ranked[0][1], 1.0 - ranked[0][0] / ranked[1][0] if len(ranked) > 1 else 1.0
+
+
+def sample(docs: DataFrame, docs_per_language: int, sample_chars: int, total_chars: int) -> tuple[tuple[str, str], ...]:
+    """(language, normalised texts) of the bounded training sample of ``docs(doc_id, text, lang)``."""
+    slim = docs.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    slim = slim.select("lang", F.length("text").alias("n"), F.xxhash64("doc_id", "text").alias("h"), "text")
+    long = F.when(F.col("n") > sample_chars, F.col("n")).otherwise(0)
+    order = Window.partitionBy("lang").orderBy(long, "h")
+    ranked = slim.select("lang", "n", "h").distinct().withColumn("rank", F.row_number().over(order))
+    listed = ranked.where(F.col("rank") <= docs_per_language).collect()
+    share = min(sample_chars, total_chars // max(1, len({r["lang"] for r in listed})))
+    picked, held = [], {}
+    for r in sorted(listed, key=lambda r: (r["lang"], r["rank"])):
+        if r["lang"] not in held or held[r["lang"]] + r["n"] <= share:
+            held[r["lang"]] = held.get(r["lang"], 0) + r["n"]
+            picked.append((r["lang"], r["h"], r["rank"]))
+    if not picked:
+        return ()
+    chosen = docs.sparkSession.createDataFrame(picked, "lang string, h long, rank int")  # docs_per_language rows a language
+    rows = slim.select("lang", "h", "text").join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "rank").agg(F.min("text").alias("text")).collect()
+    texts: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
+        texts.setdefault(r["lang"], []).append(normal(r["text"]))
+    return tuple((name, BORDER.join(found)) for name, found in texts.items())
+
+
+def identify(
+    docs: DataFrame, train: Column, docs_per_language: int = 64, sample_chars: int = 1 << 15, total_chars: int = 1 << 20
+) -> DataFrame:
     """doc_id, lang_pred and score for every row; learned from the rows where ``train`` holds."""
     arrow_batches(docs.sparkSession)
-    samples = sample(docs.where(train).select("doc_id", "text", "lang"), docs_per_language, sample_chars)
+    learned = sample(docs.where(train).select("doc_id", "text", F.col("lang").cast("string").alias("lang")), docs_per_language, sample_chars, total_chars)
+    samples = docs.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches):
         for batch in batches:
-            whole = [t or "" for t in batch.column("text").to_pylist()]
-            pred, score = ["und"] * len(whole), [0.0] * len(whole)
-            rows = [k for k, t in enumerate(whole) if any(map(str.isalpha, t))] if samples else []
-            if rows:
-                names, letters, bits, table, starts = parser(samples)
-                coded = [encode(whole[k], letters) for k in rows]
-                entropy = phrases(coded, table, starts) * bits[:, None] / np.array([len(c) for c in coded])
-                ranked = np.sort(entropy, axis=0)
-                for k, best, one, two in zip(rows, entropy.argmin(axis=0), ranked[0], ranked[min(1, len(names) - 1)]):
-                    pred[k], score[k] = names[best], float(1 - one / two) if len(names) > 1 else 1.0
+            found = [judge(t.as_py() or "", samples.value) for t in batch.column("text")]
+            pred, score = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
