@@ -154,33 +154,71 @@ def test_quality_edges(spark, docs, clash):
 # -- packing ----------------------------------------------------------------------------------
 
 
-def test_packing_round_trip(spark, docs):
+def test_packing_round_trip(spark, clash):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    odd = spark.createDataFrame([(900, "It's  two   blanks\n\n tail é中퟿ don't 123 !?  ", None, None, None), (901, "a" * 3000, None, None, None)], SCHEMA)
-    rows = docs.unionByName(odd).dropDuplicates(["doc_id", "text"])
+    odd = [(900, "It's  two   blanks\n\n tail é中퟿ don't 123 !?  "), (901, "a" * 3000), (902, "x" + " " * 5000 + "y" + "\n" * 9000 + " z"), (903, "\t" * 4097)]
+    rows = clash.unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True)
     pieces = packing.pack(rows, path, capacity=64, block_tokens=4096).collect()
-    want = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows_of(rows)}
-    got, sequences = {}, {}
-    for p in sorted(pieces, key=lambda p: p["start"]):
-        ids = np.frombuffer(p["token_ids"], "<u4").tolist()
-        assert len(ids) == p["length"] and p["start"] == len(got.get(p["doc_id"], [])) and p["doc_tokens"] == len(want[p["doc_id"]])
-        got.setdefault(p["doc_id"], []).extend(ids)
+    want = Counter((i, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0])) for i, t in rows_of(rows))
+    assert Counter(p["doc_tokens"] for p in pieces if p["start"] == 0) == Counter(len(ids) for (_, ids), n in want.items() for _ in range(n))
+    at, sequences = Counter(), {}
+    for p in pieces:
+        ids = tuple(np.frombuffer(p["token_ids"], "<u4").tolist())
+        assert len(ids) == p["length"]
+        same = [k for k in want if k[0] == p["doc_id"] and len(k[1]) == p["doc_tokens"] and k[1][p["start"] : p["start"] + len(ids)] == ids]
+        assert same
+        at[same[0]] += len(ids)
         sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
-    assert got == want
+    assert at == Counter({k: n * len(k[1]) for k, n in want.items()})
     for parts in sequences.values():
-        at = 0
+        end = 0
         for offset, n in sorted(parts):
-            assert offset == at
-            at += n
-        assert at <= 64
-    tokens = sum(map(len, want.values()))
+            assert offset == end
+            end += n
+        assert end <= 64
+    tokens = sum(len(ids) * n for (_, ids), n in want.items())
     assert len(sequences) * 64 - tokens < 64 * (rows.rdd.getNumPartitions() * 3 + tokens // 4096 + 1)
 
 
+def test_long_white_space_is_encoded_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encoder, rng = Tokenizer.from_file(path), packing.load_encoder(path), random.Random(4)
+    texts = [f"a{gap * (n // len(gap))}{tail}" for gap, n in ((" ", 2_000_000), ("\n", 2_000_000), (" \n", 9000), ("\u3000", 5000)) for tail in ("", "b", " b", "\n1")]
+    texts += ["".join(rng.choice(" \n\t\xa0\r") * rng.choice([1, 2, 5000]) + rng.choice(["a", "b1", "!", " c", ""]) for _ in range(6)) for _ in range(20)]
+    for text in texts:
+        assert packing.encode(encoder, text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def brute_balance(lengths, capacity, linear, quadratic):
+    n = -(-sum(lengths) // capacity)
+    room, cost, parts = [capacity] * n, [0.0] * n, [[] for _ in range(n)]
+    worth = lambda m: linear * m + quadratic * m * m
+    todo = sorted((-worth(m), i, 0, m) for i, m in enumerate(lengths) if m)
+    while todo:
+        _, i, begin, m = todo.pop(0)
+        fits = [k for k in range(n) if room[k] >= m] or [k for k in range(n) if room[k] == max(room)]
+        k = min(fits, key=lambda k: (cost[k], k))
+        take = min(m, room[k])
+        parts[k].append((i, begin, take))
+        room[k] -= take
+        cost[k] += worth(take)
+        if take < m:
+            todo = sorted([*todo, (-worth(m - take), i, begin + take, m - take)])
+    return parts, cost
+
+
 def test_packing_balances_cost():
+    """The cheapest sequence with room takes each piece; pieces are cut only where none has room."""
+    rng = random.Random(7)
+    for most in (5, 50, 120):
+        for _ in range(60):
+            lengths = [rng.randint(0, most) for _ in range(rng.randint(0, 60))]
+            assert packing.balance(lengths, 50, 1.0, 1 / 50) == brute_balance(lengths, 50, 1.0, 1 / 50)
     parts, cost = packing.balance([60, 30, 30, 20, 20, 20, 20], 100, 1.0, 0.01)
     assert sorted(sum(n for *_, n in p) for p in parts) == [100, 100] and max(cost) - min(cost) < 0.2 * max(cost)
     assert packing.balance([], 10, 1, 1) == ([], [])
@@ -234,34 +272,60 @@ def test_sharding_moves_little(spark):
 
 def test_automaton_accepts_exactly_the_substrings():
     rng = random.Random(4)
-    s = np.array([rng.randint(1, 3) for _ in range(40)], np.uint8)
-    step = langid.suffix_automaton(s, 5)
-    line = bytes(s)
+    line = "".join(rng.choice("abc") for _ in range(40))
+    root = langid.suffix_automaton(line)
     for n in range(1, 7):
         for _ in range(60):
-            q, at = bytes(rng.randint(1, 3) for _ in range(n)), 0
+            q, at = "".join(rng.choice("abc") for _ in range(n)), root
             for c in q:
-                at = step[at, c] if at >= 0 else -1
-            assert (at >= 0) == (q in line)
+                at = None if at is None else at.get(c)
+            assert (at is not None) == (q in line)
+
+
+def greedy(text, held):
+    n, k = 0, 0
+    while k < len(text):
+        m = 1
+        while k + m < len(text) and text[k : k + m + 1] in held:
+            m += 1
+        n, k = n + 1, k + m
+    return n
 
 
 def test_phrases_are_greedy_longest_matches():
-    samples = (("x", "abracadabra abra"), ("y", "the cat sat on the mat"))
-    names, letters, _, table, roots = langid.parser(samples)
-    text = "abra the cadabra zqz mat cats"
-
-    def greedy(z, ref):
-        n, k = 0, 0
-        while k < len(z):
-            m = 1
-            while k + m < len(z) and z[k : k + m + 1] in ref and z[k : k + m] in ref:
-                m += 1
-            n, k = n + 1, k + m
-        return n
-
-    code = bytes(langid.encode(text, letters))
-    got = langid.phrases([langid.encode(text, letters)], table, roots)[:, 0]
-    assert got.tolist() == [greedy(code, bytes(langid.encode(t, letters))) for _, t in samples]
+    rng = random.Random(2)
+    wide = "".join(chr(0x4E00 + k) for k in range(500)) + "".join(chr(0x20000 + k) for k in range(80))
+    samples = ["abracadabra abra", "the cat sat on the mat", "".join(rng.choice("ab ") for _ in range(400)), "".join(rng.choice(wide) for _ in range(3000))]
+    texts = ["", " ", "abra the cadabra zqz mat cats", "".join(rng.choice("abc ") for _ in range(5000)), "".join(rng.choice(wide + "q") for _ in range(2000))]
+    for held in samples:
+        root = langid.suffix_automaton(held)
+        for text in texts:
+            assert langid.phrases(text, root) == greedy(text, held)
+
+
+def test_languages_of_a_wide_script(spark):
+    """Two languages that share no more than a script of 3,000 signs; the signs are no letters of any other."""
+    rng = random.Random(6)
+    words = [["".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(2)) for _ in range(200)] for _ in range(2)]
+    rows = [(k, "".join(rng.choice(words[k % 2]) for _ in range(150)), ("ja", "zh")[k % 2]) for k in range(100)]
+    rows += [(200 + k, say(rng, 100), "en") for k in range(30)]
+    train = common.crc32_of_id(F.col("doc_id")) % 4 != 2
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in out} == {k: x for k, _, x in rows}
+
+
+def test_language_sample_is_bounded_and_whole(spark):
+    """One id repeated 100,000 times is learned once, null ids like any other; texts are whole, long ones only where nothing else is."""
+    kind = "doc_id long, text string, lang string"
+    many = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("uno dos tres").alias("text"), F.lit("es").alias("lang"))
+    rows = [(None, "ett tva tre", "sv"), (None, "fyra fem", "sv"), (1, "x" * 500 + " ja", "fi"), (2, "y" * 400, "fi"), (3, "12 34", "xx"), (4, None, "yy"), (5, "no language", None)]
+    rows += [(100 + k, f"word{chr(97 + k % 26)}{'abc' * 20}", "en") for k in range(40)] + [(99, "z" * 5000, "en")]
+    found = dict(langid.sample(many.unionByName(spark.createDataFrame(rows, kind)), 8, 300, 1 << 20))
+    assert set(found) == {"en", "es", "fi", "sv"} and found["es"] == "uno dos tres" and found["fi"] == "y" * 400
+    assert sorted(found["sv"].split("\n")) == ["ett tva tre", "fyra fem"]
+    parts = found["en"].split("\n")
+    assert len(parts) == 4 and all(len(p) == 65 for p in parts)
+    assert langid.sample(spark.createDataFrame(rows, kind).where("lang = 'xx'"), 8, 300, 1 << 20) == ()
 
 
 def test_language_held_out_and_edges(spark, docs, clash):
