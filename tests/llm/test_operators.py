@@ -272,14 +272,14 @@ def test_sharding_moves_little(spark):
 
 def test_automaton_accepts_exactly_the_substrings():
     rng = random.Random(4)
-    line = "".join(rng.choice("abc") for _ in range(40))
-    root = langid.suffix_automaton(line)
+    line = bytes(rng.randint(1, 3) for _ in range(40))
+    step = langid.suffix_automaton(line)
     for n in range(1, 7):
         for _ in range(60):
-            q, at = "".join(rng.choice("abc") for _ in range(n)), root
+            q, at = bytes(rng.randint(1, 3) for _ in range(n)), 0
             for c in q:
-                at = None if at is None else at.get(c)
-            assert (at is not None) == (q in line)
+                at = step[at].get(c, -1) if at >= 0 else -1
+            assert (at >= 0) == (q in line)
 
 
 def greedy(text, held):
@@ -292,15 +292,16 @@ def greedy(text, held):
     return n
 
 
-def test_phrases_are_greedy_longest_matches():
+@pytest.mark.parametrize("block", [1, 7, 64, 1024])
+def test_phrases_are_greedy_longest_matches(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
     rng = random.Random(2)
     wide = "".join(chr(0x4E00 + k) for k in range(500)) + "".join(chr(0x20000 + k) for k in range(80))
-    samples = ["abracadabra abra", "the cat sat on the mat", "".join(rng.choice("ab ") for _ in range(400)), "".join(rng.choice(wide) for _ in range(3000))]
-    texts = ["", " ", "abra the cadabra zqz mat cats", "".join(rng.choice("abc ") for _ in range(5000)), "".join(rng.choice(wide + "q") for _ in range(2000))]
-    for held in samples:
-        root = langid.suffix_automaton(held)
-        for text in texts:
-            assert langid.phrases(text, root) == greedy(text, held)
+    samples = ["abracadabra abra", "the cat sat on the mat", "".join(rng.choice("ab ") for _ in range(400)), "".join(rng.choice(wide) for _ in range(3000)), "ab" * 300]
+    texts = ["", "abra the cadabra zqz mat cats", "".join(rng.choice("abc ") for _ in range(3000)), "".join(rng.choice(wide + "q") for _ in range(900)), "ab" * 700, "b"]
+    known = langid.Parser(tuple((f"l{k}", s) for k, s in enumerate(samples)))
+    coded = [known.symbol[np.frombuffer(t.encode(), np.uint8)] for t in texts]
+    assert known.phrases(coded).tolist() == [[greedy(t.encode(), s.encode()) for t in texts] for s in samples]
 
 
 def test_languages_of_a_wide_script(spark):
