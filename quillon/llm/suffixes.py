@@ -1,164 +1,127 @@
-"""Repeated passages by sparse suffix arrays.
-
-Texts are sequences of words (A-Z lower-cased, any white space). Of each text only the suffixes at
-minimiser positions are retained: the least hash of a ``gram``-word window among every ``window``
-consecutive ones. A passage of ``min_words`` words holds such a position within its first ``window``
-words wherever it stands, so a retained suffix shares at least reach = min_words - window + 1 words with
-that of its repeat. In a suffix array such suffixes are neighbours, a run with a common prefix of that
-length; here the runs are formed by grouping on the hash of that prefix, whose first member is the one of
-least (doc_id, position). Every later member is compared with the first: members on one diagonal chain
-into a longer match, and its two ends are extended left and right word by word by up to ``margin`` words.
-Matches that touch are merged; merged ones of min_words words or more are the result.
-
-The group-by combines on the map side and its result is one row a prefix, so a passage in a third of all
-documents is a few rows; the join back may be split by adaptive execution; what is gathered for one
-document is a set of its own positions. The texts are shuffled once, to fetch the words at the ends.
-
-Defined cases: null and short texts have no matches; rows of equal doc_id and text are one document; a null
-doc_id sorts first; within one document a passage may repeat too; an empty table gives an empty result; other
-columns are ignored by ``repeated_passages`` and kept by ``cut_passages``.
+"""Repeated passages by a sparse suffix array.
+
+Texts are sequences of words (A-Z lower-cased, any white space). Of each text only the suffixes at minimiser positions
+are retained: the least hash of a ``gram``-word run among every ``window`` consecutive ones. Each passage of
+``min_words`` words is so assigned to the retained suffix at the minimiser of its first ``window`` runs, wherever it
+stands: the passages of one suffix begin up to window - 1 words to its left, and two copies of a passage are assigned
+to suffixes that share ``reach`` = min_words - window + 1 words at least.
+
+1. Texts equal word by word are one class, told by a 128-bit hash; all of it repeats the first of them.
+2. The retained suffixes of the first texts are put in order by range partitions: by their first ``reach`` words, then
+   by all words of their passages, left and right, then by place. In that order each is compared with its neighbour. One
+   whose words all equal those before it repeats the first of that block, from its leftmost passage to the end of its
+   rightmost. Where neighbours share the first words only, the heads of both blocks are kept for
+3. the extension to left and right: the passages of each such suffix, every one of min_words words about it, are put in
+   order and compared with their neighbours in the same way.
+
+What repeats is merged within each document. Result: exactly the words that lie in a passage of min_words words that
+stood at a lesser place (doc_id, hash of the text, word).
+
+Words are compared by 128-bit hashes, in an order by hash. Range partitions split a block of any size, as a place is
+part of the order; where a block goes on from one partition to the next, its first place is passed on by the driver,
+which sees one row a partition. Nothing is joined on a hash of words but texts to their class. Texts are shuffled
+once, those with a suffix to extend.
+
+Defined cases: null and short texts have no passages; rows of equal doc_id and text are one document; a null doc_id
+sorts first (a doc_id of -2**63 counts as null); within one document a passage may repeat too; an empty table gives an
+empty result; other columns are ignored by ``repeated_passages`` and kept by ``cut_passages``.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import arrow_batches, materialize, texts
-
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    return np.array(list(map(xxhash.xxh64_intdigest, text.lower().split())), np.uint64)
-
-
-def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def prefix_hashes(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the ``length`` words from each position on."""
-    acc = np.zeros(len(at), np.uint64)
-    for j in range(length):
-        acc = acc * ODD + words[at + j]
-    return _scramble(acc)
+from quillon.llm.neighbours import NULL_ID, ORDER, Words, named, neighbours, text_key
 
 
-def retained(words: np.ndarray, gram: int, window: int, reach: int) -> np.ndarray:
-    """Minimiser positions with at least ``reach`` words to their right."""
-    last = len(words) - gram + 1
-    if last < window or len(words) < reach:
-        return np.empty(0, np.int64)
-    order = prefix_hashes(words, np.arange(last), gram)
-    found = np.lib.stride_tricks.sliding_window_view(order, window).argmin(axis=1) + np.arange(last - window + 1)
-    found = np.unique(found)
-    return found[found + reach <= len(words)]
+def minimisers(words: Words, min_words: int, window: int, gram: int) -> np.ndarray:
+    """Position of the retained suffix that each passage of ``min_words`` words, by its begin, is assigned to."""
+    at = np.arange(words.n - (min_words - window - gram + 1) - gram + 1)
+    order = words.run(at, at + gram)
+    return np.lib.stride_tricks.sliding_window_view(order, window).argmin(axis=1) + np.arange(words.n - min_words + 1)
 
 
-def _margin(words: np.ndarray, at: int, step: int, n: int) -> list[int]:
-    """Up to n words outward from a border, nearest first, as 32-bit hashes."""
-    part = words[max(0, at - n) : at][::-1] if step < 0 else words[at : at + n]
-    return (part & np.uint64(0x7FFFFFFF)).astype(np.int64).tolist()
-
-
-def matches(docs: DataFrame, min_words: int, window: int, gram: int, margin: int) -> DataFrame:
-    """key, doc_id, begin, end (words), first_doc_id, first_begin of each extended chain."""
+def repeats(docs: DataFrame, min_words: int, window: int, gram: int) -> DataFrame:
+    """id, key, begin, end (words), first_id, first_begin of what stood before; parts may overlap."""
     arrow_batches(docs.sparkSession)
     reach = min_words - window + 1
-    assert gram + window - 1 <= min_words and reach >= window
-    base = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "text")
+    assert gram + window - 1 <= min_words and gram <= reach
+    base = named(docs)
 
     def retain(batches):
-        for batch in batches:
-            cols = ([], [], [], [])
-            for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), texts(batch)):
-                words = word_hashes(text)
-                at = retained(words, gram, window, reach)
-                if len(at):
-                    cols[0].append(prefix_hashes(words, at, reach).view(np.int64))
-                    cols[1].extend([doc] * len(at))
-                    cols[2].extend([key] * len(at))
-                    cols[3].append(at)
-            if cols[0]:
-                arrays = [pa.array(np.concatenate(cols[0])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(np.concatenate(cols[3]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["prefix", "doc_id", "key", "at"])
-
-    kept = base.mapInArrow(retain, "prefix long, doc_id long, key long, at int")
-    place = F.struct("doc_id", "key", "at")
-    runs = kept.groupBy("prefix").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    runs = runs.select("prefix", F.col("first.doc_id").alias("first_doc_id"), F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at"))
-    runs = materialize(runs, "suffix-runs")  # a table of its own, so that the join below may be split at a hot prefix
-    members = kept.select("prefix", "key", "at").join(runs, "prefix")
-    mine = members.groupBy("key").agg(F.collect_set(F.struct("at", "prefix", "first_doc_id", "first_key", "first_at")).alias("members"))
-
-    def chain(batches):
-        names = ["prefix", "key", "doc_id", "begin", "end", "end_prefix", "first_doc_id", "first_begin", "left", "right"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         for batch in batches:
             out = []
-            for doc, key, text, members in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key")), texts(batch), batch.column("members")):
-                words = word_hashes(text)
-                diagonals = defaultdict(list)
-                for m in members.as_py():
-                    if (m["first_key"], m["first_at"]) == (key, m["at"]):
-                        left, right = _margin(words, m["at"], -1, margin), _margin(words, m["at"] + reach, 1, margin)
-                        out.append((m["prefix"], None, None, None, None, None, None, None, left, right))
-                    else:
-                        diagonals[m["first_key"], m["first_at"] - m["at"], m["first_doc_id"]].append((m["at"], m["prefix"]))
-                for (_, shift, first_doc), found in diagonals.items():
-                    found.sort()
-                    begin = 0
-                    for k in range(1, len(found) + 1):
-                        if k == len(found) or found[k][0] > found[k - 1][0] + reach:
-                            a, b = found[begin], found[k - 1]
-                            end = b[0] + reach
-                            out.append((a[1], key, doc, a[0], end, b[1], first_doc, a[0] + shift, _margin(words, a[0], -1, margin), _margin(words, end, 1, margin)))
-                            begin = k
-            for k in range(0, len(out), 8192):
-                arrays = [pa.array(c, t) for c, t in zip(zip(*out[k : k + 8192]), types)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    schema = "prefix long, key long, doc_id long, begin int, end int, end_prefix long, first_doc_id long, first_begin int, left array<int>, right array<int>"
-    found = materialize(base.join(mine, "key").mapInArrow(chain, schema), "suffix-chains")
-    ends = found.where("key is null").groupBy("prefix").agg(F.first("left").alias("first_left"), F.first("right").alias("first_right"))
-    chains = found.where("key is not null").distinct()
-    chains = chains.join(ends.select("prefix", "first_left"), "prefix")
-    chains = chains.join(ends.select(F.col("prefix").alias("end_prefix"), "first_right"), "end_prefix")
-
-    def same(a: str, b: str):
-        equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-        at = F.array_position(equal, False).cast("int")
-        return F.when(at > 0, at - 1).otherwise(F.size(equal))
-
-    chains = chains.withColumn("l", same("left", "first_left")).withColumn("r", same("right", "first_right"))
-    return chains.select(
-        "key", "doc_id", (F.col("begin") - F.col("l")).alias("begin"), (F.col("end") + F.col("r")).alias("end"),
-        "first_doc_id", (F.col("first_begin") - F.col("l")).alias("first_begin"),
-    )
-
-
-def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 24, gram: int = 8, margin: int = 24) -> DataFrame:
+            for id_, key, text in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), texts(batch)):
+                words = Words(text.lower().split())
+                if words.n < min_words:
+                    continue
+                whole = np.array([words.run(np.array([0]), np.array([words.n]), lane)[0] for lane in (0, 1)])
+                at, begin, count = np.unique(minimisers(words, min_words, window, gram), return_index=True, return_counts=True)
+                end = begin + count - 1 + min_words
+                hashes = [x.astype("<u8").tobytes() for x in (words.run(at, at + reach), words.run(begin, end), words.run(begin, end, 1))]
+                out.append((id_, key, words.n, *whole.view(np.int64).tolist(), *hashes, *(x.astype("<i4").tobytes() for x in (begin, end, at))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=fields)
+
+    fields = ["id", "key", "n", "w1", "w2", "run", "h1", "h2", "begin", "end", "at"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+    rows = base.mapInArrow(retain, "id long, key long, n int, w1 long, w2 long, run binary, h1 binary, h2 binary, begin binary, end binary, at binary")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "suffix-texts")
+    classes = materialize(rows.groupBy("w1", "w2", "n").agg(F.min(F.struct("id", "key", "row")).alias("first")), "suffix-classes")
+    copies = rows.select("id", "key", "n", "w1", "w2").join(classes, ["w1", "w2", "n"]).where("first.id <> id or first.key <> key").distinct()
+    copies = copies.select("id", "key", F.lit(0).alias("begin"), F.col("n").alias("end"), F.col("first.id").alias("first_id"), F.lit(0).alias("first_begin"))
+
+    def spread(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                made = [np.frombuffer(r[c], "<i8" if c in ("run", "h1", "h2") else "<i4") for c in ("run", "h1", "h2", "begin", "end", "at")]
+                n = len(made[0])
+                arrays = [*made[:3], np.full(n, r["id"]), np.full(n, r["key"]), *made[3:]]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[*ORDER, "end", "at"])
+
+    first = rows.join(classes.select(F.col("first.row").alias("row")), "row", "left_semi").select("id", "key", *fields[5:])
+    suffixes = first.mapInArrow(spread, "run long, h1 long, h2 long, id long, key long, begin int, end int, at int")
+    equal, heads = neighbours(suffixes, "suffixes", tests=True)
+    heads = heads.groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
+
+    def extend(batches):
+        seen = set()
+        for batch in batches:
+            for id_, key, text, ats in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), texts(batch), batch.column("ats")):
+                if (id_, key) in seen:
+                    continue
+                seen.add((id_, key))
+                words = Words(text.lower().split())
+                begin = np.nonzero(np.isin(minimisers(words, min_words, window, gram), ats.values.to_numpy()))[0]
+                h1, h2 = (words.run(begin, begin + min_words, lane).view(np.int64) for lane in (0, 1))
+                n = len(begin)
+                arrays = [np.zeros(n, np.int64), h1, h2, np.full(n, id_), np.full(n, key), begin.astype(np.int32), (begin + min_words).astype(np.int32), np.zeros(n, np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[*ORDER, "end", "at"])
+
+    passages = base.join(heads, ["id", "key"]).mapInArrow(extend, "run long, h1 long, h2 long, id long, key long, begin int, end int, at int")
+    more, _ = neighbours(passages, "passages", tests=False)
+    return copies.unionByName(equal).unionByName(more)
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 24, gram: int = 8) -> DataFrame:
     """key, doc_id, begin, end, first_doc_id, first_begin of each passage that stood somewhere before.
 
     ``begin`` and ``end`` count words; first_* tell where the longest part of the passage stood first.
     """
-    found = matches(docs, min_words, window, gram, margin)
-    mine = found.groupBy("key", "doc_id").agg(F.collect_set(F.struct("begin", "end", "first_doc_id", "first_begin")).alias("parts"))
+    found = repeats(docs, min_words, window, gram)
+    mine = found.groupBy("id", "key").agg(F.collect_list(F.struct("begin", "end", "first_id", "first_begin")).alias("parts"))
 
     def merge(batches):
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+        real = lambda x: None if x == NULL_ID else x
         for batch in batches:
             out = []
-            for key, doc, parts in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "parts"))):
-                parts = sorted((p["begin"], p["end"], p["first_begin"], p["first_doc_id"]) for p in parts)
+            for id_, key, parts in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "parts"))):
+                parts = sorted((p["begin"], p["end"], p["first_begin"], p["first_id"]) for p in parts)
                 k = 0
                 while k < len(parts):
                     begin, end = parts[k][:2]
@@ -167,8 +130,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 24, gr
                         end = max(end, parts[j][1])
                         best = max(best, parts[j], key=lambda p: p[1] - p[0])
                         j += 1
-                    if end - begin >= min_words:
-                        out.append((key, doc, begin, end, best[3], best[2]))
+                    out.append((key, real(id_), begin, end, real(best[3]), best[2]))
                     k = j
             if out:
                 arrays = [pa.array(c, t) for c, t in zip(zip(*out), types)]
@@ -197,7 +159,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.string())], names=["doc", "text"])
 
-    whole = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text", F.xxhash64("doc_id", "text").alias("key"))
+    whole = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text", text_key().alias("key"))
     schema = whole.select("doc", "text").schema
     done = whole.join(mine, "key", "left").select("doc", "text", "cuts").mapInArrow(cut, schema)
     return done.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
