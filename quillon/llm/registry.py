@@ -158,7 +158,7 @@ FROM summed
 @query
 def op9_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans.dedup_spans(read_table(spark, sf_dir, "documents"))
-    return found.select(F.col("doc.doc_id").alias("doc_id"), "text", "n_sentences", "n_removed")
+    return found.select(F.col("doc.doc_id").alias("doc_id"), "text", "n_parts", "n_removed")
 
 
 @query

@@ -1,134 +1,127 @@
 """Substring dedup by sliding sentence spans.
 
-Every sentence starts a span and ends one: the shortest run of at least ``run_sentences`` sentences with at
-least ``run_words`` words; a sentence of ``alone_words`` words is a span of its own besides. So every sentence
-of a repeated run that reaches both floors is covered, to its last one. Spans are compared by a
-96-bit hash of their words, lower-cased in A-Z and single-spaced. Of equal spans the first is the one
-of the least doc_id, then of the earliest sentence; the sentences of every other one are removed.
-
-One group-by finds each repeated hash and its first place, with map-side combining, so a passage in a
-third of all documents is a few rows; a join on the hash, which adaptive execution may split, brings
-back the later places; a set of (sentence, length) pairs per document, no larger than the document,
-is joined to the texts, the only shuffle that carries them.
-
-Defined cases: null stays null; a text without words is returned as it is; rows of equal doc_id and text
-are one document and share its fate; a null doc_id sorts before all others; an empty table gives an empty
-result; other columns are returned as they were.
+A text is cut behind each sentence; a sentence of more than ``long_words`` words is cut further, behind words chosen by
+their hash (one in ``one_in``), so that a passage pasted into a sentence has whole parts of its own and one long sentence
+is a run of several. Each part begins a span and ends one: the shortest run of at least ``run_parts`` consecutive parts
+with at least ``run_words`` words. So a repeated run of that size or more, however long, is covered to its last part.
+
+Spans are compared by a 128-bit hash of their words, lower-cased in A-Z. They are put in order by hash, then place
+(doc_id, hash of the text, part), by range partitions, and each is compared with its neighbour: of equal spans the first
+is the one of the least place; the parts of every other one are removed. The order splits a span of any number of
+copies, and what stands at the border of two partitions is settled by one row a partition (see ``neighbours``). Texts
+are parsed once for their spans and shuffled once, to be joined with the parts they lose.
+
+Defined cases: null stays null; a text without words is returned as it is; rows of equal doc_id and text are one
+document and share its fate; a null doc_id sorts before all others; an empty table gives an empty result; other columns
+are returned as they were.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_batches, materialize, texts
-
-END = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*")
-
-
-def sentences(text: bytes) -> list[tuple[int, int, list[bytes]]]:
-    """(begin, end, lower-cased words) of each sentence; together they are the whole text."""
-    cuts = [*(m.end() for m in END.finditer(text)), len(text)]
-    found, begin = [], 0
-    for cut in cuts:
-        words = text[begin:cut].lower().split()
-        if words:
-            found.append((begin, cut, words))
-            begin = cut
-    if found and begin < len(text):
-        found[-1] = (found[-1][0], len(text), found[-1][2])
-    return found
-
-
-def runs(parts: list[list[bytes]], run_sentences: int, run_words: int, alone_words: int):
-    """(sentence, number of sentences, words as one line) of each span, by sentence and length."""
-    n, total = len(parts), [0, *accumulate(map(len, parts))]
-    lines, end, begin = [b" ".join(p) for p in parts], 0, 0
-    found = {(k, 1) for k in range(n) if len(parts[k]) >= alone_words}
-    for k in range(n):  # the shortest run that begins with k
-        end = max(end, k + run_sentences)
-        while end < n and total[end] - total[k] < run_words:
-            end += 1
-        if end <= n and total[end] - total[k] >= run_words:
-            found.add((k, end - k))
-    for k in range(run_sentences, n + 1):  # and the shortest one that ends before k
-        if total[k] < run_words:
-            continue
-        while begin < k - run_sentences and total[k] - total[begin + 1] >= run_words:
-            begin += 1
-        found.add((begin, k - begin))
-    for k, m in sorted(found):
-        yield k, m, lines[k] if m == 1 else b" ".join(lines[k : k + m])
+from quillon.llm.common import arrow_batches, texts
+from quillon.llm.neighbours import NULL_ID, ORDER, Words, named, neighbours, text_key
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def parts(text: bytes, long_words: int, one_in: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of a text, and the first word of each part and the one behind its last."""
+    found, lines = [], []
+    for line in text.lower().split(b"\n"):
+        found += line.split()
+        lines.append(len(found))
+    words, n = Words(found), len(found)
+    cut = np.zeros(n + 1, bool)
+    cut[lines] = True
+    cut[1:] |= np.fromiter((w[-1] in b".!?" for w in found), bool, n)
+    cut[n] = True
+    at = np.nonzero(cut[1:])[0] + 1  # ends of sentences
+    size = np.diff(at, prepend=0)
+    inner = (np.repeat(size, size) > long_words) & (words.lanes[0] % np.uint64(one_in) == 0)
+    cut[1:] |= inner
+    end = np.nonzero(cut[1:])[0] + 1
+    return words, np.concatenate([[0], end[:-1]]).astype(np.int64) if n else end, end
+
+
+def spans(begin: np.ndarray, end: np.ndarray, run_parts: int, run_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First part of each span and the one behind its last."""
+    n = len(begin)
+    at = np.arange(n)
+    last = np.maximum(at + run_parts - 1, np.searchsorted(end, begin + run_words))  # shortest that begins with a part
+    first = np.minimum(at - run_parts + 1, np.searchsorted(begin, end - run_words, side="right") - 1)  # that ends with one
+    ahead, back = last < n, first >= 0
+    pairs = np.concatenate([at[ahead] * (n + 1) + last[ahead], first[back] * (n + 1) + at[back]])
+    pairs = np.unique(pairs)
+    return pairs // (n + 1), pairs % (n + 1) + 1
 
 
 def dedup_spans(
-    docs: DataFrame, run_sentences: int = 2, run_words: int = 20, alone_words: int = 40
+    docs: DataFrame, run_parts: int = 2, run_words: int = 8, long_words: int = 12, one_in: int = 8
 ) -> DataFrame:
-    """``docs`` as columns ``doc`` (a struct of all its own), text, n_sentences, n_removed."""
+    """``docs`` as columns ``doc`` (a struct of all its own), text, n_parts, n_removed."""
     arrow_batches(docs.sparkSession)
-    key = F.xxhash64("doc_id", "text")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "text").where("text is not null")
 
-    def spans(batches):
+    def every(batches):
         for batch in batches:
             out = []
-            for doc, row, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), texts(batch)):
-                for k, n, line in runs([w for _, _, w in sentences(text)], run_sentences, run_words, alone_words):
-                    h = xxhash.xxh3_128_intdigest(line)
-                    out.append(((h & (1 << 64) - 1) - (1 << 63), ((h >> 64) & (1 << 32) - 1) - (1 << 31), doc, row, k, n))
+            for id_, key, text in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), texts(batch)):
+                words, begin, end = parts(text, long_words, one_in)
+                a, b = spans(begin, end, run_parts, run_words)
+                if len(a):
+                    h1, h2 = (words.run(begin[a], end[b - 1], lane).view(np.int64) for lane in (0, 1))
+                    out.append((h1, h2, np.full(len(a), id_), np.full(len(a), key), a.astype(np.int32), b.astype(np.int32)))
             if out:
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                arrays = [pa.array(c, t) for c, t in zip(zip(*out), types)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["h", "h2", "doc_id", "key", "at", "n"])
-
-    found = slim.mapInArrow(spans, "h long, h2 int, doc_id long, key long, at int, n int")
-    place = F.struct("doc_id", "key", "at")
-    repeated = found.groupBy("h", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    repeated = materialize(repeated, "span-firsts")  # a table of its own, so that the join below may be split at a hot hash
-    first = F.struct("first.key", "first.at")
-    later = found.select("h", "h2", "key", "at", "n").join(repeated.select("h", "h2", first.alias("first")), ["h", "h2"])
-    later = later.where((F.col("first.key") != F.col("key")) | (F.col("first.at") != F.col("at")))
-    gone = later.groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
+                made = [pa.array(np.concatenate(c)) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays(made, names=["h1", "h2", "id", "key", "begin", "end"])
+
+    found = named(docs).mapInArrow(every, "h1 long, h2 long, id long, key long, begin int, end int")
+    found = found.withColumns({"run": F.lit(0).cast("long"), "at": F.lit(0)}).select(*ORDER, "end", "at")
+    again, _ = neighbours(found, "spans", tests=False)
+    gone = again.groupBy("id", "key").agg(F.collect_set(F.struct("begin", "end")).alias("gone"))
 
     def cut(batches):
         for batch in batches:
             kept, total, removed = [], [], []
             for text, gone in zip(texts(batch), batch.column("gone").to_pylist()):
-                parts = sentences(text)
-                drop = np.zeros(len(parts) + 1, np.int64)
+                words, begin, end = parts(text, long_words, one_in)
+                drop = np.zeros(len(begin) + 1, np.int64)
                 for g in gone or ():
-                    drop[g["at"]] += 1
-                    drop[g["at"] + g["n"]] -= 1
-                covered = np.cumsum(drop)[: len(parts)] > 0
-                total.append(len(parts))
+                    drop[g["begin"]] += 1
+                    drop[g["end"]] -= 1
+                covered = np.cumsum(drop)[: len(begin)] > 0
+                total.append(len(begin))
                 removed.append(int(covered.sum()))
                 if removed[-1]:
-                    text = b"".join(text[a:b] for (a, b, _), c in zip(parts, covered) if not c)
+                    spots = [m.start() for m in WORD.finditer(text)]
+                    cuts = [0, *(spots[k] for k in begin[1:].tolist()), len(text)]
+                    text = b"".join(text[a:b] for a, b, c in zip(cuts, cuts[1:], covered) if not c)
                 kept.append(text.decode())
             kept = pa.array(kept, pa.string())
             kept = pa.compute.if_else(batch.column("text").is_null(), pa.scalar(None, pa.string()), kept)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), kept, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["doc", "text", "n_sentences", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), kept, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["doc", "text", "n_parts", "n_removed"])
 
     others = [c for c in docs.columns if c != "text"]
-    whole = docs.select(F.struct(*others).alias("doc"), "text", key.alias("key"))
-    schema = whole.select("doc", "text").withColumn("n_sentences", F.lit(0).cast("long")).withColumn("n_removed", F.lit(0).cast("long")).schema
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id")
+    whole = docs.select(F.struct(*others).alias("doc"), "text", id_, text_key().alias("key"))
+    schema = whole.select("doc", "text").withColumns({"n_parts": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
     for field in schema:
         field.nullable = True
-    return whole.join(gone, "key", "left").select("doc", "text", "gone").mapInArrow(cut, schema)
+    return whole.join(gone, ["id", "key"], "left").select("doc", "text", "gone").mapInArrow(cut, schema)
 
 
 def remove_repeated_spans(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with repeated sentences taken out of ``text`` (and ``n_chars`` brought up to date).
+    """``docs`` with repeated spans taken out of ``text`` (and ``n_chars`` brought up to date).
 
     Rows that lose their last word go; rows that had no words stay.
     """
-    found = dedup_spans(docs, **options).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_sentences")))
+    found = dedup_spans(docs, **options).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_parts")))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
