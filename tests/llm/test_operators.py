@@ -523,49 +523,144 @@ def test_model_beats_base_on_held_out(spark):
 # -- repeated passages ------------------------------------------------------------------------
 
 
-def brute_spans(rows, k, n, alone):
-    """Kept text of each row by the definition, in the order of ids."""
-    parsed = {key: spans.sentences((key[1] or "").encode()) for key in rows}
-    first, drop = {}, {key: set() for key in rows}
-    for key in sorted(set(rows), key=lambda r: (r[0] is not None, r[0], xxhash.xxh64_intdigest((r[1] or "").encode()))):
-        for at, m, line in spans.runs([w for _, _, w in parsed[key]], k, n, alone):
+def brute_parts(text, long_words=12, one_in=8):
+    """Words of each part of a text, sentence by sentence and word by word."""
+    sentences, now = [], []
+    for line in text.encode().lower().split(b"\n"):
+        for w in line.split():
+            now.append(w)
+            if w[-1:] in (b".", b"!", b"?"):
+                sentences, now = [*sentences, now], []
+        if now:
+            sentences, now = [*sentences, now], []
+    found = []
+    for sentence in sentences:
+        for w in sentence:
+            now.append(w)
+            if len(sentence) > long_words and int.from_bytes(xxhash.xxh3_128_digest(w)[:8], "little") % one_in == 0:
+                found, now = [*found, now], []
+        if now:
+            found, now = [*found, now], []
+    return found
+
+
+def brute_runs(found, k=2, n=8):
+    """Every shortest run by its first part, and by its last."""
+    ok = lambda a, b: b - a >= k and sum(map(len, found[a:b])) >= n
+    runs = {(a, b) for a in range(len(found)) for b in range(a, len(found) + 1) if ok(a, b)}
+    return sorted(r for r in runs if (r[0], r[1] - 1) not in runs or (r[0] + 1, r[1]) not in runs)
+
+
+def brute_spans(rows, keys):
+    """Words that stay of each row by the definition; ``keys``: what orders rows of one id."""
+    found = {key: brute_parts(key[1] or "") for key in rows}
+    first, drop = set(), {key: set() for key in rows}
+    for key in sorted(set(rows), key=lambda r: (r[0] is not None, r[0], keys[r])):
+        for a, b in brute_runs(found[key]):
+            line = b" ".join(b" ".join(p) for p in found[key][a:b])
             if line in first:
-                drop[key] |= set(range(at, at + m))
+                drop[key] |= set(range(a, b))
             else:
-                first[line] = key
-    return {key: b"".join(key[1].encode()[a:b] for j, (a, b, _) in enumerate(parsed[key]) if j not in drop[key]).decode() if key[1] and drop[key] else key[1] for key in rows}
+                first.add(line)
+    return {key: (None if key[1] is None else [w for j, p in enumerate(found[key]) if j not in drop[key] for w in p], len(drop[key])) for key in rows}
 
 
-def test_sentence_spans_match_brute_force(spark, docs, clash):
+@pytest.mark.parametrize("arrow_rows", [1024, 5])
+def test_sentence_spans_match_brute_force(spark, docs, clash, monkeypatch, arrow_rows):
     rng = random.Random(9)
     passage = " ".join(f"{a}{b}." if k % 6 == 5 else f"{a}{b}" for k, (a, b) in enumerate((rng.choice(WORDS), rng.choice(WORDS)) for _ in range(66)))
-    extra = [(600 + k, f"{say(rng, 15)}\n{passage}\n{say(rng, 9)}", None, None, None) for k in range(4)]
-    rows = clash.unionByName(spark.createDataFrame(extra, SCHEMA), allowMissingColumns=True)
+    unbroken = " ".join(f"{rng.choice(WORDS)}{rng.choice(WORDS)}" for _ in range(120))
+    extra = [(600 + k, f"{say(rng, 15)}\n{passage}\n{say(rng, 9)} {unbroken} {say(rng, 9)}", None, None, None) for k in range(4)]
+    rows = clash.where("doc_id is null or doc_id <> 302").unionByName(spark.createDataFrame(extra, SCHEMA), allowMissingColumns=True)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_rows))
     out = spans.dedup_spans(rows).select("doc.doc_id", "text", "n_removed").collect()
-    want = brute_spans([tuple(r) for r in rows.select("doc_id", "text").collect()], 2, 20, 40)
-    pairs = Counter(zip([k[0] for k in want], want.values()))
-    assert set(pairs) == {(r["doc_id"], r["text"]) for r in out}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    keyed = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).collect()
+    want = brute_spans([tuple(r)[:2] for r in keyed], {tuple(r)[:2]: r["key"] for r in keyed})
+    words = lambda t: None if t is None else [*map(str.encode, re.findall(r"[^\x20\x09-\x0D]+", t.lower()))]
+    tell = lambda i, w, n: (i, None if w is None else tuple(w), n)
+    assert Counter(tell(r["doc_id"], words(r["text"]), r["n_removed"]) for r in out) == Counter(tell(r["doc_id"], *want[r["doc_id"], r["text"]]) for r in keyed)
     by = {r["doc_id"]: r for r in out}
-    assert passage in by[600]["text"] and all(passage.split(". ")[2] not in by[600 + k]["text"] and by[600 + k]["n_removed"] for k in (1, 2, 3))
+    assert passage in by[600]["text"] and all(passage.split(". ")[2] not in by[600 + k]["text"] for k in (1, 2, 3))
+    assert all(sum(w in by[600 + k]["text"] for w in unbroken.split()) < 45 for k in (1, 2, 3))
     assert spans.remove_repeated_spans(rows).columns == rows.columns
     assert spans.dedup_spans(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("lengths", [[15, 8, 5], [40, 6], [6, 40], [45, 3, 4], [12, 12, 4, 3], [3, 4, 20, 2]])
+@pytest.mark.parametrize("lengths", [[15, 8, 5], [40, 6], [6, 40], [45, 3, 4], [12, 12, 4, 3], [3, 4, 20, 2], [1, 1, 6], [4, 4]])
 def test_repeated_runs_are_covered_to_their_end(lengths):
     unique = iter(range(10**6))
-    make = lambda sizes: [[b"w%d" % next(unique) for _ in range(m)] for m in sizes]
-    passage = make(lengths)
-    first, second = ([*make([9, 30]), *passage, *make([25, 4])] for _ in range(2))
-    seen = {line for _, _, line in spans.runs(first, 2, 20, 40)}
-    covered = {j for k, m, line in spans.runs(second, 2, 20, 40) if line in seen for j in range(k, k + m)}
-    assert covered == set(range(2, 2 + len(lengths)))
+    make = lambda sizes: [" ".join(f"w{next(unique)}" for _ in range(m)) + "." for m in sizes]
+    passage, seen, covered = make(lengths), set(), set()
+    for text in ([*make([9, 30]), *passage, *make([25, 4])] for _ in range(2)):
+        words, begin, end = spans.parts("\n".join(text).encode(), 12, 8)
+        flat = "\n".join(text).split()
+        a, b = spans.spans(begin, end, 2, 8)
+        for x, y in zip(begin[a].tolist(), end[b - 1].tolist()):
+            line = tuple(flat[x:y])
+            covered |= set(line) if line in seen else set()
+            seen.add(line)
+    assert covered == set(" ".join(passage).split())
+
+
+def test_parts_cover_the_text():
+    rng = random.Random(1)
+    for t in ("", "  ", "One. Two!\n\nThree", "a.b c?  d", "\n\n x", say(rng, 300).replace(".", ""), "x. " * 40):
+        words, begin, end = spans.parts(t.encode(), 12, 8)
+        flat = t.lower().encode().split()
+        assert [flat[a:b] for a, b in zip(begin, end)] == brute_parts(t)
+
+
+# -- suffixes ---------------------------------------------------------------------------------
+
 
+def brute_passages(rows, n=50):
+    """Words of each (id, key) in an n-word window that stood at a lesser place; ``rows``: (id, key, text)."""
+    seen, covered = set(), {}
+    for i, key, t in sorted({r for r in rows if r[2]}, key=lambda r: (r[0] is not None, r[0], r[1])):
+        w, mine = t.encode().lower().split(), set()
+        for k in range(len(w) - n + 1):
+            x = tuple(w[k : k + n])
+            if x in seen:
+                mine.update(range(k, k + n))
+            seen.add(x)
+        if mine:
+            covered[i, key] = mine
+    return covered
 
-def test_sentences_cover_the_text():
-    for t in (b"", b"  ", b"One. Two!\n\nThree", b"a.b c?  d", b"\n\n x"):
-        parts = spans.sentences(t)
-        assert not parts or (parts[0][0] == 0 and parts[-1][1] == len(t) and all(a[1] == b[0] for a, b in zip(parts, parts[1:])))
+
+def passages_of(found):
+    got = {}
+    for r in found.collect():
+        mine = got.setdefault((r["doc_id"], r["key"]), set())
+        assert not mine & set(range(r["begin"] - 1, r["end"] + 1))
+        mine.update(range(r["begin"], r["end"]))
+    return got
+
+
+@pytest.mark.parametrize("seed,arrow_rows", [(0, 1024), (1, 4), (2, 4)])
+def test_suffixes_match_brute_force(spark, seed, arrow_rows):
+    """Overlapping cuts of a few texts, periodic ones, copies, and a phrase that is everywhere: no word missed or added."""
+    rng = random.Random(seed)
+    unique = lambda n: [f"{rng.choice(WORDS)}{rng.randint(0, 10**9)}" for _ in range(n)]
+    pool, hot = [unique(150) for _ in range(3)], unique(40)
+    rows = []
+    for k in range(70):
+        text = unique(rng.randint(0, 20))
+        for _ in range(rng.randint(1, 3)):
+            source, a = rng.choice(pool), rng.randint(0, 100)
+            piece = source[a : a + rng.randint(10, 90)]
+            text += rng.choice([piece, piece, hot, source[60:70] + hot + source[80 : 80 + rng.randint(0, 30)], ["of"] * rng.randint(10, 120)]) + unique(rng.randint(0, 9))
+        rows.append((k % 50 if k % 7 else None, " ".join(text)))
+    rows += rows[:6] + [(900 + k, rows[8][1]) for k in range(4)] + [(990, None), (991, ""), (992, "x y")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({"key": F.lit(1), "id": F.lit("a"), "begin": F.lit(2)})
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_rows))
+    got = passages_of(suffixes.repeated_passages(table))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = brute_passages([tuple(r) for r in table.select("doc_id", F.xxhash64("doc_id", "text"), "text").collect()])
+    assert got == want and len(want) > 40
 
 
 def test_suffixes_find_planted_passages(spark, docs, clash):
@@ -580,18 +675,8 @@ def test_suffixes_find_planted_passages(spark, docs, clash):
     cut = {r["doc_id"]: r["text"] for r in suffixes.cut_passages(table, found).collect()}
     assert cut[12] == "" and passage not in cut[11] and cut[10] == rows[0][1] and cut[13] == rows[3][1]
     assert suffixes.repeated_passages(empty(spark)).count() == 0
-    brute_seen, covered = {}, {}
-    for i, t in sorted({r for r in rows_of(docs) if r[0] is not None and r[1]}):
-        w = t.lower().split()
-        for k in range(len(w) - 49):
-            x = tuple(w[k : k + 50])
-            if x in brute_seen:
-                covered.setdefault(i, set()).update(range(k, k + 50))
-            brute_seen.setdefault(x, i)
-    got = {}
-    for r in suffixes.repeated_passages(clash).collect():
-        got.setdefault(r["doc_id"], set()).update(range(r["begin"], r["end"]))
-    assert set(covered) <= set(got) and all(len(covered[i] - got[i]) <= 2 for i in covered)
+    rows = [tuple(r) for r in docs.select("doc_id", F.xxhash64("doc_id", "text"), "text").collect()]
+    assert passages_of(suffixes.repeated_passages(clash)) == brute_passages(rows)
 
 
 # -- pipeline ---------------------------------------------------------------------------------
