@@ -189,11 +189,15 @@ def link_cell(residents: np.ndarray, visitors: np.ndarray, radius: int) -> np.nd
     """Set labels of residents followed by visitors, linked within the radius."""
     every = np.concatenate([residents, visitors])
     label, n = np.arange(len(every)), len(residents)
+    weight = np.bitwise_count(every).sum(axis=1, dtype=np.int64)
     high, wide = 128, 2048
     for i in range(0, n, high):
         a = every[i : min(i + high, n)]
+        low, top = weight[i : i + len(a)].min() - radius, weight[i : i + len(a)].max() + radius
         for j in range(i, len(every), wide):
             b = every[j : j + wide]
+            if weight[j : j + wide].max() < low or weight[j : j + wide].min() > top:
+                continue  # bit counts that differ beyond the radius
             apart = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
             for lane in range(1, every.shape[1]):
                 apart = apart + np.bitwise_count(a[:, None, lane] ^ b[None, :, lane])
@@ -230,41 +234,9 @@ def tile_links(classes: DataFrame, bits: int, radius: int, blocks: int, band: in
                             names=["cell", "role", "name", "fp"],
                         )
 
-    def compare(batches):
-        held, current = [], None
-
-        def links():
-            names = np.concatenate([h[1] for h in held])
-            role = np.concatenate([h[0] for h in held])
-            fps = np.concatenate([h[2] for h in held])
-            if len(names) < 2:
-                return None
-            order = np.argsort(role, kind="stable")
-            names, fps, n = names[order], fps[order], int((role == 0).sum())
-            label = link_cell(fps[:n], fps[n:], radius)
-            k = np.nonzero(label != np.arange(len(label)))[0]
-            return pa.RecordBatch.from_arrays([pa.array(names[k]), pa.array(names[label[k]])], names=["a", "b"]) if len(k) else None
-
-        for batch in batches:
-            cell = batch.column("cell").to_numpy()
-            role, name = batch.column("role").to_numpy(), batch.column("name").to_numpy()
-            fps = as_lanes(batch.column("fp"), bits)
-            cuts = [0, *(np.nonzero(np.diff(cell))[0] + 1).tolist(), len(cell)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if held and current != cell[a]:
-                    if (out := links()) is not None:
-                        yield out
-                    held.clear()
-                current = cell[a]
-                held.append((role[a:b], name[a:b], fps[a:b]))
-        if held and (out := links()) is not None:
-            yield out
-
     parts = int(min(20000, max(shuffle_parts(spark), grid.pairs / 4e9)))
     dealt = classes.mapInArrow(deal, "cell long, role int, name long, fp binary")
-    return dealt.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
+    return compare_cells(dealt, bits, radius, parts)
 
 
 def link(prints: DataFrame, bits: int, radius: int, blocks: int, band: int, tile_rows: int = 1 << 15) -> DataFrame:
@@ -313,27 +285,102 @@ def set_fingerprint(grams: np.ndarray, lanes: int) -> bytes:
     return b"".join(out)
 
 
-def set_prints(docs: DataFrame, width: int, bits: int, keep: tuple[str, ...]) -> DataFrame:
-    """The columns ``keep``, fp, digest (equal for equal shingle sets) and n, the size of the set."""
+def band_keys(grams: np.ndarray, bands: int, per_band: int) -> list[int]:
+    """A key for each band of ``per_band`` least hashes of a set; of two sets alike in s each band agrees with s ** per_band."""
+    if not len(grams):
+        return [0] * bands
+    many = np.arange(bands * per_band, dtype=np.uint64)
+    turn, step = _mix(2 * many + np.uint64(1)) | np.uint64(1), _mix(many + np.uint64(1 << 32))
+    least = np.full(len(many), np.iinfo(np.uint64).max)
+    for k in range(0, len(grams), 1 << 14):
+        part = grams[k : k + (1 << 14)]
+        part = part ^ (part >> np.uint64(32))
+        least = np.minimum(least, ((part[None, :] * turn[:, None] + step[:, None]) >> np.uint64(16)).min(axis=1))
+    key = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, per_band).T:
+        key = _mix(_mix(key) + column)
+    return key.view(np.int64).tolist()
+
+
+def set_prints(docs: DataFrame, width: int, bits: int, bands: int, per_band: int, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep``, fp, digest (equal for equal shingle sets) and the band keys."""
 
     def run(batches):
         for batch in batches:
             found = ([], [], [])
             for t in texts(batch):
                 grams = shingle_set(t.lower().split(), width)
+                found[2].append(band_keys(grams, bands, per_band))
                 found[0].append(set_fingerprint(grams, bits // 64))
                 found[1].append(xxhash.xxh3_128_digest(grams.tobytes()))
-                found[2].append(len(grams))
-            made = [pa.array(c, t) for c, t in zip(found, (pa.binary(), pa.binary(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, "fp", "digest", "n"])
+            made = [pa.array(c, t) for c, t in zip(found, (pa.binary(), pa.binary(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, "fp", "digest", "bands"])
 
-    extra = {"fp": F.lit(None).cast("binary"), "digest": F.lit(None).cast("binary"), "n": F.lit(None).cast("long")}
+    extra = {c: F.lit(None).cast(t) for c, t in (("fp", "binary"), ("digest", "binary"), ("bands", "array<long>"))}
     schema = docs.select(*keep).withColumns(extra).schema
     for field in schema:
         field.nullable = True
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
+def compare_cells(dealt: DataFrame, bits: int, radius: int, parts: int) -> DataFrame:
+    """``dealt(cell, role, name, fp)`` to edges (a, b) that span the links of each cell: residents (role 0) with one another and with visitors."""
+
+    def compare(batches):
+        held, current = [], None
+
+        def links():
+            role, names, fps = (np.concatenate([h[k] for h in held]) for k in range(3))
+            if len(names) < 2:
+                return None
+            order = np.lexsort((np.bitwise_count(fps).sum(axis=1, dtype=np.int64), role))
+            names, fps, n = names[order], fps[order], int((role == 0).sum())
+            label = link_cell(fps[:n], fps[n:], radius)
+            k = np.nonzero(label != np.arange(len(label)))[0]
+            return pa.RecordBatch.from_arrays([pa.array(names[k]), pa.array(names[label[k]])], names=["a", "b"]) if len(k) else None
+
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            role, name = batch.column("role").to_numpy(), batch.column("name").to_numpy()
+            fps = as_lanes(batch.column("fp"), bits)
+            cuts = [0, *(np.nonzero(np.diff(cell))[0] + 1).tolist(), len(cell)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and current != cell[a]:
+                    if (out := links()) is not None:
+                        yield out
+                    held.clear()
+                current = cell[a]
+                held.append((role[a:b], name[a:b], fps[a:b]))
+        if held and (out := links()) is not None:
+            yield out
+
+    return dealt.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
+
+
+def band_links(sets: DataFrame, bits: int, radius: int, tile_rows: int) -> DataFrame:
+    """``sets(name, fp, bands)``, a stored table, to edges (a, b) that span the pairs within the radius that share a band key.
+
+    The tiles are the band keys; one of more than ``tile_rows`` sets is compared block by block.
+    """
+    spark = sets.sparkSession
+    rows = sets.select(F.explode("bands").alias("band"), "name", "fp")
+    tiles = rows.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    tiles = materialize(tiles.select("band", F.ceil(F.col("m") / tile_rows).cast("long").alias("blocks")), "simhash-tiles")
+    rows = rows.join(tiles, "band").select("band", F.pmod(F.xxhash64("name"), "blocks").alias("own"), F.col("blocks").alias("others"), "name", "fp")
+    dealt = deal_blocks(rows, "band", ["name", "fp"])
+    cell = F.xxhash64("band", "i", "j").alias("cell")  # of two cells with one hash the rows are compared as well
+    return compare_cells(dealt.select(cell, "role", "name", "fp"), bits, radius, shuffle_parts(spark))
+
+
+def deal_blocks(rows: DataFrame, group: str, columns: list[str]) -> DataFrame:
+    """Each row of ``rows(group, own, others, ...)``, of block ``own``, to the pairs (i, j) of its block with the first ``others`` ones."""
+    dealt = rows.select(group, "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("other"), *columns)
+    role = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("role")
+    return dealt.select(group, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), role, *columns)
+
+
 def alike_sets(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether the Jaccard similarity of two sorted sets is at least ``similarity``."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -354,18 +401,30 @@ def verify_cell(fps: np.ndarray, sets: list[np.ndarray], n: int, radius: int, si
     return out
 
 
-def verified_links(members: DataFrame, width: int, similarity: float, bits: int, radius: int) -> DataFrame:
-    """``members(grp, blocks, name, fp, text)`` to edges (a, b) that span the pairs of each group within the radius and alike.
+def verified_links(members: DataFrame, width: int, similarity: float, bits: int, radius: int, cell_rows: int, cell_shingles: int) -> DataFrame:
+    """``members(grp, name, fp, text)`` to edges (a, b) that join what the pairs of each group within the radius and alike join.
 
-    A group of several blocks is compared block by block, so a task never holds more than two.
+    Every member is compared with the first of its group. Those alike to it need no comparison with each other; the rest
+    is compared block by block with one another and with them, so a task never holds more than two blocks.
     """
     spark = members.sparkSession
 
     def shingle(batches):
         for batch in batches:
-            grams = [shingle_set(t.lower().split(), width).tobytes() for t in texts(batch)]
-            names = ["grp", "blocks", "name", "fp"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(grams, pa.binary())], names=[*names, "grams"])
+            grams = [shingle_set(t.lower().split(), width) for t in texts(batch)]
+            names = ["grp", "name", "fp"]
+            made = [pa.array([len(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "n", "grams"])
+
+    def near(a: bytes, b: bytes) -> bool:
+        return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count() <= radius
+
+    def lead(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("fp", "grams", "first_fp", "first_grams")))
+            alike = [near(f, g) and alike_sets(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), similarity) for f, a, g, b in rows]
+            names = ["grp", "name", "fp", "n", "grams", "first"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(alike, pa.bool_())], names=[*names, "alike"])
 
     def compare(batches):
         held, current = [], None
@@ -388,12 +447,23 @@ def verified_links(members: DataFrame, width: int, similarity: float, bits: int,
         if len(held) > 1:
             yield links()
 
-    own, other = F.pmod(F.xxhash64("name"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = members.mapInArrow(shingle, "grp long, blocks long, name long, fp binary, grams binary")
-    dealt = dealt.select("grp", own.alias("own"), other.alias("other"), "name", "fp", "grams")
-    role = F.when(F.col("own") <= F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), role.alias("role"), "name", "fp", "grams")
-    return dealt.repartition(shuffle_parts(spark), "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(compare, "a long, b long")
+    sets = materialize(members.mapInArrow(shingle, "grp long, name long, fp binary, n long, grams binary"), "simhash-shingles")
+    first = sets.groupBy("grp").agg(F.min("name").alias("first"))
+    first = first.join(sets.select("grp", F.col("name").alias("first"), F.col("fp").alias("first_fp"), F.col("grams").alias("first_grams")), ["grp", "first"])
+    told = sets.join(first, "grp").mapInArrow(lead, "grp long, name long, fp binary, n long, grams binary, first long, alike boolean")
+    told = materialize(told, "simhash-led")
+
+    def blocks(alike: bool):
+        of = F.col("alike") == alike
+        return F.greatest(F.ceil(F.count_if(of) / cell_rows), F.ceil(F.coalesce(F.sum(F.when(of, F.col("n"))), F.lit(0)) / cell_shingles)).cast("long")
+
+    sizes = told.groupBy("grp").agg(blocks(False).alias("b"), blocks(True).alias("b_alike")).where("b > 0")
+    rest = told.join(sizes, "grp")
+    own = F.when(F.col("alike"), F.col("b") + F.pmod(F.xxhash64("name"), "b_alike")).otherwise(F.pmod(F.xxhash64("name"), "b")).alias("own")
+    others = F.when(F.col("alike"), F.col("b")).otherwise(F.col("b") + F.col("b_alike")).alias("others")
+    dealt = deal_blocks(rest.select("grp", own, others, "name", "fp", "grams"), "grp", ["name", "fp", "grams"])
+    edges = dealt.repartition(shuffle_parts(spark), "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(compare, "a long, b long")
+    return edges.unionByName(told.where("alike and name <> first").select(F.col("name").alias("a"), F.col("first").alias("b")))
 
 
 #: Bits that two texts of the given shingle similarity differ in, on average, plus a deviation for the spread.
@@ -404,31 +474,35 @@ def radius_of(similarity: float, bits: int, deviations: float = 1.0) -> int:
 
 
 def drop_near_duplicates(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = 128, blocks: int = 1, band: int = 8, cell_rows: int = 512, cell_shingles: int = 1 << 21
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, bits: int = 128, bands: int = 16, per_band: int = 4,
+    tile_rows: int = 1 << 15, cell_rows: int = 512, cell_shingles: int = 1 << 21,
 ) -> DataFrame:
     """One row of each group of near-duplicates of ``docs``: that of the least doc_id, with its columns as they were.
 
     Two rows are linked if the sets of their ``width``-word shingles have a Jaccard similarity of at least
-    ``similarity``. SimHash finds the candidates: its radius is the mean of that similarity plus three deviations.
-    Each candidate link is then told by the sets themselves (as 64-bit hashes), and the groups are those of the
-    true links. Rows with a null id stay only if no row of their group has one, one for each such group.
+    ``similarity``. SimHash finds the candidates: fingerprints within the radius of that similarity, its mean plus three
+    deviations. So wide a radius leaves bit counts little to skip, so the tiles are the keys of ``bands`` bands of
+    ``per_band`` least hashes of the sets, of which two sets alike in 0.8 share one but for 2 pairs in 10,000, and only
+    fingerprints of one tile are compared. Each candidate link is then told by the sets themselves (as 64-bit hashes),
+    and the groups are those of the true links.
+
+    Defined cases: rows of equal sets are one; a null text is empty, and texts without words are one group; a text of
+    fewer words than a shingle is one shingle; rows with a null id stay only if no row of their group has one, one for
+    each such group; an empty table gives an empty result.
     """
     arrow_batches(docs.sparkSession)
     radius = radius_of(similarity, bits, 3.0)
     tagged = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row"), "text")
-    rows = materialize(set_prints(tagged, width, bits, keep=("doc", "_row")), "simhash-rows")
-    prints = rows.select(F.col("_row").alias("doc_id"), "fp", "digest", "n", F.col("doc.doc_id").cast("long").alias("id"))
-    found = materialize(link(prints, bits, radius, blocks, band), "simhash-candidates")
-    sets = found.groupBy(F.col("component_id").alias("grp"), "digest").agg(F.min("doc_id").alias("name"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    rows = materialize(set_prints(tagged, width, bits, bands, per_band, keep=("doc", "_row")), "simhash-rows")
+    first = F.min_by(F.struct("fp", "bands"), "_row").alias("s")
+    sets = rows.groupBy("digest").agg(F.min("_row").alias("name"), first).select("digest", "name", "s.*")
     sets = materialize(sets, "simhash-sets")
-    groups = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).where("m > 1")
-    parts = F.greatest(F.ceil(F.col("m") / cell_rows), F.ceil(F.col("n") / cell_shingles)).cast("long")
-    members = sets.select("grp", "name", "fp").join(groups.select("grp", parts.alias("blocks")), "grp")
+    near = components(band_links(sets, bits, radius, tile_rows))  # candidates only: sets without one are not in it
+    members = sets.join(near, F.col("name") == F.col("node")).select(F.col("label").alias("grp"), "name", "fp")
     members = members.join(rows.select(F.col("_row").alias("name"), F.col("doc.text").alias("text")), "name")
-    edges = verified_links(members.select("grp", "blocks", "name", "fp", "text"), width, similarity, bits, radius)
-    label = components(edges)
-    named = sets.join(label, F.col("name") == F.col("node"), "left").select("digest", F.coalesce("label", "name").alias("grp"))
-    first = found.join(named, "digest").groupBy("grp").agg(
-        F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("doc_id").alias("_row"))).alias("first")
-    )
+    edges = verified_links(members.select("grp", "name", "fp", "text"), width, similarity, bits, radius, cell_rows, cell_shingles)
+    named = sets.join(components(edges), F.col("name") == F.col("node"), "left").select("digest", F.coalesce("label", "name").alias("grp"))
+    named = materialize(named, "simhash-groups")
+    ids = rows.select("digest", F.col("doc.doc_id").cast("long").alias("id"), "_row").join(named, "digest")
+    first = ids.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("_row"))).alias("first"))
     return rows.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi").select("doc.*")
