@@ -490,10 +490,13 @@ def test_scores_and_base(spark, docs, clash):
 
 def test_token_probabilities_are_proper():
     """Over all continuations of any place the coded probabilities add up to one."""
-    sample = [[(w, 0) for w in (b"ab", b"abc", b"b", mixlm.END)] for _ in range(3)]
     code = mixlm.prefix_code(np.bincount(np.frombuffer(b"ab abc b \n", np.uint8), minlength=256))
     rng = np.random.default_rng(0)
-    model = mixlm.Model(rng.integers(0, 9, mixlm.SLOTS).astype(np.float32), rng.integers(0, 9, mixlm.SLOTS).astype(np.float32), code, sample)
+    model = mixlm.Model(rng.integers(0, 9, mixlm.SLOTS).astype(np.float32), rng.integers(0, 9, mixlm.SLOTS).astype(np.float32), code)
+    weights, hits, total = model.weights.copy(), np.zeros(mixlm.GATES * mixlm.CELLS), np.zeros(mixlm.GATES * mixlm.CELLS)
+    model.fit([b"ab", b"abc", b"b", mixlm.END] * 50, np.zeros(200, np.int64), np.full(200, 3), weights, hits, total)
+    assert not np.allclose(weights, model.weights)
+    model.settle([(weights, hits, total)])
     first = [bytes([c]) for c in range(256) if c != 10]
     cost = model.bits(first, np.zeros(len(first), np.int64))
     alone = []  # the cost of the first byte: of each word that is one byte and a space, less that of the space behind it
@@ -502,12 +505,81 @@ def test_token_probabilities_are_proper():
         one = mixlm.refine(mixlm.mixed_odds(model.odds[slots], gate, model.weights), gate, model.table)[0]
         p = np.where(bit, one, 1 - one)
         for t in range(len(first)):
-            mine = p[(token == t) & (place == 0)]
-            alone.append(float(np.prod(mine)))
+            alone.append(float(np.prod(p[(token == t) & (place == 0)])))
     end = 2.0 ** -model.bits([mixlm.END], np.zeros(1, np.int64))[0]
     assert abs(sum(alone) + end - 1) < 1e-3 and len(cost) == 255
 
 
+def test_what_a_text_says_is_a_distribution():
+    """x adds up to 1 - y over the words seen so far, at each place; words not seen have none."""
+    rng = random.Random(3)
+    for _ in range(40):
+        text = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(1, 25))]
+        last = [(w, *[*mixlm.told([*text, w])][-1]) for w in (b"a", b"b", b"c", b"d", b"new")]
+        assert len({round(y, 12) for _, _, y in last}) == 1 and abs(sum(x for _, x, _ in last) + last[0][2] - 1) < 1e-9
+        assert last[-1][1] == 0.0
+
+
+def test_scores_match_a_brute_force_coder(spark, docs):
+    """Counters, probabilities and sums of a small table, one occurrence at a time."""
+    train = common.crc32_of_id(F.col("doc_id")) % 7 != 2
+    slim = docs.where("doc_id is null or doc_id <> 302").select("doc_id", "text", F.col("lang").alias("label"), train.alias("learn"))
+    hints, model, words = mixlm.learn(slim, 20, 64)
+    held = {bytes(r["word"]): (r["n"], r["p"]) for r in words.collect()}
+    rows = slim.collect()
+    coded = [(mixlm.classed((r["text"] or "").encode(), hints), r["learn"]) for r in rows]
+    zeros, ones = Counter(), Counter()
+    n, by_class = Counter(), Counter()
+    for tokens, counted in coded:
+        for w, k in tokens if counted else ():
+            n[w, k] += 1
+            by_class[k] += 1
+            for slots, bit, _, _ in mixlm.pieces([w], np.array([k]), model.code):
+                for row in slots:
+                    zeros.update(row[bit == 0].tolist())
+                    ones.update(row[bit == 1].tolist())
+    for counted, table in ((zeros, model.zeros), (ones, model.ones)):
+        assert {k: int(table[k]) for k in np.nonzero(table)[0].tolist()} == dict(counted)
+    trust = {}
+    for (w, k), m in n.items():
+        bits = sum(
+            -math.log2(p if b else 1 - p)
+            for slots, bit, place, _ in mixlm.pieces([w], np.array([k]), model.code)
+            for j, b in enumerate(bit.tolist())
+            for seen in [zeros[slots[mixlm.WORD, j]] + ones[slots[mixlm.WORD, j]]]
+            for gate in [place[j] + mixlm.PLACES * ((seen > 0) + (seen > 12))]
+            for odds in [[math.log((ones[slots[q, j]] + mixlm.PRIOR) / (zeros[slots[q, j]] + mixlm.PRIOR)) for q in range(len(mixlm.WIDTHS))]]
+            for mixed in [max(-mixlm.CLIP, min(mixlm.CLIP, sum(o * float(v) for o, v in zip(odds, model.weights[:, gate]))))]
+            for cell in [gate * mixlm.CELLS + int((mixed + mixlm.CLIP) * (mixlm.CELLS - 1) / (2 * mixlm.CLIP) + 0.5)]
+            for p in [0.5 * (1 / (1 + math.exp(-mixed)) + float(model.table[cell]))]
+        )
+        share, p = m / by_class[k], held[w][1][k]
+        if abs(share - 2.0**-bits) > 0.02:  # the weight of the two parts, one for each class
+            t = (p - 2.0**-bits) / (share - 2.0**-bits)
+            assert 0 <= t <= 1 and abs(t - trust.setdefault(k, t)) < 0.01
+    want = Counter()
+    for r, (tokens, _) in zip(rows, coded):
+        bits, seen, pairs = 0.0, [], []
+        (a, b), (c, d) = mixlm.ASKED, mixlm.ASKED
+        for w, k in tokens:
+            p = held[w][1][k]
+            if seen:
+                t = mixlm.TRUST * a / b
+                p = t * seen.count(w) / len(seen) + (1 - t) * p
+                a, b = a + (w in seen), b + 1
+                after = [y for x, y in pairs if x == seen[-1]]
+                if after:
+                    t = mixlm.TRUST * c / d
+                    p = t * after.count(w) / len(after) + (1 - t) * p
+                    c, d = c + (w in after), d + 1
+                pairs.append((seen[-1], w))
+            seen.append(w)
+            bits -= math.log2(p)
+        want[r["doc_id"], len(tokens), round(-bits * math.log10(2), 3)] += 1
+    out = mixlm.score(slim.withColumnRenamed("label", "lang"), F.col("learn"), label="lang", sample_rows=20, hint_words=64, head_words=8).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], round(r["score"], 3)) for r in out) == want
+
+
 def test_model_beats_base_on_held_out(spark):
     """Two languages of disjoint words: a text's class is worth a bit a word, and unseen words have known parts."""
     rng = random.Random(8)
