@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RANGE = re.compile(r"<t>\s*([0-9]+(?:\.[0-9]+)?)s\s*-\s*([0-9]+(?:\.[0-9]+)?)s\s*</t>", re.I)
-BOXED = re.compile(r"\s+at\s+<t>[0-9]+(?:\.[0-9]+)?s</t>\s*<box>")
-# Marks of assistant turns and of their ends in rendered chats.
-TURN_MARKS = ("<|im_start|>assistant\n", "<|im_start|>assistant", "<start_of_turn>model\n", "<start_of_turn>model", "<|assistant|>\n", "<|assistant|>")
-END_MARKS = ("<|im_end|>", "<end_of_turn>", "</s>")
+# Marks of assistant turns and of their ends in rendered chats, and the tags of what is learned.
+TURN = re.compile(r"(?:<\|im_start\|>assistant|<start_of_turn>model|<\|assistant\|>)\n{0,2}(.*?)(?:<\|im_end\|>|<end_of_turn>|</s>|\Z)", re.S)
+LEARNED = re.compile(r"<think>.*?</think>(?:.*?<answer>.*?</answer>)?|<answer>.*?</answer>", re.S)
+CLOSE = re.compile(r"\s*(?:<\|im_end\|>|<end_of_turn>|</s>)?")
 INT = T.IntegerType()
 PAIR = T.ArrayType(T.StructType([T.StructField("begin", INT), T.StructField("end", INT)]))
 MENTION = T.ArrayType(
@@ -23,97 +25,45 @@ MENTION = T.ArrayType(
 
 
 def noun_mentions(text: str, nouns) -> list[dict]:
-    """For each noun its first mention with a time range somewhere before it, in text order.
+    """Mentions of nouns with the last time range before each, in text order.
 
-    A noun listed twice gets its next mention; a mention without a range before it ends the search.
+    A noun listed k times gets its first k mentions, and none at all if no range stands before the first.
     """
-    ranges = [(m.end(), float(m.group(1)), float(m.group(2))) for m in RANGE.finditer(text)]
-    found, used = [], set()
-    for noun in nouns if nouns is not None else ():
-        at = text.find(noun) if noun else -1
-        while at >= 0:
-            before = [r for r in ranges if r[0] <= at]
-            if not before:
-                break
-            if (noun, at) not in used:
-                used.add((noun, at))
-                found.append({"noun": noun, "start_sec": before[-1][1], "end_sec": before[-1][2], "begin": at, "end": at + len(noun)})
-                break
-            at = text.find(noun, at + len(noun))
+    ranges = list(RANGE.finditer(text))
+    ends = [r.end() for r in ranges]
+    found = []
+    for noun, times in Counter(n for n in (nouns if nouns is not None else ()) if n).items():
+        spots = [m.span() for m in re.finditer(re.escape(noun), text)]
+        if not ends or not spots or spots[0][0] < ends[0]:
+            continue
+        for begin, end in spots[:times]:
+            last = ranges[bisect_right(ends, begin) - 1]
+            found.append({"noun": noun, "start_sec": float(last[1]), "end_sec": float(last[2]), "begin": begin, "end": end})
     return sorted(found, key=lambda m: m["begin"])
 
 
-def next_unboxed(text: str, noun: str, at: int):
-    """The next mention that no box follows yet."""
-    while (k := text.find(noun, at)) >= 0:
-        if not BOXED.match(text[k + len(noun) : k + len(noun) + 80]):
-            return k
-        at = k + len(noun)
-    return None
-
-
 def place_boxes(text: str, mentions) -> str:
-    """Writes time and box behind each mention (noun, start_sec, box), moving on from one to the next."""
-    cursor = 0
+    """Writes time and box behind each mention (noun, start_sec, box): the next one without a box from the last written on, else the first."""
+    done = 0
     for m in mentions if mentions is not None else ():
         if m["box"] is None:
             continue
-        at = next_unboxed(text, m["noun"], cursor)
-        at = next_unboxed(text, m["noun"], 0) if at is None else at
-        if at is None:
-            continue
-        put = f"{m['noun']} at <t>{m['start_sec']:.1f}s</t><box>{[int(b) for b in m['box']]}</box>"
-        text = text[:at] + put + text[at + len(m["noun"]) :]
-        cursor = at + len(put)
+        spots = [s.span(1) for s in re.finditer(rf"({re.escape(m['noun'])})(?!\s+at\s+<t>[0-9]+(?:\.[0-9]+)?s</t>\s*<box>)", text)]
+        spot = next((s for s in spots if s[0] >= done), spots[0] if spots else None)
+        if spot:
+            put = f"{m['noun']} at <t>{m['start_sec']:.1f}s</t><box>{[int(b) for b in m['box']]}</box>"
+            text, done = text[: spot[0]] + put + text[spot[1] :], spot[0] + len(put)
     return text
 
 
-def _first(text: str, marks, start: int):
-    hits = [(p, -len(m), m) for m in marks if (p := text.find(m, start)) >= 0]
-    return (min(hits)[0], min(hits)[2]) if hits else (-1, "")
-
-
-def assistant_spans(text: str) -> list[tuple[int, int]]:
-    """What assistants say in a rendered chat; the whole text if no turn is marked."""
-    spans, at = [], 0
-    while at < len(text):
-        begin, mark = _first(text, TURN_MARKS, at)
-        if begin < 0:
-            break
-        begin += len(mark)
-        begin += text.startswith("\n", begin)
-        end, stop = _first(text, END_MARKS, begin)
-        if begin < (len(text) if end < 0 else end):
-            spans.append((begin, len(text) if end < 0 else end))
-        at = len(text) if end < 0 else end + len(stop)
-    return spans or [(0, len(text))]
-
-
 def label_spans(text: str) -> list[tuple[int, int]]:
-    """Parts to learn from: think blocks with the answer behind them, or answers alone, with the end mark that follows."""
-    out = []
-    for begin, stop in assistant_spans(text or ""):
-        at = begin
-        while at < stop:
-            think, answer = text.find("<think>", at, stop), text.find("<answer>", at, stop)
-            if think < 0 and answer < 0:
-                break
-            tag = "think" if think >= 0 and (answer < 0 or think < answer) else "answer"
-            first = think if tag == "think" else answer
-            close = text.find(f"</{tag}>", first + len(tag) + 2, stop)
-            if close < 0:
-                at = first + len(tag) + 2
-                continue
-            end = close + len(tag) + 3
-            if tag == "think" and (answer := text.find("<answer>", end, stop)) >= 0:
-                closed = text.find("</answer>", answer + 8, stop)
-                end = closed + 9 if closed >= 0 else end
-            while end < len(text) and text[end].isspace():
-                end += 1
-            end += max((len(m) for m in END_MARKS if text.startswith(m, end)), default=0)
-            out.append((first, end))
-            at = end
-    return out
+    """Parts to learn from: think blocks with the answer behind them, or answers alone, with the end mark that follows.
+
+    Only what assistants say counts; the whole text if no turn of theirs is marked.
+    """
+    turns = [m.span(1) for m in TURN.finditer(text) if m[1]] or [(0, len(text))]
+    parts = (m for begin, end in turns for m in LEARNED.finditer(text, begin, end))
+    return [(m.start(), CLOSE.match(text, m.end()).end()) for m in parts]
 
 
 def find_pattern(ids, pattern) -> list[int]:
