@@ -87,12 +87,18 @@ def robust_scale(df: DataFrame, value: str, by: list[str] | None = None) -> Data
     return joined.withColumn("scaled", F.when(hi - lo < 1e-6, 127).otherwise((share * 255).cast("int"))).drop("p", "lo", "hi")
 
 
-def index_list(text: Column) -> Column:
-    """'0-3,7' as numbers, each once."""
+def index_list(text: Column, within: Column | None = None) -> Column:
+    """'0-3,7' as numbers, each once. ``within``: how many there are; one outside raises, and an empty text is all."""
     parts = F.transform(F.filter(F.split(text, ","), lambda p: F.trim(p) != ""), lambda p: F.trim(p))
     ends = lambda p: F.split(p, r"\s*-\s*")
     runs = F.transform(parts, lambda p: F.sequence(ends(p)[0].cast("int"), F.element_at(ends(p), -1).cast("int")))
-    return F.array_distinct(F.flatten(runs))
+    found = F.array_distinct(F.flatten(runs))
+    if within is None:
+        return found
+    outside = F.concat(F.lit("index outside 0.."), (within - 1).cast("string"), F.lit(": "), text)
+    some = F.when(F.exists(found, lambda k: (k < 0) | (k >= within)), F.raise_error(outside).cast("array<int>")).otherwise(found)
+    every = F.when(within > 0, F.sequence(F.lit(0), within - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.coalesce(text, F.lit("")) == "", every).otherwise(some)
 
 
 def square_grid(tokens: Column, frames: Column) -> Column:
@@ -186,6 +192,8 @@ def rope_positions(ids, grids, vision_start: int, image: int, video: int, merge:
             block = [(at + steps[a], at + b, at + c) for a, b, c in product(range(t), range(h), range(w))]
             out += block
             k += len(block)
+            if not block:  # a grid smaller than a merged cell has no tokens
+                continue
             at = max(max(p) for p in block) + 1
         else:
             out.append((at, at, at))

@@ -133,6 +133,29 @@ def clip_frames(frames: Column, interval: Column, least: int, most: int) -> Colu
     return F.least(F.lit(most), F.greatest(F.lit(least), F.bround(frames / interval.cast("double")).cast("int")))
 
 
+def sampled_frames(fixed: list[Column], limit: Column, source: Column, duration: Column, fps: Column) -> Column:
+    """Frames that are taken of a video: a processor's own number, else the limit, else duration by rate, none beyond the source; else all of it.
+
+    ``fixed``: the processor's settings in order of precedence. ``limit``: null where a model knows none.
+    """
+    given = F.coalesce(*[positive_int(c) for c in fixed], positive_int(limit))
+    by_rate = F.greatest(F.lit(1), F.bround(duration * fps).cast("int"))
+    taken = F.coalesce(given, by_rate)
+    return F.when(taken.isNull(), source).when(source > 0, F.least(taken, source)).otherwise(taken)
+
+
+def sample_fps(rates: list[Column], fixed_count: Column, duration: Column, frames: Column) -> Column:
+    """The rate of sampling: the first that is set, unless a fixed number of frames is taken; else frames by duration."""
+    given = F.when(~fixed_count, F.coalesce(*[positive_double(c) for c in rates]))
+    return F.coalesce(given, F.try_divide(frames.cast("double"), duration))
+
+
+def capped_frames(asked: Column, sources: Column) -> Column:
+    """Frames asked for, no more than the shortest of the videos that tell how many they have."""
+    known = F.filter(sources, lambda n: n > 0)
+    return F.when(positive_int(asked).isNull(), asked).otherwise(F.least(asked, F.array_min(known)))
+
+
 def visual_tokens(t: Column, h: Column, w: Column) -> Column:
     """Tokens of a patch grid whose 2 x 2 cells are merged."""
     return F.floor(t * h * w / 4).cast("long")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillon.functions.text import all_tags, first_tag, has_tag, strip
+from quillon.functions.text import all_tags, first_tag, has_tag, let, strip
 
 # The dimensions of the three schemas, their aliases and groups.
 MERGED = ("Video Quality", "Motion & Interaction", "Prompt Alignment")
@@ -29,6 +29,7 @@ ALIASES = {
     ),
 }
 SCHEMAS = {"merged": MERGED, "legacy": LEGACY, "single_issue": SINGLE}
+# Words that the trainer takes for yes and for no.
 TRAINER_YES = ("yes", "good", "true", "correct", "present", "exists", "aligned", "match", "matched", "plausible")
 TRAINER_NO = ("no", "bad", "false", "incorrect", "absent", "missing", "misaligned", "mismatch", "implausible")
 #: Model families by the first keyword that a name holds, in this order.
@@ -61,10 +62,18 @@ def single_issue_label(c: Column) -> Column:
     return F.when(plain != "fail", plain).when(F.size(hits) == 1, F.lower(hits[0])).otherwise("fail")
 
 
-def keyed_label(c: Column, key: str) -> Column:
-    names = "|".join(rf"\Q{a}\E" for a in ALIASES.get(key, (key,)))
-    pattern = rf"(?iU)\[?\s*(?:{names})\s*\]?\s*[:：]\s*([A-Za-z]+)"
-    return F.when(c.rlike(pattern), scorer_label(F.regexp_extract(c, pattern, 1))).otherwise("fail")
+def keyed_words(c: Column, keys: tuple[str, ...]) -> Column:
+    """(key in lower case, word behind its colon) wherever a key or an alias of it stands, in one search."""
+    names = "|".join(rf"\Q{a}\E" for key in keys for a in ALIASES.get(key, (key,)))
+    pattern = F.lit(rf"(?iU)({names})\s*\]?\s*[:：](?=\s*([A-Za-z]+))")
+    found = F.arrays_zip(F.regexp_extract_all(c, pattern, 1).alias("key"), F.regexp_extract_all(c, pattern, 2).alias("word"))
+    return F.transform(found, lambda p: F.struct(F.lower(p["key"]).alias("key"), p["word"].alias("word")))
+
+
+def keyed_label(words: Column, key: str) -> Column:
+    """The label of a key among ``keyed_words``, that of its first place."""
+    mine = F.filter(words, lambda p: p["key"].isin(*[a.lower() for a in ALIASES.get(key, (key,))]))
+    return F.coalesce(scorer_label(F.try_element_at(mine, F.lit(1))["word"]), F.lit("fail"))
 
 
 def merge_for_scoring(labels: list[Column]) -> Column:
@@ -92,15 +101,21 @@ def answer_body(c: Column) -> Column:
 
 def parse_verdicts(c: Column, schema: str) -> dict[str, Column]:
     """The label of each dimension; merged ones that fail fall back to the seven older ones."""
-    body = answer_body(c)
     if schema == "single_issue":
-        return {"Answer": single_issue_label(body)}
-    found = {key: keyed_label(body, key) for key in SCHEMAS[schema]}
-    if schema == "merged":
-        old = {"Video Quality": keyed_label(body, "Video Quality")}
-        old |= {key: merge_for_scoring([keyed_label(body, k) for k in keys]) for key, keys in GROUPS.items()}
-        found = {key: F.when(x == "fail", old[key]).otherwise(x) for key, x in found.items()}
-    return found
+        return {"Answer": let(answer_body(c), single_issue_label)}
+    old = dict.fromkeys(k for keys in GROUPS.values() for k in keys) if schema == "merged" else {}
+    every = (*SCHEMAS[schema], *old)
+    told = let(keyed_words(answer_body(c), every), lambda words: F.struct(*[keyed_label(words, k).alias(f"d{i}") for i, k in enumerate(every)]))
+
+    def settle(label):
+        found = {key: label[f"d{i}"] for i, key in enumerate(every)}
+        new = {key: found[key] for key in SCHEMAS[schema]}
+        if schema == "merged":
+            new |= {key: F.when(new[key] == "fail", merge_for_scoring([found[k] for k in keys])).otherwise(new[key]) for key, keys in GROUPS.items()}
+        return F.struct(*[x.alias(f"d{i}") for i, x in enumerate(new.values())])
+
+    done = let(told, settle)
+    return {key: done[f"d{i}"] for i, key in enumerate(SCHEMAS[schema])}
 
 
 def trainer_answers(c: Column) -> dict[str, Column]:

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions.geometry import frame_index
+
+# Bare ends of evidence, tags of time ranges.
 EDGE = " .,:;\"'"
 RANGE_TAG = r"(?i)<t>\s*([0-9]+(?:\.[0-9]+)?)s\s*-\s*([0-9]+(?:\.[0-9]+)?)s\s*</t>"
 PLAIN_RANGE = r"<t>([0-9.]+)s-([0-9.]+)s</t>"
@@ -82,14 +85,13 @@ def mentions_machine(c: Column) -> Column:
 
 def distinct_by_key(sentences: Column) -> Column:
     """Sentences with a key, the first of each key kept, in order."""
-    pairs = F.filter(F.transform(sentences, lambda s: F.struct(sentence_key(s).alias("k"), strip(s).alias("s"))), lambda p: p["k"] != "")
-    empty = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out"))
+    keyed = F.transform(sentences, lambda s, i: F.struct(sentence_key(s).alias("k"), i.alias("i"), strip(s).alias("s")))
 
-    def add(acc, p):
-        old = F.array_contains(acc["seen"], p["k"])
-        return F.when(old, acc).otherwise(F.struct(F.array_append(acc["seen"], p["k"]).alias("seen"), F.array_append(acc["out"], p["s"]).alias("out")))
+    def firsts(by_key):
+        mine = F.filter(by_key, lambda p, i: (p["k"] != "") & ((i == 0) | (F.get(by_key, i - 1)["k"] != p["k"])))
+        return F.transform(F.array_sort(F.transform(mine, lambda p: F.struct(p["i"], p["s"]))), lambda p: p["s"])
 
-    return F.aggregate(pairs, empty, add)["out"]
+    return let(F.array_sort(keyed), firsts)
 
 
 def clean_reasoning(c: Column) -> Column:
@@ -213,6 +215,14 @@ def strip_time_tags(c: Column) -> Column:
     return F.when(time_tag_count(c) > 0, strip(F.regexp_replace(gone, r" *\n *", "\n"))).otherwise(c)
 
 
+def strip_turn_tags(conversations: Column) -> Column:
+    """(conversations, n): the model's turns without time tags, and how many tags there were."""
+    mine = F.filter(conversations, lambda t: t["from"] == "gpt")
+    n = F.aggregate(F.transform(mine, lambda t: F.coalesce(time_tag_count(t["value"]), F.lit(0))), F.lit(0), lambda a, x: a + x)
+    turn = lambda t: F.struct(t["from"].alias("from"), F.when(t["from"] == "gpt", strip_time_tags(t["value"])).otherwise(t["value"]).alias("value"))
+    return F.struct(F.transform(conversations, turn).alias("conversations"), n.alias("n"))
+
+
 def time_tag_count(c: Column) -> Column:
     return F.regexp_count(c, _rx(TIME_TAG))
 
@@ -260,6 +270,47 @@ def time_spans(c: Column) -> Column:
     return F.flatten(F.transform(blocks, of))
 
 
+def tag_slots(c: Column) -> Column:
+    """Every range tag of a text in order: the tag, and whether it stands in a closed think block."""
+
+    def of(pieces):
+        mark = lambda p: F.lower(F.regexp_extract(p, r"(?is).*(</?think>)", 1))
+        opens = F.transform(pieces, mark)
+
+        def inside(k):
+            last = F.try_element_at(F.filter(F.slice(opens, 1, k + 1), lambda m: m != ""), F.lit(-1))
+            closed = F.exists(F.slice(pieces, k + 2, F.size(pieces)), lambda p: p.rlike("(?i)</think>"))
+            return F.coalesce(last == "<think>", F.lit(False)) & closed
+
+        return F.transform(F.regexp_extract_all(c, _rx(RANGE_TAG), 0), lambda t, k: F.struct(t.alias("tag"), inside(k).alias("inside")))
+
+    return let(F.split(c, RANGE_TAG), of)
+
+
+def annotate_tags(c: Column, notes: Column) -> Column:
+    """The k-th range tag within think blocks replaced by the k-th note; a null note leaves it."""
+
+    def put(slots):
+        nth = lambda k: F.size(F.filter(F.slice(slots, 1, k + 1), lambda s: s["inside"]))
+        marks = F.transform(slots, lambda s, k: F.when(s["inside"], F.coalesce(F.get(notes, nth(k) - 1), s["tag"])).otherwise(s["tag"]))
+        return F.array_join(_weave(F.split(c, RANGE_TAG), marks), "")
+
+    return let(tag_slots(c), put)
+
+
+def viz_spans(c: Column, fps: Column, frames: Column) -> Column:
+    """(start_sec, end_sec, text, frame) of each range tag: the sentence behind it and the frame it starts at."""
+    a, b = (F.regexp_extract_all(c, _rx(RANGE_TAG), k) for k in (1, 2))
+    after = F.slice(F.split(c, RANGE_TAG), 2, F.greatest(F.size(a), F.lit(1)))
+
+    def span(z):
+        start = z["a"].cast("double")
+        return F.struct(start.alias("start_sec"), z["b"].cast("double").alias("end_sec"), sentence_after(z["e"]).alias("text"), frame_index(start, fps, frames).alias("frame"))
+
+    spans = F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), after.alias("e")), span)
+    return F.when(F.size(a) > 0, spans).otherwise(F.slice(spans, 1, 0))
+
+
 def format_seconds(x: Column) -> Column:
     """Whole seconds without decimals, others with one."""
     near = F.abs(x - F.bround(x)) < 1e-6
@@ -296,6 +347,7 @@ STOP_VERBS = (
     "will|would|does|do|did|can|is|are|was|were|looks?|seems?|becomes?|"
     "unzipped?|opens?|closes?|turns?|transforms?|interacts?"
 )
+#: Fixed value: headings of evidence.
 EVIDENCE_PREFIX = r"(?is)^\s*(?:video caption\s*:\s*.*?(?:\n|\z))*(?:physics violation issue|issue|violation|evidence)\s*:\s*"
 
 
@@ -367,6 +419,30 @@ def content_key(*columns: Column) -> Column:
     return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"))
 
 
+def record_key(index: Column, metadata: Column, *content: Column) -> Column:
+    """'index:name:value' by the first of id, source_line and video_url that the metadata (JSON) has, else a hash of index and content."""
+    named = [F.concat_ws(":", index.cast("string"), F.lit(k), v) for k in ("id", "source_line", "video_url") for v in [F.get_json_object(metadata, f"$.{k}")]]
+    have = [F.when(F.get_json_object(metadata, f"$.{k}").isNotNull(), n) for k, n in zip(("id", "source_line", "video_url"), named)]
+    return F.coalesce(*have, content_key(index.alias("index"), *content))
+
+
+def parse_box(c: Column) -> Column:
+    """'[x1,y1,x2,y2]' as whole numbers; null if it is no such list."""
+    return F.from_json(c, "array<int>")
+
+
+def field_time(record: Column, question: str) -> Column:
+    """Range tag of a JSON record's question; a plain field stands in for the final one only where that key is absent, not where it is null."""
+    keys = F.json_object_keys(record)
+
+    def get(part):
+        final_, plain = f"[Final]{question}{part}", f"{question}{part}"
+        fields = F.from_json(record, "map<string,string>")
+        return F.when(F.array_contains(keys, final_), F.element_at(fields, final_)).otherwise(F.element_at(fields, plain))
+
+    return F.coalesce(range_tag(get("_start_sec"), get("_end_sec")), F.lit(""))
+
+
 def consistency_score(c: Column) -> Column:
     hit = F.regexp_extract(c, r"(?i)Consistency\s*Score\s*[:：]?\s*\**\s*([01](?:\.\d+)?)", 1).try_cast("double")
     return F.when(hit.between(0.0, 1.0), hit)
@@ -393,6 +469,20 @@ def prompt_between(c: Column, loose: bool = True) -> Column:
     return F.when(c.rlike(pattern), strip(F.regexp_extract(c, pattern, 1)))
 
 
+def video_candidates(video: Column, roots: list[str], here: str) -> Column:
+    """Places where a relative video may be, each once, in order; an absolute one is the only place."""
+    inner = F.regexp_replace(video, "^videos/+", "")
+    places = []
+    for root in roots:
+        places.append(absolute_path(F.lit(root), video))
+        if root.rstrip("/").rpartition("/")[2] == "videos":
+            places.append(F.when(F.startswith(video, F.lit("videos/")), absolute_path(F.lit(root), inner)))
+    places.append(absolute_path(F.lit(here), video))
+    places.append(F.when(~F.startswith(video, F.lit("data/")), absolute_path(F.lit(f"{here}/data"), video)))
+    found = F.array_distinct(F.filter(F.array(*places), lambda p: p.isNotNull()))
+    return F.when(F.startswith(video, F.lit("/")), F.array(video)).otherwise(found)
+
+
 def has_caption(c: Column) -> Column:
     at = F.locate("<think>", c)
     return (at > 0) & c.substr(at + 7, F.length(c)).rlike(r"(?i)^\s*Video Caption\s*:")

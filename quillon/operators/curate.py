@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.labels import yes_no
@@ -65,22 +65,27 @@ def annotation(issue: str) -> Column:
     return F.struct(decision.alias("decision"), evidence.alias("evidence"), tag.alias("time_tag"))
 
 
+def fragment_of(name: Column, a: Column):
+    """(evidence, fragment) of an affirmed issue."""
+    evidence = some(a["evidence"], F.concat(F.lit("There is a "), F.lower(name), F.lit(".")))
+    tag = F.when(a["time_tag"] != "", F.concat(a["time_tag"], F.lit(" "))).otherwise("")
+    return evidence, F.trim(F.concat(name, F.lit(": "), tag, evidence))
+
+
 def fragments(rows: DataFrame) -> DataFrame:
     """One row per issue that a survey row affirms: issue, evidence key, fragment, score."""
     parts = F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(i).alias("issue"), F.lit(ISSUES[i][1]).alias("name"), annotation(i).alias("a")) for k, i in enumerate(ISSUES)])
     yes = rows.withColumn("_ev", evaluation(F.col("final_eval_result"))).withColumn("p", F.explode(parts)).where(F.col("p.a.decision") == "Yes").drop("_ev")
-    evidence = some(F.col("p.a.evidence"), F.concat(F.lit("There is a "), F.lower("p.name"), F.lit(".")))
-    tag = F.when(F.col("p.a.time_tag") != "", F.concat(F.col("p.a.time_tag"), F.lit(" "))).otherwise("")
-    out = yes.withColumn("fragment", F.trim(F.concat(F.col("p.name"), F.lit(": "), tag, evidence)))
+    evidence, fragment = fragment_of(F.col("p.name"), F.col("p.a"))
+    out = yes.withColumn("fragment", fragment)
     key = some(evidence_key(evidence), evidence_key(F.col("fragment")))
     return out.withColumns({"rank": F.col("p.rank"), "issue": F.col("p.issue"), "evidence_key": key, "score": time_tag_score(F.col("fragment"))}).drop("p")
 
 
 def best_fragments(rows: DataFrame, by: str, order: str) -> DataFrame:
     """Of each (video, issue, evidence) the fragment of the greatest score, the first on ties, at the place of the first."""
-    group = Window.partitionBy(by, "issue", "evidence_key")
-    ranked = rows.withColumn("place", F.min(order).over(group)).withColumn("rn", F.row_number().over(group.orderBy(F.col("score").desc(), order)))
-    return ranked.where("rn = 1").select(by, "rank", "issue", "place", "fragment")
+    best = F.min_by("fragment", F.struct(-F.col("score"), F.col(order)))
+    return rows.groupBy(by, "rank", "issue", "evidence_key").agg(F.min(order).alias("place"), best.alias("fragment")).drop("evidence_key")
 
 
 def gpt_value(reasons: dict[str, Column]) -> Column:
@@ -119,10 +124,26 @@ def merge_videos(rows: DataFrame, order: str = "_seq", human: str = "<video>\n")
 
 
 def rows_mode(rows: DataFrame, order: str = "_seq", human: str = "<video>\n") -> DataFrame:
-    """A record per row: merging with every row a video of its own."""
-    alone = rows.withColumn("_ref", video_ref()).where("_ref <> ''")
-    out = merge_videos(alone.withColumns({"video_path": F.concat_ws("\u0001", F.lpad(F.col(order).cast("string"), 20, "0"), "_ref"), "source_file": F.col("source_file")}), order, human)
-    return out.withColumn("videos", F.transform("videos", lambda v: F.substring_index(v, "\u0001", -1)))
+    """A record per row with a video: what merging would make of that row alone. A projection; nothing is shuffled."""
+    alone = rows.withColumn("_ref", video_ref()).where("_ref <> ''").withColumn("_ev", evaluation(F.col("final_eval_result")))
+    alone = alone.withColumns({f"_{i}": annotation(i) for i in ISSUES})
+
+    def reason_of(dim):
+        told = [F.when(F.col(f"_{i}.decision") == "Yes", fragment_of(F.lit(name), F.col(f"_{i}"))[1]) for i, (_, name, d) in ISSUES.items() if d == dim]
+        return F.concat_ws(" ", *told)
+
+    value = gpt_value({d: reason_of(d) for d in DIMENSIONS})
+    texts = [clean_text(F.col(c)).alias(c) for c in TEXTS]
+    listed = lambda c: F.filter(F.array(c), lambda x: x.isNotNull())
+    return alone.select(
+        F.col(order).alias("first_seq"), F.array("_ref").alias("videos"), conversation(F.lit(human), value),
+        F.struct(*texts, listed("category").alias("categories"), listed("source_file").alias("source_files")).alias("metadata"),
+    )
+
+
+def conversation(human: Column, gpt: Column) -> Column:
+    turn = lambda who, said: F.struct(F.lit(who).alias("from"), said.alias("value"))
+    return F.array(turn("human", human), turn("gpt", gpt)).alias("conversations")
 
 
 def single_issue_fallbacks(issue: str, negative: str) -> dict[str, Column]:
@@ -159,14 +180,18 @@ def reason(decision: Column, evidence: Column, tag: Column, name: str, negative:
     return ensure_sentence(F.when(decision == "No", some(evidence, F.lit(negative))).otherwise(affirmed))
 
 
-def single_issue_records(rows: DataFrame, parts: dict[str, Column], question: str, field: str = "auto") -> DataFrame:
-    """videos and conversations of the rows with a video and a decision."""
+def single_issue_records(rows: DataFrame, parts: dict[str, Column], question: str, field: str = "auto", metadata: bool = False) -> DataFrame:
+    """videos and conversations of the rows with a video and a decision, and on request where they come from."""
     built = rows.withColumns({"_video": video_ref(field), "_decision": parts["decision"], "_reason": parts["reason"]}).where("_video <> '' and _decision is not null")
     value = F.concat(F.lit("<think>\n"), F.col("_reason"), F.lit("\n</think>\n<answer>\n"), F.col("_decision"), F.lit("\n</answer>"))
-    return built.select(
-        F.array("_video").alias("videos"),
-        F.array(F.struct(F.lit("human").alias("from"), F.lit(question).alias("value")), F.struct(F.lit("gpt").alias("from"), value.alias("value"))).alias("conversations"),
-    )
+    there = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    kept = F.struct(there("source_line").alias("source_line"), *[clean_text(there(c)).alias(c) for c in ("source_file", "video_path", *TEXTS)], there("video_duration_sec").alias("video_duration_sec"))
+    return built.select(F.array("_video").alias("videos"), conversation(F.lit(question), value), *([kept.alias("metadata")] if metadata else []))
+
+
+def category_counts(rows: DataFrame) -> DataFrame:
+    """Rows of each category, and how many of them have no video."""
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(video_ref() == "").alias("skipped"))
 
 
 def conversion_stats(rows: DataFrame, decision: Column, field: str = "auto") -> DataFrame:

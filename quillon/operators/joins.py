@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.split import positions
+
 
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not done yet. Keys are made distinct first, so a key done often costs one row."""
@@ -56,6 +60,17 @@ def zip_rows(a: DataFrame, b: DataFrame, index: str) -> DataFrame:
     return a.join(b, index)
 
 
+def zip_in_order(a: DataFrame, b: DataFrame, order_a: list[str], order_b: list[str], index: str = "_idx") -> DataFrame:
+    """Two tables side by side, each in an order of its own."""
+    return zip_rows(positions(a, order_a, index), positions(b, order_b, index), index)
+
+
+def concat(*tables: DataFrame) -> DataFrame:
+    """Tables end to end; a column that one lacks is null there. ``_part`` tells them apart, in order."""
+    marked = [t.withColumn("_part", F.lit(k)) for k, t in enumerate(tables)]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), marked)
+
+
 def preceding_span(spans: Column, at: Column) -> Column:
     """The last (begin, end, ...) of a row's spans that ends at or before a position."""
     return F.try_element_at(F.filter(spans, lambda s: s["end"] <= at), F.lit(-1))

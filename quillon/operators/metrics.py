@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.labels import parse_verdicts
-from quillon.functions.text import consistency_score
+from quillon.functions.text import consistency_score, let
 
 COUNTS = ("total", "gt_yes", "gt_no", "correct", "tp", "tn", "fp", "fn", "fail_pred")
 
@@ -18,8 +18,11 @@ def ratio(a: Column, b: Column) -> Column:
 
 def verdict_rows(results: DataFrame, schema: str) -> DataFrame:
     """results(answer, ground_truth) to one row (dim, pred, gt) per dimension."""
-    said, true = parse_verdicts(F.col("answer"), schema), parse_verdicts(F.col("ground_truth"), schema)
-    rows = F.array(*[F.struct(F.lit(k).alias("dim"), said[k].alias("pred"), true[k].alias("gt")) for k in said])
+    def sides(pair):
+        said, true = parse_verdicts(pair["a"], schema), parse_verdicts(pair["g"], schema)
+        return F.array(*[F.struct(F.lit(k).alias("dim"), said[k].alias("pred"), true[k].alias("gt")) for k in said])
+
+    rows = let(F.struct(F.col("answer").alias("a"), F.col("ground_truth").alias("g")), sides)
     return results.select(F.explode(rows).alias("r")).select("r.*")
 
 

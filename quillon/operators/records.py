@@ -37,6 +37,13 @@ def first_value(conversations: Column, speaker: str) -> Column:
     return F.coalesce(F.try_element_at(said, F.lit(1))["value"], F.lit(None if speaker == "human" else ""))
 
 
+def required_value(conversations: Column, speaker: str = "human") -> Column:
+    """Value of the first turn of a speaker; a record without one raises."""
+    found = first_value(conversations, speaker)
+    has = F.exists(conversations, lambda t: t["from"] == speaker)
+    return F.when(F.coalesce(has, F.lit(False)), found).otherwise(F.raise_error(F.lit(f"no turn of {speaker}")).cast("string"))
+
+
 def last_value(conversations: Column) -> Column:
     return F.try_element_at(conversations, F.lit(-1))["value"]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.labels import GROUPS, LEGACY, MERGED, answers, format_answer, merge_for_rewriting
@@ -147,7 +147,10 @@ def _any_no(verdicts: dict[str, Column], dims) -> Column:
 
 
 def reasoning_lines(value: Column) -> Column:
-    """Trace with one line per verdict group: what is good together, what is not with its shared reason."""
+    """Trace with one line per verdict group: what is good together, what is not with its shared reason.
+
+    The stock sentences here and in ``reasoning_texts`` are fixed values.
+    """
     said, verdict = video_eval(value)
     motion, prompt = GROUPS["Motion & Interaction"], GROUPS["Prompt Alignment"]
     instead = lambda text, bad, default: F.when((text == "") & bad, default).otherwise(text)
@@ -197,6 +200,31 @@ def rewritten_response(value: Column) -> Column:
     return F.concat(F.lit("<think>\n"), reasoning_lines(value), F.lit("\n</think>\n<answer>\n"), format_answer(verdict), F.lit("\n</answer>"))
 
 
+def traced_response(value: Column) -> Column:
+    """The trace by texts, on one line, and the seven verdicts, missing ones left blank."""
+    verdict = video_eval(value)[1]
+    return F.concat(F.lit("<think>\n"), F.concat_ws(" ", *reasoning_texts(value).values()), F.lit("\n</think>\n<answer>\n"), format_answer(verdict), F.lit("\n</answer>"))
+
+
+def answer_dict(value: Column) -> Column:
+    """The seven verdicts as a map, missing ones ''."""
+    return F.create_map(*[x for d, v in video_eval(value)[1].items() for x in (F.lit(d), v)])
+
+
+def convert_records(records: DataFrame, question: str, by_lines: bool) -> DataFrame:
+    """Whole records rewritten: ``question`` with the prompt of the human turn in place of ``{prompt}``, and a new response.
+
+    With a trace by lines a record without a prompt gets an empty one; with one by texts it is left out.
+    """
+    human, gpt = (F.try_element_at("conversations", F.lit(k))["value"] for k in (1, 2))
+    asked = records.withColumns({"_prompt": textual_prompt(human), "_gpt": rewritten_response(gpt) if by_lines else traced_response(gpt)})
+    if not by_lines:
+        asked = asked.where("_prompt is not null")
+    said = F.concat(F.lit("<video>\n"), F.replace(F.lit(question), F.lit("{prompt}"), F.coalesce("_prompt", F.lit(""))))
+    turn = lambda who, c: F.struct(F.lit(who).alias("from"), c.alias("value"))
+    return asked.withColumn("conversations", F.array(turn("human", said), turn("gpt", F.col("_gpt")))).drop("_prompt", "_gpt")
+
+
 def textual_prompt(human: Column) -> Column:
     """The prompt of a human turn with doubled stops made single; null if it has none."""
     return F.replace(prompt_between(human), F.lit(".."), F.lit("."))

@@ -64,11 +64,30 @@ def stratified_split(df: DataFrame, label: Column, order: str, test_size: int, s
     upto = Window.partitionBy("label").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
     edge = slices.withColumn("after", F.sum("n").over(upto)).join(plan.select("label", "take"), "label").where(F.col("after") > F.col("take"))
     edge = edge.groupBy("label").agg(F.min_by(F.struct("_s", (F.col("take") - F.col("after") + F.col("n")).alias("rest")), "_s").alias("e"))
-    marked = rows.join(F.broadcast(edge) if edge.count() <= 10_000 else edge, "label", "left")
-    at = Window.partitionBy("label", "_in").orderBy("_h", order)
-    marked = marked.withColumn("_in", F.when(digits == F.col("e._s"), F.lit(-1)).otherwise(F.pmod(F.xxhash64(order), F.lit(1024)).cast("int")))
-    test = F.col("e").isNull() | (digits < F.col("e._s")) | ((F.col("_in") == -1) & (F.row_number().over(at) <= F.col("e.rest")))
-    return marked.withColumn("split", F.when(test, "test").otherwise("train")).drop("_h", "_in", "e")
+    small = (lambda t: F.broadcast(t)) if edge.count() <= 10_000 else (lambda t: t)
+    at = Window.partitionBy("label").orderBy("_h", order)
+    inside = rows.select("label", "_h", order).join(small(edge), "label").where(digits == F.col("e._s"))  # a 4,096th of each label
+    taken = inside.withColumn("_rn", F.row_number().over(at)).where(F.col("_rn") <= F.col("e.rest"))
+    cut = taken.groupBy("label").agg(F.max(F.struct("_h", order)).alias("cut"))
+    marked = rows.join(small(edge.join(cut, "label", "left")), "label", "left")
+    test = F.col("e").isNull() | (digits < F.col("e._s")) | ((digits == F.col("e._s")) & F.coalesce(F.struct("_h", order) <= F.col("cut"), F.lit(False)))
+    return marked.withColumn("split", F.when(test, "test").otherwise("train")).drop("_h", "cut", "e")
+
+
+def positions(df: DataFrame, order: list[str], index: str = "_idx") -> DataFrame:
+    """Rows numbered from 0 in an order: range partitions sorted each for itself, their sizes added up on the driver.
+
+    No task sees more than its range. The sorted table is kept until the session ends or memory is short, as ranges are drawn anew if it is computed twice.
+    """
+    at = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at).persist()
+    part = F.shiftright("_at", 33)
+    before, offsets = 0, [F.lit(-1), F.lit(0)]
+    for r in ranged.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row a partition
+        offsets += [F.lit(r["part"]), F.lit(before)]
+        before += r["count"]
+    local = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return ranged.withColumn(index, F.create_map(*offsets)[part].cast("long") + local).drop("_at")
 
 
 def stride(index: Column, rank: int, world: int) -> Column:

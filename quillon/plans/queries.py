@@ -398,8 +398,7 @@ def answer_pattern_histogram(spark, sf_dir):
 
 @query(_FRAG_SQL + "SELECT category, count(*) AS n, count(*) FILTER (WHERE video IS NULL) AS skipped FROM k GROUP BY category")
 def category_counters(spark, sf_dir):
-    rows = _survey(spark, sf_dir)
-    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(curate.video_ref() == "").alias("skipped"))
+    return curate.category_counts(_survey(spark, sf_dir))
 
 
 @query(

@@ -18,6 +18,8 @@ from quillon.operators.records import media_list
 from quillon.operators.split import exact_sample, sampling_rate
 
 TURNS = "array<struct<from:string,value:string>>"
+#: Greatest file that is parsed as one text.
+WHOLE_BYTES = 1 << 30
 #: Fields as text where files differ in shape; ``annotations`` settles them.
 RECORD = f"images string, image string, videos string, video string, conversations {TURNS}, metadata string, id string, key string, num_tokens int, data_path string"
 
@@ -25,11 +27,15 @@ RECORD = f"images string, image string, videos string, video string, conversatio
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(source_file, line, value) of every line, blank ones included in the count but left out.
 
-    Lines are numbered within a file by a window over the file; a file is read in order because its splits are.
+    A block of a file is read in order by one task, so a line's number is its place in the block after the lines of the
+    blocks before: lines are counted by block, and only the blocks, one row each, are put in order.
     """
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
-    order = Window.partitionBy("source_file").orderBy("_block", "_id")
-    return raw.withColumn("line", F.row_number().over(order)).where(F.col("value").rlike(r"\S")).select("source_file", "line", "value")
+    blocks = raw.groupBy("source_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    earlier = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    line = (F.col("_before") + F.col("_id") - F.col("_first") + 1).cast("int").alias("line")
+    return raw.where(F.col("value").rlike(r"\S")).join(blocks, ["source_file", "_block"]).select("source_file", line, "value")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType = RECORD, mode: str = "strict") -> DataFrame:
@@ -50,17 +56,31 @@ def read_numbered_jsonl(spark: SparkSession, path: str, schema: str = RECORD) ->
 
 
 def read_array(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
-    """A file that holds one JSON array, ``_idx`` its order; anything else raises when rows are read."""
-    whole = spark.read.text(path, wholetext=True)
-    kind = f"array<{_struct(schema)}>"
-    rows = F.from_json("value", kind)
-    checked = F.when(F.trim(F.regexp_replace("value", r"^\s+", "")).startswith("["), rows).otherwise(F.raise_error(F.lit("expected a JSON array")).cast(kind))
-    return whole.select(F.posexplode(checked).alias("_idx", "r")).select(F.col("_idx").cast("long").alias("_idx"), "r.*")
+    """A file that holds one JSON array, ``_idx`` its order; anything else raises.
+
+    The array is parsed as a stream, so it may be of any length, but by one task: large ones belong in JSONL.
+    """
+    head = spark.read.text(path).where(F.col("value").rlike(r"\S")).limit(1).collect()
+    if head and not head[0]["value"].lstrip("\ufeff \t").startswith("["):
+        raise ValueError(f"expected a JSON array: {path}")
+    rows = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+    return rows.select(F.monotonically_increasing_id().alias("_idx"), "*")
+
+
+def read_inferred(spark: SparkSession, path: str, sampling: float = 1.0) -> DataFrame:
+    """JSON lines of any shape: the schema is that of the records themselves, or of a share of them."""
+    return spark.read.json(path, samplingRatio=sampling)
 
 
 def read_packed(spark: SparkSession, path: str, flatten: bool = False) -> DataFrame:
-    """A JSON array of packs (arrays of records), one row a pack, or a record with ``flatten``; single records are packs of one."""
+    """A JSON array of packs (arrays of records), one row a pack, or a record with ``flatten``; single records are packs of one.
+
+    Packs and records may stand side by side, so the file is parsed as one text; one above ``WHOLE_BYTES`` raises.
+    """
     kind = _struct(RECORD)
+    size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    if size and size > WHOLE_BYTES:
+        raise ValueError(f"{path} has {size} bytes; convert it to JSON lines")
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("pack", "value"))
     members = F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{kind}>")).otherwise(F.array(F.from_json("value", kind)))
     packs = whole.select(F.col("pack").cast("long").alias("pack"), members.alias("members"))
@@ -140,6 +160,22 @@ def write_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_by_extension(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """``.jsonl``: a line a record; ``.json``: one array in one file, written by one task; anything else raises."""
+    if path.endswith(".jsonl"):
+        write_records(df, path, mode)
+    elif path.endswith(".json"):
+        order = F.monotonically_increasing_id()
+        line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+        lines = df.select(order.alias("_at"), line.alias("_line")).coalesce(1).sortWithinPartitions("_at")
+        first = F.lag("_line").over(Window.partitionBy(F.lit(0)).orderBy("_at")).isNull()
+        last = F.lead("_line").over(Window.partitionBy(F.lit(0)).orderBy("_at")).isNull()
+        text = F.concat(F.when(first, "[\n").otherwise(""), F.col("_line"), F.when(last, "\n]").otherwise(","))
+        (lines.select(text.alias("value")) if not df.isEmpty() else df.sparkSession.createDataFrame([("[]",)], "value string")).write.mode(mode).text(path)
+    else:
+        raise ValueError(f"neither .json nor .jsonl: {path}")
+
+
 def append_records(df: DataFrame, path: str) -> None:
     write_records(df, path, "append")
 
