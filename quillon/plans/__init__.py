@@ -1 +1,5 @@
-"""quillon.plans"""
+"""Queries over the test tables; importing the package registers all of them."""
+
+from quillon.plans import pipelines, queries
+
+__all__ = ["pipelines", "queries"]

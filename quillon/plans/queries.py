@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions import arrays, geometry, labels, scan, text
+from quillon.functions import arrays, geometry, labels, text
 from quillon.operators import curate, infer, joins, metrics, packing, records, rewrite, split
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,16 +194,6 @@ def trainer_labels(spark, sf_dir):
     return rows.select("doc_id", labels.trainer_label(F.col("t")).alias("label"))
 
 
-@query(
-    f"SELECT doc_id, COALESCE(CASE WHEN len(s) = 7 THEN s[1] || '/' || s[4] || '/' || s[7] END, 'none') AS verdicts FROM (SELECT doc_id, regexp_extract_all(t, ':\\s*(Yes|No)', 1) AS s FROM (SELECT doc_id, {SEVEN} AS t FROM labels))"
-)
-def trainer_answer_block(spark, sf_dir):
-    rows = rendered(spark, sf_dir, "labels", "doc_id", t=SEVEN)
-    said = labels.trainer_answers(F.col("t"))
-    seven = F.forall(F.array(*[said[d] for d in labels.LEGACY]), lambda v: v.isin("Yes", "No"))
-    return rows.select("doc_id", F.when(seven, F.concat_ws("/", said["Video Quality"], said["Cause-Effect"], said["Subject-Object Interaction"])).otherwise("none").alias("verdicts"))
-
-
 _MODEL = "concat('/models/', CASE doc_id % 8 WHEN 0 THEN 'InternVL3' WHEN 1 THEN 'Molmo2-4B' WHEN 2 THEN 'gemma-3' WHEN 3 THEN 'MiniCPM-V' WHEN 4 THEN 'Qwen2.5-VL' WHEN 5 THEN 'Qwen2-VL' WHEN 6 THEN 'qwen2_5' ELSE 'other' END)"
 
 
@@ -410,29 +400,6 @@ def conversion_counts(spark, sf_dir):
     return curate.conversion_stats(rows, curate.single_issue_fallbacks("physics_violation", "It obeys physics.")["decision"])
 
 
-_SINGLE_SQL = (
-    "SELECT event_id, 'Yes' AS decision, {reason} AS reason FROM events WHERE event_id % 34 <> 0 AND (event_id % 6 = 0 OR event_id % 7 = 0)"
-)
-
-
-def _single(spark, sf_dir, parts):
-    rows = _survey(spark, sf_dir)
-    return rows.withColumns({"v": curate.video_ref(), **parts}).where("v <> '' and decision is not null").select(F.col("_seq").alias("event_id"), "decision", "reason")
-
-
-_PHYS = "CASE WHEN event_id % 6 = 0 THEN 'Physics violation issue: <t>1s-2.5s</t> It floats.' ELSE 'Physics violation issue: There is a physics violation issue.' END"
-
-
-@query(_SINGLE_SQL.format(reason=_PHYS))
-def single_issue_three_levels(spark, sf_dir):
-    return _single(spark, sf_dir, curate.single_issue_fallbacks("physics_violation", "It obeys physics."))
-
-
-@query(_SINGLE_SQL.format(reason=_PHYS))
-def single_issue_survey_first(spark, sf_dir):
-    return _single(spark, sf_dir, curate.single_issue_survey_first("physics_violation", "It obeys physics."))
-
-
 @query("SELECT event_id, CASE WHEN event_id % 34 = 0 THEN '' WHEN event_id % 17 = 0 THEN concat('http://h/', user_id) ELSE concat('v/', user_id, '.mp4') END AS auto_ref, CASE WHEN event_id % 17 = 0 THEN '' ELSE concat('v/', user_id, '.mp4') END AS path_ref FROM events")
 def video_refs(spark, sf_dir):
     return _survey(spark, sf_dir).select(F.col("_seq").alias("event_id"), curate.video_ref().alias("auto_ref"), curate.video_ref("path").alias("path_ref"))
@@ -516,7 +483,7 @@ def content_key_groups(spark, sf_dir):
     return rows.groupBy("key").agg(F.min(F.md5(F.col("text").cast("binary"))).alias("sample"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("key")
 
 
-_SHARD = "SELECT event_id % 1000 AS k, event_id % 3 AS file, event_id AS line, value FROM events WHERE event_id % 2 = 0"
+_SHARD = "SELECT event_id - event_id % 4 AS k, event_id % 3 AS file, event_id AS line, value FROM events"
 
 
 @query(
@@ -525,14 +492,14 @@ _SHARD = "SELECT event_id % 1000 AS k, event_id % 3 AS file, event_id AS line, v
 )
 def shard_upsert_last_wins(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    shards = events.where("event_id % 2 = 0").select((F.col("event_id") % 1000).alias("event_id"), (F.col("event_id") % 3).alias("file"), F.col("event_id").alias("line"), "value")
+    shards = events.select((F.col("event_id") - F.col("event_id") % 4).alias("event_id"), (F.col("event_id") % 3).alias("file"), F.col("event_id").alias("line"), "value")
     return joins.upsert(events.select("event_id", "value"), shards, "event_id", ["file", "line"], ["value"])
 
 
 @query(f"WITH s AS ({_SHARD}), f AS (SELECT k, value FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY file, line) AS rn FROM s) WHERE rn = 1) SELECT e.event_id AS k, f.value, e.event_id AS place FROM events e JOIN f ON e.event_id = f.k")
 def union_first_wins(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    shards = events.where("event_id % 2 = 0").select((F.col("event_id") % 1000).alias("k"), (F.col("event_id") % 3).alias("file"), F.col("event_id").alias("line"), "value")
+    shards = events.select((F.col("event_id") - F.col("event_id") % 4).alias("k"), (F.col("event_id") % 3).alias("file"), F.col("event_id").alias("line"), "value")
     found = joins.union_first(shards, events.select(F.col("event_id").alias("k"), F.col("event_id").alias("place")), "k", ["file", "line"], "place")
     return found.select("k", "value", "place")
 
@@ -544,12 +511,6 @@ def conditional_positional_merge(spark, sf_dir):
     return joins.conditional_merge(base, shard, "doc_id", "t", lambda v: F.startswith(v, F.lit("Video Caption:")))
 
 
-@query("SELECT d.doc_id, d.source, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
-def positional_zip(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return joins.zip_rows(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-
-
 @query(
     "SELECT m.event_id, COALESCE(max(s.event_id), -1) AS span_id FROM events m LEFT JOIN events s ON s.user_id = m.user_id AND s.event_type = 'view' AND s.event_id <= m.event_id WHERE m.event_type <> 'view' GROUP BY m.event_id"
 )
@@ -564,11 +525,11 @@ def span_lead(spark, sf_dir):
     return joins.until_next(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], "event_id", F.lit(-1).cast("long"))
 
 
-@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN concat('a/', d.doc_id) ELSE concat('b/', d.doc_id) END AS path FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NOT NULL OR d.doc_id % 2 = 0")
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN concat('a/', d.doc_id) ELSE concat('b/', d.doc_id) END AS path FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE l.doc_id IS NOT NULL OR d.doc_id IN (SELECT page_id FROM pages)")
 def first_existing_path(spark, sf_dir):
     docs, known = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
     named = lambda df, p: df.select(F.concat(F.lit(p), F.col("doc_id").cast("string")).alias("path"))
-    files = named(known, "a/").unionByName(named(docs.where("doc_id % 2 = 0"), "b/"))
+    files = named(known, "a/").unionByName(named(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")), "b/"))
     tries = docs.select("doc_id", F.posexplode(F.array(*[F.concat(F.lit(p), F.col("doc_id").cast("string")) for p in ("a/", "b/")])).alias("rank", "path"))
     return joins.first_existing(tries, files, ["doc_id"], "rank", "path")
 
@@ -615,23 +576,6 @@ def time_formats(spark, sf_dir):
     return rows.select("event_id", text.format_second(F.col("value")).alias("one"), text.range_tag(F.col("value"), F.col("e")).alias("tag"), text.time_annotation(F.col("value"), F.col("e").cast("double"), box, F.lit(None).cast("array<int>")).alias("note"))
 
 
-_SENT = r"list_filter(string_split(regexp_replace(trim(regexp_replace(text, '[\s\x0B\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
-_NORM = r"regexp_replace(regexp_replace(lower(s), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')"
-
-
-@query(
-    f"""
-WITH s AS (SELECT doc_id, unnest({_SENT}) AS s, generate_subscripts({_SENT}, 1) AS k FROM documents),
-n AS (SELECT *, {_NORM} AS nrm FROM s),
-d AS (SELECT doc_id, count(*) AS total, count(DISTINCT nrm) FILTER (WHERE nrm <> '') AS distinct_ FROM n GROUP BY doc_id)
-SELECT doc_id, CAST(total AS BIGINT) AS n_sentences, CAST(distinct_ AS BIGINT) AS n_distinct FROM d"""
-)
-def sentence_dedupe(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    parts = docs.select("doc_id", text.split_sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
-    return parts.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.size(text.distinct_by_key(F.col("s"))).cast("long").alias("n_distinct"))
-
-
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\s\x0B\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]+', ' ', 'g'), ' .,:;""''') AS t FROM pages".replace('""', '"'))
 def html_tag_clean(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.clean_evidence(F.col("html")).alias("t"))
@@ -829,11 +773,11 @@ def frame_sampling(spark, sf_dir):
 
 
 @query(
-    "WITH t AS (SELECT conv_id, turn, len(text) AS n FROM conversations WHERE text IS NOT NULL) SELECT conv_id, CAST(turn AS BIGINT) AS turn, array_to_string(list_transform(range(0, 6), lambda k: CASE WHEN k * 10 < n // 2 AND k * 10 + 10 > n // 4 THEN k ELSE -100 END), ',') AS labelled FROM t"
+    "WITH t AS (SELECT conv_id, turn, len(text) AS n FROM conversations WHERE text IS NOT NULL) SELECT conv_id, CAST(turn AS BIGINT) AS turn, array_to_string(list_transform(range(0, n // 10 + 1), lambda k: CASE WHEN k * 10 < n // 2 AND k * 10 + 10 > n // 4 THEN k ELSE -100 END), ',') AS labelled FROM t"
 )
 def token_label_overlap(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.length("text").alias("n"))
-    tokens = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.struct((k * 10).alias("begin"), (k * 10 + 10).alias("end"), k.alias("id")))
+    tokens = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / 10).cast("int")), lambda k: F.struct((k * 10).alias("begin"), (k * 10 + 10).alias("end"), k.alias("id")))
     spans = F.array(F.struct(F.floor(F.col("n") / 4).alias("begin"), F.floor(F.col("n") / 2).alias("end")))
     return rows.select("conv_id", "turn", F.array_join(arrays.label_tokens(tokens, spans).cast("array<string>"), ",").alias("labelled"))
 
@@ -903,7 +847,7 @@ def masked_positions_and_eos(spark, sf_dir):
 def hungarian_iou(spark, sf_dir):
     b = _boxes(spark, sf_dir).groupBy("o").agg(F.array_sort(F.collect_list(F.struct("n", F.col("b").cast("array<double>").alias("b")))).alias("m"))
     boxes = F.transform("m", lambda m: m["b"])
-    moved = F.transform(F.slice(boxes, 1, 3), lambda q: F.transform(q, lambda x: x + 2))
+    moved = F.transform(boxes, lambda q: F.transform(q, lambda x: x + 2))
     return b.select("o", F.round(arrays.matched_iou(boxes, moved), 6).alias("score"))
 
 
@@ -919,33 +863,6 @@ def principal_components(spark, sf_dir):
     return rows.select("label", "vec_id", *[F.round(F.col("pca")[k], 4).alias(f"c{k + 1}") for k in range(3)])
 
 
-@query()
-def rope_ids(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.array(F.lit(1), F.lit(8)), F.array_repeat(F.lit(9), 4), F.array(F.lit(2))).alias("ids"), F.array(F.array(F.lit(1), F.lit(4), F.lit(4))).alias("grids"))
-    out = arrays.rope_ids(rows, "ids", "grids", 8, 9, 10)
-    return out.select("event_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in "thw"])
-
-
-@query()
-def noun_boxes(spark, sf_dir):
-    rows = rendered(spark, sf_dir, "events", "event_id", t=SPANS)
-    found = rows.withColumn("m", scan.noun_mentions_udf("t", F.array(F.lit("ball"), F.lit("It"))))
-    marks = F.transform("m", lambda m: F.struct(m["noun"].alias("noun"), m["start_sec"].alias("start_sec"), F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4)).alias("box")))
-    return found.select("event_id", F.size("m").alias("n"), scan.place_boxes_udf("t", marks).alias("boxed"))
-
-
-@query()
-def chat_label_spans(spark, sf_dir):
-    rows = rendered(spark, sf_dir, "events", "event_id", t=SPANS).withColumn("chat", F.concat(F.lit("<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n"), F.col("t"), F.lit("<|im_end|>")))
-    return rows.withColumn("s", scan.label_spans_udf("chat")).select("event_id", F.size("s").alias("n"), F.col("s")[0]["begin"].alias("begin"), F.col("s")[0]["end"].alias("end"))
-
-
-@query()
-def model_stub(spark, sf_dir):
-    rows = rendered(spark, sf_dir, "events", "event_id", t=SPANS)
-    return infer.generate_where(rows, labels.contains_no(text.first_tag(F.col("t"), "answer")), "t", "out", F.lit("good"), infer.echo).select("event_id", F.length("out").alias("n"), "error")
-
-
 @query(f"SELECT count(*) FILTER (WHERE event_id % 4 <> 0 AND event_id % 5 <> 0) AS pending_samples, CAST(sum(CASE WHEN event_id % 4 <> 0 AND event_id % 5 <> 0 THEN CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END ELSE 0 END) AS BIGINT) AS pending_spans, count(*) FILTER (WHERE event_id % 4 <> 0 AND event_id % 5 = 0) AS missing_files, CAST(0 AS BIGINT) AS boxed FROM events")
 def annotation_dry_run(spark, sf_dir):
     rows = rendered(spark, sf_dir, "events", "event_id", t=SPANS)

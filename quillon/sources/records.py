@@ -107,12 +107,15 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path) if path.endswith(".jsonl") else read_array(spark, path)
 
 
-def read_categories(spark: SparkSession, root: str, schema: str, removed: bool = False) -> DataFrame:
-    """Files of a name in every sub-folder: records with category, source_file, line and ``_seq``, their place in the scan."""
+def read_categories(spark: SparkSession, root: str, schema: str, removed: bool = False, parts: bool = False) -> DataFrame:
+    """Files of a name in every sub-folder: records with category, source_file, line and ``_seq``, their place in the scan.
+
+    ``parts``: such a name may be a folder of part files, as a distributed writer leaves it.
+    """
     names = ["sampled.jsonl", *(["removed_scene_jumpcut.jsonl"] if removed else [])]
     lines = numbered_lines(spark, [f"{root}/*/{n}" for n in names])
-    rows = lines.withColumn("r", F.from_json("value", schema)).withColumn("category", F.element_at(F.split("source_file", "/"), -2))
-    late = (~F.endswith("source_file", F.lit("/sampled.jsonl"))).cast("int")
+    rows = lines.withColumn("r", F.from_json("value", schema)).withColumn("category", F.element_at(F.split("source_file", "/"), -3 if parts else -2))
+    late = (~F.contains("source_file", F.lit("/sampled.jsonl"))).cast("int")
     place = F.concat_ws("/", F.col("category"), late.cast("string"), F.lpad(F.col("line").cast("string"), 12, "0"))
     return rows.select("category", "source_file", "line", place.alias("_seq"), "r.*")
 
