@@ -5,11 +5,13 @@ the first point clockwise; when that shard is full the row goes on clockwise to
 with room. Capacities are the floor or ceiling of rows / shards times (1 + ``slack``), so with
 ``slack`` 0 the row counts of two shards differ by one at most.
 
-Rows arrive in ring order, arc by arc and slice by slice. The walk therefore depends only on how many rows lie in each arc
+Rows arrive in ring order, arc by arc. The walk therefore depends only on how many rows lie in each arc
 between two points: ``shards * virtual`` numbers, a parameter and not the size of the data, are
 all the driver sees. It turns them into runs "ranks lo..hi of this arc go to that shard", which
-are broadcast (at most 2 * points + shards runs). Ranks within an arc come from counts of
-``2 ** sub_bits`` equal slices per arc and a window inside one slice, so no task holds an arc.
+are broadcast (at most 2 * points + shards runs). Ranks come from one order of all rows by range
+partitions: the place in a partition, plus the rows of the partitions before (one number a
+partition), less the rows of the arcs before. Rows of one key are told apart in that order, so no
+key, however frequent, is one task's work.
 
 Defined cases: a null text has size 1 and the checksum of no bytes; a null key hashes as the empty
 string; rows with equal keys are told apart by size and checksum and otherwise interchangeable; an
@@ -21,12 +23,14 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, shuffle_parts
 
 RING_BITS = 32
+#: Bits of ``monotonically_increasing_id`` that count rows within a partition.
+PART_BITS = 33
 
 
 def ring(shards: int, virtual: int, seed: int) -> list[tuple[int, int]]:
@@ -63,7 +67,7 @@ def walk(points: list[tuple[int, int]], counts: dict[int, int], room: list[int])
 
 
 def shard(
-    docs: DataFrame, shards: int = 16, virtual: int = 128, slack: float = 0.0, sub_bits: int = 4, seed: int = 11
+    docs: DataFrame, shards: int = 16, virtual: int = 128, slack: float = 0.0, seed: int = 11
 ) -> DataFrame:
     """``docs(doc_id, text)`` with size, text_crc32, home (the shard before overflow), shard and slot."""
     spark = docs.sparkSession
@@ -86,30 +90,30 @@ def shard(
     lo, hi = F.element_at(folded(first), cell + 1), F.element_at(folded(first), cell + 2)
     near = F.slice(folded(bounds), (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
     inside = F.size(F.filter(near, lambda b: b < F.col("position")))
-    arcs = (
-        slim.withColumn("arc", ((lo + inside) % len(points)).cast("int"))
-        .withColumn("sub", F.shiftright(F.col("position"), 8).bitwiseAND((1 << sub_bits) - 1).cast("int"))
-        .select("doc_id", "size", "text_crc32", "arc", "sub", "position")
-    )
+    arcs = slim.withColumn("arc", ((lo + inside) % len(points)).cast("int")).select("doc_id", "size", "text_crc32", "arc", "position")
     arcs = materialize(arcs, "shard-arcs")
-    slices = arcs.groupBy("arc", "sub").agg(F.count(F.lit(1)).alias("n")).collect()  # points * 2**sub_bits numbers
-    counts: dict[int, int] = {}
-    base = []
-    for r in sorted(slices):
-        base.append((r["arc"], r["sub"], counts.get(r["arc"], 0)))
-        counts[r["arc"]] = counts.get(r["arc"], 0) + r["n"]
+    counts = {r["arc"]: r["count"] for r in arcs.groupBy("arc").count().collect()}  # one number a point
     runs: dict[int, list] = {}
     for arc, a, b, s, slot in walk(points, counts, capacities(sum(counts.values()), shards, slack)):
         runs.setdefault(arc, []).append((a, b, s, slot))
-    plan = spark.createDataFrame(
-        [(arc, sub, skip, points[arc][1], runs[arc]) for arc, sub, skip in base],
-        "arc int, sub int, skip long, home int, runs array<struct<lo: long, hi: long, shard: int, slot: long>>",
-    )
-    order = Window.partitionBy("arc", "sub").orderBy("position", "doc_id", "size", "text_crc32")
-    ranked = arcs.withColumn("rank", F.row_number().over(order)).join(F.broadcast(plan), ["arc", "sub"])
-    rank = F.col("skip") + F.col("rank") - 1
-    run = F.filter("runs", lambda r: (r["lo"] <= rank) & (rank < r["hi"]))[0]
-    return ranked.withColumn("run", run).select(
-        "doc_id", "size", "text_crc32", F.col("home"), F.col("run.shard").alias("shard"),
-        (F.col("run.slot") + rank - F.col("run.lo")).alias("slot"),
+    plan, before = [], 0
+    for arc in sorted(counts):
+        plan.append((arc, before, points[arc][1], runs[arc]))
+        before += counts[arc]
+    plan = spark.createDataFrame(plan, "arc int, before long, home int, runs array<struct<lo: long, hi: long, shard: int, slot: long>>")
+
+    order = ["arc", "position", "doc_id", "size", "text_crc32"]
+    ranged = arcs.repartitionByRange(shuffle_parts(spark), *order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
+    placed = materialize(ranged.withColumn("at", F.monotonically_increasing_id()), "shard-order")
+    part = F.shiftright("at", PART_BITS)
+    offsets, before = [], 0
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row a partition
+        offsets.append((r["part"], before))
+        before += r["count"]
+    offsets = spark.createDataFrame(offsets, "part long, earlier long")
+    ranked = placed.withColumn("part", part).join(F.broadcast(offsets), "part").join(F.broadcast(plan), "arc")
+    rank = F.col("earlier") + F.col("at").bitwiseAND((1 << PART_BITS) - 1) - F.col("before")
+    ranked = ranked.withColumn("rank", rank).withColumn("run", F.filter("runs", lambda r: (r["lo"] <= F.col("rank")) & (F.col("rank") < r["hi"]))[0])
+    return ranked.select(
+        "doc_id", "size", "text_crc32", F.col("home"), F.col("run.shard").alias("shard"), (F.col("run.slot") + F.col("rank") - F.col("run.lo")).alias("slot"),
     )
