@@ -8,14 +8,17 @@ descending order of bound, a few at a time are probed for the candidates that st
 Ties are kept, so results are exact. Per-block results are merged by a rank within the query.
 
 Queries are packed into blocks of ``query_rows``, candidates into blocks of ``block_rows``, inside
-the scan tasks; every query block meets every candidate block through an equi-join on the query
-block's number. A task holds one pair of blocks. Nothing is broadcast, and the driver sees only
-the numbers of the query blocks.
+the scan tasks, their components in as few bytes as hold them; every query block meets every
+candidate block through an equi-join on the query block's number, so a vector travels once for
+each ``query_rows`` queries. A task holds one pair of blocks. The k-th score a query has reached in
+the blocks that a task saw before is its floor in the next one, and a block whose bounds together
+lie below it is left out for that query. Nothing is broadcast, and the driver sees only the numbers
+of the query blocks.
 
 Defined cases: a vector that is null or holds null, NaN or an infinity takes no part, nor does a row
-with a null id; vectors of different lengths are compared as if the shorter ended in zeros; rows that
-share the query's id are not its candidates; a repeated query row is answered once for each row;
-a score beyond 64 bits is the nearest long.
+with a null id; vectors of different lengths are compared as if the shorter ended in zeros; every row
+but the query's own is its candidate, also one of the same id; a repeated query row is answered once
+for each row; a score beyond 64 bits is the nearest long; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,46 +26,54 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import arrow_batches, materialize
 
 EXACT = 1 << 53
 PROBE = 8
 
 
+KINDS = ("<i1", "<i2", "<i4", "<i8")
+
+
+def _pack(x: np.ndarray) -> tuple[int, bytes]:
+    """Components in the least whole-number type that holds them all."""
+    most = int(np.abs(x).max(initial=0))
+    kind = next(k for k in range(4) if k == 3 or most < 1 << (8 << k) - 1)
+    return kind, x.astype(KINDS[kind]).tobytes()
+
+
 def _blocks(vectors: DataFrame, rows: int, scale: int) -> DataFrame:
-    """``vectors(id, v)`` as rows of (block, dim, ids, values): packed little-endian longs."""
+    """``vectors(row, id, v)`` as rows of (block, dim, kind, rows, ids, vals): packed little-endian numbers."""
 
     def run(batches):
-        number, ids, lists = TaskContext.get().partitionId() << 24, [], []
+        number, held = TaskContext.get().partitionId() << 24, []
 
         def emit():
             nonlocal number
-            take, rest_i = ids[:rows], ids[rows:]
-            vec, rest_v = lists[:rows], lists[rows:]
-            dim = max(map(len, vec))
-            x = np.zeros((len(vec), dim))
-            for k, v in enumerate(vec):
+            part = held[:rows]
+            del held[:rows]
+            dim = max(len(v) for _, _, v in part)
+            x = np.zeros((len(part), dim))
+            for k, (_, _, v) in enumerate(part):
                 x[k, : len(v)] = v
-            x = np.floor(scale * x)
-            x = np.clip(x, -(2.0**62), 2.0**62).astype("<i8")
-            row = [[number], [dim], [np.array(take, "<i8").tobytes()], [x.tobytes()]]
+            kind, data = _pack(np.clip(np.floor(scale * x), -(2.0**62), 2.0**62).astype("<i8"))
+            names, ids = (np.array([p[k] for p in part], "<i8").tobytes() for k in (0, 1))
+            row = [[number], [dim], [kind], [names], [ids], [data]]
             number += 1
-            ids[:], lists[:] = rest_i, rest_v
-            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], names=["block", "dim", "ids", "vals"])
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], names=["block", "dim", "kind", "rows", "ids", "vals"])
 
         for batch in batches:
-            ids += batch.column("id").to_pylist()
-            lists += [np.asarray(v.values, np.float64) for v in batch.column("v")]
-            while len(ids) >= rows:
+            held += zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), (np.asarray(v.values, np.float64) for v in batch.column("v")))
+            while len(held) >= rows:
                 yield emit()
-        if ids:
+        if held:
             yield emit()
 
-    return vectors.mapInArrow(run, "block long, dim int, ids binary, vals binary")
+    return vectors.mapInArrow(run, "block long, dim int, kind int, rows binary, ids binary, vals binary")
 
 
 def top_of_block(q: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, k: int, floor):
@@ -92,41 +103,43 @@ def top_of_block(q: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray
     return rows, score
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256, block_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
-    """``vectors(id, v)`` and ``queries(id, v)`` to query_id, rank, vec_id, score: the k best, ties to the smaller id."""
-
-    def usable(df):
-        real = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        return df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where(
-            "id is not null and v is not null"
-        ).where(real)
-
-    asked = materialize(_blocks(usable(queries), query_rows, scale), "search-queries")
+def search(vectors: DataFrame, asks: str | Column, k: int, scale: int = 256, block_rows: int = 4096, query_rows: int = 8192) -> DataFrame:
+    """``vectors(id, v)``, of which the rows where ``asks`` holds are queries, to query_id, rank, vec_id, score: the k best, ties to the smaller id."""
+    arrow_batches(vectors.sparkSession)
+    real = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("id is not null and v is not null").where(real)
+    stored = materialize(usable.withColumn("row", F.monotonically_increasing_id()), "search-vectors")
+    asked = materialize(_blocks(stored.where(asks), query_rows, scale), "search-queries")
     numbers = [r["block"] for r in asked.select("block").collect()]
-    held = _blocks(usable(vectors), block_rows, scale)
+    held = _blocks(stored, block_rows, scale)
     every = F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>") if numbers else F.array().cast("array<long>")
-    held = held.select(F.explode(every).alias("asked"), "dim", "ids", "vals")
-    pairs = held.join(asked.select(F.col("block").alias("asked"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("vals").alias("q_vals")), "asked")
+    held = held.select(F.explode(every).alias("asked"), "dim", "kind", "rows", "ids", "vals")
+    mine = asked.select(F.col("block").alias("asked"), *[F.col(c).alias(f"q_{c}") for c in ("dim", "kind", "rows", "ids", "vals")])
+    pairs = held.join(mine, "asked")
 
     def run(batches):
+        block, floors = None, None
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(j, 1).to_pylist()[0] for j in range(batch.num_rows)):
                 dim = max(r["dim"], r["q_dim"], 1)
-                ids, q_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
-                pad = lambda b, n, d: np.pad(np.frombuffer(b, "<i8").reshape(n, d), ((0, 0), (0, dim - d)))
-                x, qs = pad(r["vals"], len(ids), r["dim"]), pad(r["q_vals"], len(q_ids), r["q_dim"])
-                big = [int(np.abs(m).max(initial=0)) for m in (x, qs)]
+                names, q_names, ids, q_ids = (np.frombuffer(r[c], "<i8") for c in ("rows", "q_rows", "ids", "q_ids"))
+                pad = lambda p, n: np.pad(np.frombuffer(r[f"{p}vals"], KINDS[r[f"{p}kind"]]).reshape(n, r[f"{p}dim"]), ((0, 0), (0, dim - r[f"{p}dim"])))  # noqa: E731, B023
+                x, qs = pad("", len(ids)), pad("q_", len(q_ids))
+                big = [int(np.abs(m.astype(np.float64)).max(initial=0)) for m in (x, qs)]
                 kind = np.float64 if big[0] * big[1] * dim < EXACT else object
                 x, qs = x.astype(kind), qs.astype(kind)
                 low, high = x.min(axis=0), x.max(axis=0)
+                if r["asked"] != block:
+                    block, floors = r["asked"], [None] * len(q_ids)
                 out = []
-                for row, (q_id, q) in enumerate(zip(q_ids.tolist(), qs)):
-                    rows, score = top_of_block(q, x, low, high, ids == q_id, k, None)
+                for row, (q_name, q_id, q) in enumerate(zip(q_names.tolist(), q_ids.tolist(), qs)):
+                    rows, score = top_of_block(q, x, low, high, names == q_name, k, floors[row])
                     best = sorted(zip((-score).tolist(), ids[rows].tolist()))[:k] if len(rows) <= 4 * k else _best(score, ids[rows], k)
-                    out += [(r["asked"], row, q_id, i, min(max(int(-s), -(1 << 63)), (1 << 63) - 1)) for s, i in best]
-                names = ["asked", "row", "query_id", "vec_id", "score"]
+                    if len(best) == k:  # at least k candidates reach the last of these
+                        floors[row] = -best[-1][0] if floors[row] is None else max(floors[row], -best[-1][0])
+                    out += [(block, row, q_id, i, min(max(int(-s), -(1 << 63)), (1 << 63) - 1)) for s, i in best]
                 cols = list(zip(*out)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["asked", "row", "query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(run, "asked long, row long, query_id long, vec_id long, score long")
     order = Window.partitionBy("asked", "row").orderBy(F.col("score").desc(), "vec_id")

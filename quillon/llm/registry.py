@@ -59,24 +59,24 @@ def op5_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return maxscore.search(vectors, vectors.where("id % 50 = 0"), k=5)
+    return maxscore.search(vectors, "id % 50 = 0", k=5)
 
 
 SQL["op7_maxscore_top_k"] = """
-WITH vectors AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+WITH vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.row_id, q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id
+  FROM vectors q JOIN vectors c ON q.row_id <> c.row_id
   WHERE q.vec_id % 50 = 0
 ),
 ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
@@ -164,7 +164,29 @@ def op9_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sparse_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.repeated_passages(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "begin", "end", (F.col("end") - F.col("begin")).alias("n_words"), "first_doc_id", "first_begin")
+    return found.select("doc_id", "begin", "end", (F.col("end") - F.col("begin")).alias("n_words"))
+
+
+SQL["op10_sparse_suffix_passages"] = """
+WITH docs AS (
+  SELECT doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)
+),
+windows AS (
+  SELECT doc_id, md5(text) AS key, k, md5(array_to_string(w[k + 1 : k + 50], ' ')) AS h FROM docs, unnest(range(0, greatest(len(w) - 49, 0))) AS t(k)
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS FIRST, key, k) AS nth FROM windows
+),
+repeated AS (
+  SELECT doc_id, key, k, lag(k) OVER (PARTITION BY doc_id, key ORDER BY k) AS before FROM placed WHERE nth > 1
+),
+passages AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR k > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, key ORDER BY k) AS passage FROM repeated
+)
+SELECT doc_id, CAST(min(k) AS INTEGER) AS begin, CAST(max(k) + 50 AS INTEGER) AS "end", CAST(max(k) + 50 - min(k) AS INTEGER) AS n_words
+FROM passages GROUP BY doc_id, key, passage
+"""
 
 
 @query
