@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +19,8 @@ ARROW_ROWS = 1024
 #: Bytes after which a batch is closed; one longer text makes a batch alone.
 ARROW_BYTES = 16 << 20
 
-#: Open scopes that note the scratch tables being written.
-_SCOPES: list[list[str]] = []
+#: Open scopes that note the scratch tables being written, for each thread on its own.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -41,20 +42,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for made in _SCOPES:
+    for made in _SCOPES.get():
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(stored: DataFrame) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    spark = stored.sparkSession
+    for path in {f.rpartition("/")[0] for f in stored.inputFiles()}:
+        if f"/quillon/{spark.sparkContext.applicationId}/" in path:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 @contextmanager
 def scratch_scope() -> Iterator[list[str]]:
     """The paths of the scratch tables written inside the block."""
     made: list[str] = []
-    _SCOPES.append(made)
+    outer = _SCOPES.set((*_SCOPES.get(), made))
     try:
         yield made
     finally:
-        _SCOPES.remove(made)
+        _SCOPES.reset(outer)
 
 
 def drop_scratch(spark: SparkSession, paths: list[str], reader: DataFrame) -> list[str]:
@@ -62,8 +76,7 @@ def drop_scratch(spark: SparkSession, paths: list[str], reader: DataFrame) -> li
     used = reader.inputFiles() if paths else []
     kept = [p for p in paths if any(p.rsplit("/", 1)[1] in f for f in used)]
     for path in set(paths) - set(kept):
-        jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+        _delete(spark, path)
     return kept
 
 

@@ -75,15 +75,14 @@ def dedup_spans(
                 words, begin, end = parts(text, long_words, one_in)
                 a, b = spans(begin, end, run_parts, run_words)
                 if len(a):
-                    h1, h2 = (words.run(begin[a], end[b - 1], lane).view(np.int64) for lane in (0, 1))
-                    out.append((h1, h2, np.full(len(a), id_), np.full(len(a), key), a.astype(np.int32), b.astype(np.int32)))
+                    run, h = (words.run(begin[a], end[b - 1], lane).view(np.int64) for lane in (0, 1))
+                    out.append((run, h, np.full(len(a), id_), np.full(len(a), key), a.astype(np.int32), b.astype(np.int32)))
             if out:
                 made = [pa.array(np.concatenate(c)) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays(made, names=["h1", "h2", "id", "key", "begin", "end"])
+                yield pa.RecordBatch.from_arrays(made, names=[*ORDER, "end"])
 
-    found = named(docs).mapInArrow(every, "h1 long, h2 long, id long, key long, begin int, end int")
-    found = found.withColumns({"run": F.lit(0).cast("long"), "at": F.lit(0)}).select(*ORDER, "end", "at")
-    again, _ = neighbours(found, "spans", tests=False)
+    found = named(docs).mapInArrow(every, "run long, h long, id long, key long, begin int, end int")
+    again, _ = neighbours(found.withColumn("at", F.lit(0)), "spans", tests=False)
     gone = again.groupBy("id", "key").agg(F.collect_set(F.struct("begin", "end")).alias("gone"))
 
     def cut(batches):

@@ -6,12 +6,11 @@ are retained: the least hash of a ``gram``-word run among every ``window`` conse
 stands: the passages of one suffix begin up to window - 1 words to its left, and two copies of a passage are assigned
 to suffixes that share ``reach`` = min_words - window + 1 words at least.
 
-1. Texts equal word by word are one class, told by a 128-bit hash; all of it repeats the first of them.
-2. The retained suffixes of the first texts are put in order by range partitions: by their first ``reach`` words, then
-   by all words of their passages, left and right, then by place. In that order each is compared with its neighbour. One
-   whose words all equal those before it repeats the first of that block, from its leftmost passage to the end of its
-   rightmost. Where neighbours share the first words only, the heads of both blocks are kept for
-3. the extension to left and right: the passages of each such suffix, every one of min_words words about it, are put in
+1. The retained suffixes are put in order by range partitions: by their first ``reach`` words, then by all words of
+   their passages, left and right, then by place. In that order each is compared with its neighbour. One whose words all
+   equal those before it repeats the first of that block, from its leftmost passage to the end of its rightmost. Where
+   neighbours share the first words only, the heads of both blocks are kept for
+2. the extension to left and right: the passages of each such suffix, every one of min_words words about it, are put in
    order and compared with their neighbours in the same way.
 
 What repeats is merged within each document. Result: exactly the words that lie in a passage of min_words words that
@@ -19,8 +18,8 @@ stood at a lesser place (doc_id, hash of the text, word).
 
 Words are compared by 128-bit hashes, in an order by hash. Range partitions split a block of any size, as a place is
 part of the order; where a block goes on from one partition to the next, its first place is passed on by the driver,
-which sees one row a partition. Nothing is joined on a hash of words but texts to their class. Texts are shuffled
-once, those with a suffix to extend.
+which sees one row a partition. Nothing is joined on a hash of words. Texts are shuffled once, to those that have a suffix to
+extend.
 
 Defined cases: null and short texts have no passages; rows of equal doc_id and text are one document; a null doc_id
 sorts first (a doc_id of -2**63 counts as null); within one document a passage may repeat too; an empty table gives an
@@ -45,6 +44,15 @@ def minimisers(words: Words, min_words: int, window: int, gram: int) -> np.ndarr
     return np.lib.stride_tricks.sliding_window_view(order, window).argmin(axis=1) + np.arange(words.n - min_words + 1)
 
 
+ROWS = "run long, h long, id long, key long, begin int, end int, at int"
+
+
+def _rows(columns: list[np.ndarray]) -> pa.RecordBatch:
+    kinds = [np.int64] * 4 + [np.int32] * 3
+    arrays = [pa.array(c.view(k) if c.dtype == np.uint64 else c.astype(k)) for c, k in zip(columns, kinds)]
+    return pa.RecordBatch.from_arrays(arrays, names=[*ORDER, "end", "at"])
+
+
 def repeats(docs: DataFrame, min_words: int, window: int, gram: int) -> DataFrame:
     """id, key, begin, end (words), first_id, first_begin of what stood before; parts may overlap."""
     arrow_batches(docs.sparkSession)
@@ -59,32 +67,13 @@ def repeats(docs: DataFrame, min_words: int, window: int, gram: int) -> DataFram
                 words = Words(text.lower().split())
                 if words.n < min_words:
                     continue
-                whole = np.array([words.run(np.array([0]), np.array([words.n]), lane)[0] for lane in (0, 1)])
                 at, begin, count = np.unique(minimisers(words, min_words, window, gram), return_index=True, return_counts=True)
-                end = begin + count - 1 + min_words
-                hashes = [x.astype("<u8").tobytes() for x in (words.run(at, at + reach), words.run(begin, end), words.run(begin, end, 1))]
-                out.append((id_, key, words.n, *whole.view(np.int64).tolist(), *hashes, *(x.astype("<i4").tobytes() for x in (begin, end, at))))
+                end, n = begin + count - 1 + min_words, len(at)
+                out.append((words.run(at, at + reach), words.run(begin, end, 1), np.full(n, id_), np.full(n, key), begin, end, at))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=fields)
-
-    fields = ["id", "key", "n", "w1", "w2", "run", "h1", "h2", "begin", "end", "at"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
-    rows = base.mapInArrow(retain, "id long, key long, n int, w1 long, w2 long, run binary, h1 binary, h2 binary, begin binary, end binary, at binary")
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "suffix-texts")
-    classes = materialize(rows.groupBy("w1", "w2", "n").agg(F.min(F.struct("id", "key", "row")).alias("first")), "suffix-classes")
-    copies = rows.select("id", "key", "n", "w1", "w2").join(classes, ["w1", "w2", "n"]).where("first.id <> id or first.key <> key").distinct()
-    copies = copies.select("id", "key", F.lit(0).alias("begin"), F.col("n").alias("end"), F.col("first.id").alias("first_id"), F.lit(0).alias("first_begin"))
+                yield _rows([np.concatenate(c) for c in zip(*out)])
 
-    def spread(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                made = [np.frombuffer(r[c], "<i8" if c in ("run", "h1", "h2") else "<i4") for c in ("run", "h1", "h2", "begin", "end", "at")]
-                n = len(made[0])
-                arrays = [*made[:3], np.full(n, r["id"]), np.full(n, r["key"]), *made[3:]]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[*ORDER, "end", "at"])
-
-    first = rows.join(classes.select(F.col("first.row").alias("row")), "row", "left_semi").select("id", "key", *fields[5:])
-    suffixes = first.mapInArrow(spread, "run long, h1 long, h2 long, id long, key long, begin int, end int, at int")
+    suffixes = base.mapInArrow(retain, ROWS)
     equal, heads = neighbours(suffixes, "suffixes", tests=True)
     heads = heads.groupBy("id", "key").agg(F.collect_set("at").alias("ats"))
 
@@ -97,14 +86,12 @@ def repeats(docs: DataFrame, min_words: int, window: int, gram: int) -> DataFram
                 seen.add((id_, key))
                 words = Words(text.lower().split())
                 begin = np.nonzero(np.isin(minimisers(words, min_words, window, gram), ats.values.to_numpy()))[0]
-                h1, h2 = (words.run(begin, begin + min_words, lane).view(np.int64) for lane in (0, 1))
-                n = len(begin)
-                arrays = [np.zeros(n, np.int64), h1, h2, np.full(n, id_), np.full(n, key), begin.astype(np.int32), (begin + min_words).astype(np.int32), np.zeros(n, np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[*ORDER, "end", "at"])
+                end, n = begin + min_words, len(begin)
+                yield _rows([words.run(begin, end), words.run(begin, end, 1), np.full(n, id_), np.full(n, key), begin, end, begin])
 
-    passages = base.join(heads, ["id", "key"]).mapInArrow(extend, "run long, h1 long, h2 long, id long, key long, begin int, end int, at int")
+    passages = base.join(heads, ["id", "key"]).mapInArrow(extend, ROWS)
     more, _ = neighbours(passages, "passages", tests=False)
-    return copies.unionByName(equal).unionByName(more)
+    return equal.unionByName(more)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 24, gram: int = 8) -> DataFrame:
