@@ -139,7 +139,7 @@ def sampled_frames(fixed: list[Column], limit: Column, source: Column, duration:
     ``fixed``: the processor's settings in order of precedence. ``limit``: null where a model knows none.
     """
     given = F.coalesce(*[positive_int(c) for c in fixed], positive_int(limit))
-    by_rate = F.greatest(F.lit(1), F.bround(duration * fps).cast("int"))
+    by_rate = F.when((duration * fps).isNotNull(), F.greatest(F.lit(1), F.bround(duration * fps).cast("int")))  # the greater of 1 and null is 1
     taken = F.coalesce(given, by_rate)
     return F.when(taken.isNull(), source).when(source > 0, F.least(taken, source)).otherwise(taken)
 

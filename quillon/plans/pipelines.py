@@ -380,7 +380,7 @@ def time_instructions(spark, sf_dir):
 
 @query(
     "WITH s AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 40 + 1 END AS fixed, CASE WHEN event_id % 4 = 0 THEN 16 END AS cap, event_id % 50 AS src, CASE WHEN event_id % 5 <> 0 THEN 12.5 END AS dur, CASE WHEN event_id % 7 <> 0 THEN 2 END AS rate FROM events), "
-    "t AS (SELECT *, COALESCE(fixed, cap, greatest(1, round_even(dur * rate, 0))) AS taken FROM s) "
+    "t AS (SELECT *, COALESCE(fixed, cap, CASE WHEN dur * rate IS NOT NULL THEN greatest(1, round_even(dur * rate, 0)) END) AS taken FROM s) "
     "SELECT event_id, CAST(CASE WHEN taken IS NULL THEN src WHEN src > 0 THEN least(taken, src) ELSE taken END AS INTEGER) AS frames, round(CASE WHEN event_id % 2 = 0 THEN COALESCE(rate, 8 / dur) ELSE 8 / dur END, 6) AS fps, CAST(least(16, CASE WHEN src > 0 THEN least(src, 30) ELSE 30 END) AS INTEGER) AS capped FROM t"
 )
 def frame_cascade(spark, sf_dir):
