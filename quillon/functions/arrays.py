@@ -77,14 +77,43 @@ def adjacent_changes(frames: DataFrame, by: list[str], order: str, vector: str)
     return steps.groupBy(*by).agg(F.avg("step").alias("mean_step"), F.max("step").alias("max_step"), F.min("step").alias("min_step"))
 
 
+def exact_percentiles(df: DataFrame, value: str, by: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """(by, p0, p1, ...) interpolated between neighbours, nulls left out; no group's values are gathered or sorted whole.
+
+    Approximate percentiles bracket each; the rows below a bracket are counted and only its distinct values put in order.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    near = lambda q: [max(0.0, q - 5e-4), min(1.0, q + 5e-4)]
+    brackets = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx("_v", near(q), 10_000).alias(f"_b{k}") for k, q in enumerate(shares)])
+    beside = (lambda a, b: a.join(b, by)) if by else (lambda a, b: a.crossJoin(F.broadcast(b)))  # one row without groups
+    out = brackets.select(*by)
+    for k, q in enumerate(shares):
+        bounds = brackets.select(*by, ((F.col("_n") - 1) * q).alias("_at"), F.col(f"_b{k}")[0].alias("_lo"), F.col(f"_b{k}")[1].alias("_hi"))
+        each = beside(rows, bounds)
+        sides = each.groupBy(*by, "_at").agg(F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.min(F.when(F.col("_v") > F.col("_hi"), F.col("_v"))).alias("_next"), F.max(F.when(F.col("_v") < F.col("_lo"), F.col("_v"))).alias("_prev"))
+        held = each.where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        upto = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        held = beside(held.withColumn("_upto", F.sum("_c").over(upto)), sides)
+        at = F.floor("_at")
+        rank = lambda r: F.min(F.when(r < F.col("_below"), F.col("_prev")).when(F.col("_below") + F.col("_upto") > r, F.col("_v")))  # noqa: E731  a rank beside the bracket is that of its neighbour
+        found = held.groupBy(*by, "_at", "_next").agg(rank(at).alias("_a"), rank(at + 1).alias("_b"))
+        high = F.coalesce("_b", "_next", "_a")
+        found = found.select(*by, (F.col("_a") + (high - F.col("_a")) * (F.col("_at") - at)).alias(f"p{k}"))
+        out = out.join(found, by) if by else found if k == 0 else out.crossJoin(F.broadcast(found))
+    return out
+
+
 def robust_scale(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """``scaled``: 0..255 between the 1st and 99th percentile, or the extremes if those meet; 127 for a constant."""
-    marks = df.groupBy(*(by or [])).agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99))).alias("p"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    by = by or []
+    marks = exact_percentiles(df, value, by, (0.01, 0.99))
+    ends = df.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    marks = ends.join(marks, by, "left") if by else ends.crossJoin(F.broadcast(marks))
     joined = df.join(marks, by) if by else df.crossJoin(F.broadcast(marks))  # one row of marks
-    same = F.col("p")[1] - F.col("p")[0] < 1e-6
-    lo, hi = F.when(same, F.col("lo")).otherwise(F.col("p")[0]), F.when(same, F.col("hi")).otherwise(F.col("p")[1])
+    same = F.col("p1") - F.col("p0") < 1e-6
+    lo, hi = F.when(same, F.col("lo")).otherwise(F.col("p0")), F.when(same, F.col("hi")).otherwise(F.col("p1"))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(value) - lo, hi - lo)))
-    return joined.withColumn("scaled", F.when(hi - lo < 1e-6, 127).otherwise((share * 255).cast("int"))).drop("p", "lo", "hi")
+    return joined.withColumn("scaled", F.when(hi - lo < 1e-6, 127).otherwise((share * 255).cast("int"))).drop("p0", "p1", "lo", "hi")
 
 
 def index_list(text: Column, within: Column | None = None) -> Column:
@@ -224,18 +253,38 @@ def rope_ids(df: DataFrame, ids: str, grids: str, vision_start: int, image: int,
 def principal_maps(df: DataFrame, group: list[str], vector: str, order: str, components: int = 3) -> DataFrame:
     """``pca``: the projection of each vector on its group's first components, centred; zeros where there are fewer.
 
-    One group (a frame, or a clip) is one task's work. The sign of a component is that which makes its greatest loading positive.
+    Sums of vectors and of their products are gathered batch by batch, a row of d * d numbers each, and added up for a group;
+    no task holds a group's vectors. The sign of a component is that which makes its greatest loading positive.
     """
+    kinds = ",".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in group)
+    keyed = df.select(*group, F.col(vector).cast("array<double>").alias("_x"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
-        x = x - x.mean(axis=0)
-        axes = np.linalg.svd(x, full_matrices=False)[2][:components]
-        axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
-        got = np.zeros((len(x), components))
-        got[:, : len(axes)] = x @ axes.T
-        return pdf[[*group, order]].assign(pca=list(got))
-
-    schema = ",".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*group, order)) + ",pca array<double>"
-    return df.groupBy(*group).applyInPandas(run, schema)
+    def sums(batches):
+        for pdf in batches:
+            out = []
+            for key, part in pdf.groupby(group, dropna=False, sort=False):
+                x = np.stack(part["_x"].to_numpy())
+                out.append((*(key if isinstance(key, tuple) else (key,)), len(x), x.sum(axis=0), (x.T @ x).ravel()))
+            yield pd.DataFrame(out, columns=[*group, "n", "s", "p"])
+
+    def axes(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, s = pdf["n"].sum(), np.sum(np.stack(pdf["s"].to_numpy()), axis=0)
+        products = np.sum(np.stack(pdf["p"].to_numpy()), axis=0).reshape(len(s), len(s)) - np.outer(s, s) / n
+        values, loads = np.linalg.eigh((products + products.T) / 2)
+        most = min(components, n, len(s))
+        loads = loads[:, ::-1][:, :most].T
+        loads = loads * (values[::-1][:most] > 1e-9 * max(values.max(), 1e-300))[:, None]  # a direction without spread has no component
+        loads = loads * np.where(loads[np.arange(most), np.abs(loads).argmax(axis=1)] < 0, -1.0, 1.0)[:, None]
+        return pdf[group].iloc[:1].assign(mean=[s / n], axes=[list(loads)])
+
+    parts = keyed.mapInPandas(sums, f"{kinds},n long,s array<double>,p array<double>")
+    found = parts.groupBy(*group).applyInPandas(axes, f"{kinds},mean array<double>,axes array<array<double>>")
+    found = found.withColumnsRenamed({c: f"_group{k}" for k, c in enumerate(group)})
+    match = F.lit(True)
+    for k, c in enumerate(group):
+        match = match & F.col(c).eqNullSafe(F.col(f"_group{k}"))
+    joined = df.select(*group, order, F.col(vector).alias("_x")).join(found, match)
+    bare = F.zip_with("_x", "mean", lambda a, m: a - m)
+    along = lambda load: F.aggregate(F.zip_with(bare, load, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+    pad = F.array_repeat(F.lit(0.0), components - F.size("axes"))
+    return joined.select(*group, order, F.concat(F.transform("axes", along), pad).alias("pca"))

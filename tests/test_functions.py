@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,3 +209,29 @@ def test_rope_positions():
     got = arrays.rope_positions(ids, [(1, 4, 4)], 8, 9, 10)
     assert got == [(0, 0, 0), (1, 1, 1), (2, 2, 2), (2, 2, 3), (2, 3, 2), (2, 3, 3), (4, 4, 4)]
     assert arrays.rope_positions([5, 6], [], 8, 9, 10) == [(0, 0, 0), (1, 1, 1)]
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_percentiles_are_exact(spark, by):
+    rng = np.random.default_rng(len(by))
+    for n in (1, 2, 3, 60, 4000):
+        rows = [(k % 3, float(rng.choice([rng.normal(), 1.0, 5.0]))) for k in range(n)]
+        frame = spark.createDataFrame([*rows, (0, None)], "g int, v double")
+        for r in arrays.exact_percentiles(frame, "v", by, (0.01, 0.99, 0.5)).collect():
+            mine = [v for g, v in rows if not by or g == r["g"]]
+            assert np.allclose([r["p0"], r["p1"], r["p2"]], np.percentile(mine, [1, 99, 50]))
+
+
+def test_principal_components_are_those_of_the_svd(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", k, [float(x) for x in rng.normal(size=6) * [5, 3, 2, 1, 1, 1]]) for k in range(80)] + [("b", k, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0 + k]) for k in range(2)] + [(None, 9, [1.0] * 6)]
+    frame = spark.createDataFrame(rows, "g string, k long, v array<double>").repartition(4)
+    got = {(r["g"], r["k"]): r["pca"] for r in arrays.principal_maps(frame, ["g"], "v", "k").collect()}
+    for g in ("a", "b", None):
+        x = np.array([v for h, _, v in rows if h == g])
+        x = x - x.mean(axis=0)
+        axes = np.linalg.svd(x, full_matrices=False)[2][:3]
+        axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+        want = np.zeros((len(x), 3))
+        want[:, : len(axes)] = x @ axes.T
+        assert np.allclose(np.array([got[g, k] for h, k, _ in rows if h == g]), want, atol=1e-9)
