@@ -843,7 +843,16 @@ def masked_positions_and_eos(spark, sf_dir):
 # -- sequential algorithms: no SQL, tested by brute force and invariants ---------------------------------
 
 
-@query()
+_PAIR_IOU = "greatest(0, least(a.x2, b.x2 + 2) - greatest(a.x1, b.x1 + 2)) * greatest(0, least(a.y2, b.y2 + 2) - greatest(a.y1, b.y1 + 2))"
+
+
+@query(f"""
+WITH b AS ({_BOXES}), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY o ORDER BY n) - 1 AS INTEGER) AS k, count(*) OVER (PARTITION BY o) AS m FROM b),
+pairs AS (SELECT a.o, a.k AS i, b.k AS j, a.m, CAST({_PAIR_IOU} AS DOUBLE) AS inter, CAST((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS DOUBLE) AS areas FROM k a JOIN k b ON a.o = b.o),
+gains AS (SELECT o, i, j, m, CASE WHEN areas - inter > 0 THEN inter / (areas - inter) ELSE 0.0 END AS gain FROM pairs),
+s0 AS (SELECT DISTINCT o, m, 0 AS used, CAST(0 AS DOUBLE) AS total FROM k),
+{", ".join(f"s{i + 1} AS (SELECT s.o, s.m, s.used + (1 << g.j) AS used, max(s.total + g.gain) AS total FROM s{i} s JOIN gains g ON g.o = s.o AND g.i = {i} AND (s.used // (1 << g.j)) % 2 = 0 GROUP BY ALL)" for i in range(20))}
+SELECT o, round(max(total) / any_value(m), 6) AS score FROM ({" UNION ALL ".join(f"SELECT * FROM s{i} WHERE m = {i}" for i in range(1, 21))}) GROUP BY o""")
 def hungarian_iou(spark, sf_dir):
     b = _boxes(spark, sf_dir).groupBy("o").agg(F.array_sort(F.collect_list(F.struct("n", F.col("b").cast("array<double>").alias("b")))).alias("m"))
     boxes = F.transform("m", lambda m: m["b"])
@@ -851,7 +860,16 @@ def hungarian_iou(spark, sf_dir):
     return b.select("o", F.round(arrays.matched_iou(boxes, moved), 6).alias("score"))
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE d AS (SELECT doc_id, doc_id // 256 AS block, COALESCE(len(list_filter(string_split_regex(text, '[\s\x0B\x{{85}}\x{{A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{3000}}]+'), lambda x: x <> '')), 0) + 21 AS n FROM documents),
+items AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY n DESC, doc_id) AS k FROM d),
+steps(block, k, rooms, doc_id, n, pack) AS (
+  SELECT DISTINCT block, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM d
+  UNION ALL
+  SELECT block, k, CASE WHEN spot IS NULL THEN list_append(rooms, 4096 - n) ELSE list_transform(rooms, lambda r, j: CASE WHEN j = spot THEN r - n ELSE r END) END, doc_id, n, COALESCE(spot - 1, len(rooms))
+  FROM (SELECT i.block, i.k, s.rooms, i.doc_id, i.n, list_position(s.rooms, list_min(list_filter(s.rooms, lambda r: r >= i.n))) AS spot FROM steps s JOIN items i ON i.block = s.block AND i.k = s.k + 1)
+)
+SELECT block, pack, doc_id, n AS n_tokens FROM steps WHERE k > 0""")
 def bin_pack(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(text.word_count(F.col("text")), F.lit(0)) + packing.FIXED_TOKENS).alias("n_tokens"))
     return packing.pack_blocks(docs, "doc_id", "n_tokens")
