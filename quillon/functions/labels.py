@@ -170,9 +170,9 @@ def ordered_answer(c: Column) -> Column:
 
 def split_label(conversations: Column) -> Column:
     """The answer of the last turn, its white space collapsed; UNKNOWN without one or with a single turn."""
-    last = F.try_element_at(conversations, F.lit(-1))["value"]
-    found = F.regexp_replace(first_tag(last, "answer"), r"(?U)\s+", " ")
-    return F.when((F.size(conversations) >= 2) & has_tag(last, "answer"), found).otherwise("UNKNOWN")
+    told = lambda last: F.when(has_tag(last, "answer"), F.regexp_replace(first_tag(last, "answer"), r"(?U)\s+", " "))
+    found = let(F.when(F.size(conversations) >= 2, F.try_element_at(conversations, F.lit(-1))["value"]), told)
+    return F.coalesce(found, F.lit("UNKNOWN"))
 
 
 def model_family(c: Column) -> Column:

@@ -466,7 +466,7 @@ def prompt_between(c: Column, loose: bool = True) -> Column:
     pattern = (
         r"(?is)Textual prompt\s*:\s*(.*?)(?=\s*Assess whether the video is well-aligned)" if loose else r"(?s)Textual prompt:\s*(.*?)\nAssess whether"
     )
-    return F.when(c.rlike(pattern), strip(F.regexp_extract(c, pattern, 1)))
+    return let(c, lambda t: F.when(t.rlike(pattern), strip(F.regexp_extract(t, pattern, 1))))
 
 
 def video_candidates(video: Column, roots: list[str], here: str) -> Column:
