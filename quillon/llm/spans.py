@@ -65,7 +65,7 @@ def spans(begin: np.ndarray, end: np.ndarray, run_parts: int, run_words: int) ->
 def dedup_spans(
     docs: DataFrame, run_parts: int = 2, run_words: int = 8, long_words: int = 12, one_in: int = 8
 ) -> DataFrame:
-    """``docs`` as columns ``doc`` (a struct of all its own), text, n_parts, n_removed."""
+    """``docs`` as columns ``doc`` (a struct of all its own), text, n_parts (null where nothing is removed), n_removed."""
     arrow_batches(docs.sparkSession)
 
     def every(batches):
@@ -89,15 +89,16 @@ def dedup_spans(
         for batch in batches:
             kept, total, removed = [], [], []
             for text, gone in zip(texts(batch), batch.column("gone").to_pylist()):
-                words, begin, end = parts(text, long_words, one_in)
-                drop = np.zeros(len(begin) + 1, np.int64)
-                for g in gone or ():
-                    drop[g["begin"]] += 1
-                    drop[g["end"]] -= 1
-                covered = np.cumsum(drop)[: len(begin)] > 0
-                total.append(len(begin))
-                removed.append(int(covered.sum()))
-                if removed[-1]:
+                total.append(None)
+                removed.append(0)
+                if gone:
+                    _, begin, _ = parts(text, long_words, one_in)
+                    drop = np.zeros(len(begin) + 1, np.int64)
+                    for g in gone:
+                        drop[g["begin"]] += 1
+                        drop[g["end"]] -= 1
+                    covered = np.cumsum(drop)[: len(begin)] > 0
+                    total[-1], removed[-1] = len(begin), int(covered.sum())
                     spots = [m.start() for m in WORD.finditer(text)]
                     cuts = [0, *(spots[k] for k in begin[1:].tolist()), len(text)]
                     text = b"".join(text[a:b] for a, b, c in zip(cuts, cuts[1:], covered) if not c)
