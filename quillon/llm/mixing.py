@@ -7,8 +7,9 @@ the sum of its children's. Budgets are whole tokens, rounded down at each level.
 
 A leaf's budget is spent on epochs, each a permutation of its rows by a seeded hash of epoch and doc_id:
 whole epochs first, then the prefix of the next whose token count is nearest the rest. The prefix is found
-without ordering a leaf: token sums of 4,096 slices of the hash range show the slice where the cut lies, and
-only that slice is ordered. Everything is DataFrame operations; the plan, one row a leaf, is broadcast when it
+without ordering a leaf: token sums of 4,096 slices of the hash range show the slice where the cut lies, those of
+4,096 slices of that slice show it closer, and only the last is ordered: a leaf's 16 millionth part. Slices are
+summed by sixty-fours first, so that a leaf's sums are never many in one task. Everything is DataFrame operations; the plan, one row a leaf, is broadcast when it
 has at most ``broadcast_leaves`` rows and otherwise joined.
 
 Defined cases: a null text has no tokens; null languages and sources form a leaf of their own, named ''; nodes
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from quillon.llm.common import materialize
 
 LEVELS = ("domain", "lang", "source")
+#: Hex digits of a hash that tell its slice, at each of two levels; a slice's group is told by all but GROUP values of them.
 SLICE_DIGITS = 3
+GROUP = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,6 +66,22 @@ def budgets(leaves: DataFrame, weights: dict[str, Column], total_share: float, m
     return filled.select(*LEVELS, "tokens", "budget")
 
 
+def edges(rows: DataFrame, hint) -> DataFrame:
+    """rows(LEVELS, rest, slice, n_tokens) to the slice of each leaf in which its tokens exceed ``rest``, and the tokens ``before`` it."""
+    sums = materialize(rows.groupBy(*LEVELS, "rest", "slice").agg(F.sum("n_tokens").alias("n")), "mix-slices")
+    upto = lambda by: Window.partitionBy(*LEVELS).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    group = F.floor(F.col("slice") / GROUP).cast("int")
+
+    def first(parts: DataFrame, by: str, before) -> DataFrame:
+        over = parts.withColumn("after", before + F.sum("n").over(upto(by))).where("after > rest")
+        found = over.groupBy(*LEVELS).agg(F.min_by(F.struct(by, (F.col("after") - F.col("n")).alias("before")), by).alias("e"))
+        return found.select(*LEVELS, F.col(f"e.{by}").alias("edge"), "e.before")
+
+    coarse = sums.groupBy(*LEVELS, "rest", group.alias("group")).agg(F.sum("n").alias("n"))
+    near = sums.join(hint(first(coarse, "group", F.lit(0))), list(LEVELS)).where(group == F.col("edge")).drop("edge")
+    return materialize(first(near, "slice", F.col("before")), "mix-edges")
+
+
 def mix(
     docs: DataFrame, domain: Column, weights: dict[str, Column], tokens: Column | None = None, total_share: float = 1.0,
     max_epochs: int = 2, seed: int = 17, broadcast_leaves: int = 20_000,
@@ -86,28 +105,30 @@ def mix(
     def place(epoch: Column, id_: Column) -> Column:
         return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(id_, F.lit(""))).cast("binary"))
 
-    def slice_of(key: Column) -> Column:
-        return F.conv(F.substring(key, 1, SLICE_DIGITS), 16, 10).cast("int")
+    def slice_of(key: Column, level: int) -> Column:
+        return F.conv(F.substring(key, 1 + (level - 1) * SLICE_DIGITS, SLICE_DIGITS), 16, 10).cast("int")
 
     placed = slim.join(hint(plan.select(*LEVELS, "epochs", "rest")), list(LEVELS)).withColumn("key", place(F.col("epochs"), F.col("id")))
-    placed = placed.withColumn("slice", slice_of(F.col("key")))
-    sums = placed.groupBy(*LEVELS, "rest", "slice").agg(F.sum("n_tokens").alias("n"))
-    upto = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
-    edge = sums.withColumn("after", F.sum("n").over(upto)).where("after > rest")
-    edge = edge.groupBy(*LEVELS).agg(F.min_by(F.struct("slice", (F.col("after") - F.col("n")).alias("before")), "slice").alias("edge"))
-    edge = materialize(edge.select(*LEVELS, F.col("edge.slice").alias("edge"), "edge.before"), "mix-edges")
-    inside = placed.join(hint(edge), list(LEVELS)).where("slice = edge")
+    outer = edges(placed.withColumn("slice", slice_of(F.col("key"), 1)), hint)
+    inside = placed.join(hint(outer), list(LEVELS)).where(slice_of(F.col("key"), 1) == F.col("edge"))
+    inside = inside.select(*LEVELS, (F.col("rest") - F.col("before")).alias("rest"), "key", "n_tokens", slice_of(F.col("key"), 2).alias("slice"))
+    inside = materialize(inside, "mix-inside")
+    inner = edges(inside, hint)
+    inside = inside.join(hint(inner), list(LEVELS)).where("slice = edge")
     inside = inside.groupBy(*LEVELS, "rest", "before", "key", "n_tokens").agg(F.count(F.lit(1)).alias("rows"))
     upto = Window.partitionBy(*LEVELS).orderBy("key", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     after = F.col("before") + F.sum(F.col("n_tokens") * F.col("rows")).over(upto)
     taken = inside.withColumn("after", after).where(2 * F.col("after") - F.col("n_tokens") * F.col("rows") <= 2 * F.col("rest"))
     cut = taken.groupBy(*LEVELS).agg(F.max(F.struct("key", "n_tokens")).alias("cut"))
-    final = plan.select(*LEVELS, "epochs").join(edge.select(*LEVELS, "edge"), list(LEVELS), "left").join(cut, list(LEVELS), "left")
+    slices = 16**SLICE_DIGITS
+    edge = outer.select(*LEVELS, F.col("edge").alias("outer")).join(inner.select(*LEVELS, F.col("edge").alias("inner")), list(LEVELS))
+    edge = edge.select(*LEVELS, (F.col("outer") * slices + F.col("inner")).alias("edge"))
+    final = plan.select(*LEVELS, "epochs").join(edge, list(LEVELS), "left").join(cut, list(LEVELS), "left")
     final = materialize(final, "mix-cuts")
 
     whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("string").alias("id"), *leaf, tokens.alias("n_tokens"))
     out = whole.join(hint(final), list(LEVELS), "left").withColumn("key", place(F.col("epochs"), F.col("id")))
-    here = slice_of(F.col("key"))
+    here = slice_of(F.col("key"), 1) * slices + slice_of(F.col("key"), 2)
     in_cut = F.col("cut").isNotNull() & (F.struct("key", "n_tokens") <= F.col("cut"))
     more = F.col("epochs").isNotNull() & (F.col("edge").isNull() | (here < F.col("edge")) | ((here == F.col("edge")) & in_cut))
     copies = F.coalesce(F.col("epochs"), F.lit(0)) + more.cast("int")
