@@ -142,6 +142,37 @@ def test_quality_rejects_what_labels_call_bad(spark):
     assert sum(out[1000 + k]["kept"] for k in range(60)) <= 3
 
 
+def test_forest_scores_match_a_walk_of_its_trees():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 4)).round(1)
+    forest = quality.Forest(x[:200], x, trees=12, rows=64, seed=3)
+    for row in [*x[:60], np.full(4, 9.0)]:
+        total = 0.0
+        for t in range(12):
+            node, depth = 1, 0
+            while (f := forest.feature[t, node]) >= 0:
+                node, depth = 2 * node + int(row[f] >= forest.value[t, node]), depth + 1
+            assert depth <= forest.depth and forest.path[t, node] >= depth
+            total += forest.path[t, node]
+        assert abs(forest.score(row[None])[0] - 2.0 ** -(total / 12 / quality.mean_path(64))) < 1e-12
+    assert forest.score(np.full((1, 4), 9.0))[0] > np.quantile(forest.score(x), 0.95)
+    # each tree splits its rows: path lengths are depths plus what the rows left in a leaf would need
+    one = quality.Forest(x[:1], x[:1], trees=2, rows=8, seed=0)
+    assert (one.feature == -1).all() and one.score(x[:3]).tolist() == [1.0] * 3
+
+
+def test_threshold_separates_all_labelled_rows_best(spark):
+    rng = random.Random(2)
+    long = [f"{a}{b}" for a in WORDS for b in WORDS]
+    rows = [(k, say(rng, 100, long)) for k in range(120)] + [(500 + k, " ".join(rng.choice(long) + rng.choice(["", "###", "!!"]) for _ in range(100))) for k in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 500), 0) for i, _ in rows if i % 3], "doc_id long, quality int, toxic int")
+    out = quality.judge(common.materialize(quality.rule_statistics(spark.createDataFrame(rows, "doc_id long, text string")), "t"), labels, bins=50, max_good_loss=0.02).collect()
+    good, bad = ([int(r["anomaly"] * 50) for r in out if r["doc_id"] % 3 and (r["doc_id"] < 500) == g] for g in (True, False))
+    share = lambda xs, k: sum(x >= k for x in xs) / len(xs)
+    best = max((k for k in range(50) if share(good, k) <= 0.02), key=lambda k: (share(bad, k) - share(good, k), -k))
+    assert share(bad, best) > 0.5 and all(r["kept"] == (int(r["anomaly"] * 50) < best) for r in out if not r["base_failed"])
+
+
 def test_quality_edges(spark, docs, clash):
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (2, None, 1)], "doc_id long, quality int, toxic int")
     kept = quality.keep_good(clash, labels)
@@ -237,6 +268,9 @@ def test_sharding_is_exact_and_gapless(spark, docs, clash):
     assert len(out) == docs.count() and max(counts.values()) - min(counts.values()) <= 1 and len(counts) == 7
     for s, n in counts.items():
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(n))
+    same = sharding.shard(spark.range(3000).select(F.lit(5).alias("doc_id"), F.lit("x").alias("text")), shards=7, virtual=16).collect()  # one key
+    assert sorted(Counter(r["shard"] for r in same).values()) == [428, 428, 428, 429, 429, 429, 429]
+    assert all(sorted(r["slot"] for r in same if r["shard"] == s) == list(range(428 + (s < 4))) for s in range(7))
     text = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows_of(docs))
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == text
     assert sharding.shard(empty(spark)).count() == 0
@@ -446,23 +480,27 @@ def test_components_of_a_long_path(spark):
 def test_maxscore_matches_brute_force(spark):
     rng = np.random.default_rng(0)
     rows = [(k, [float(x) for x in rng.normal(size=8).round(2)]) for k in range(300)]
-    rows += [(k + 300, rows[k][1]) for k in range(40)] + [(400, None), (401, [1.0, None]), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, [0.5, 0.5]), (405, []), (None, [1.0] * 8)]
+    rows += [(k + 300, rows[k][1]) for k in range(40)] + [(400, None), (401, [1.0, None]), (402, [float("nan")] * 8), (403, [float("inf")] * 8), (404, [0.5, 0.5]), (405, []), (None, [1.0] * 8), (50, rows[7][1]), (50, rows[50][1])]
     vectors = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
     got = {}
-    for r in maxscore.search(vectors, vectors.where("id % 50 = 0"), 5, block_rows=64, query_rows=3).collect():
-        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
-    good = {k: [math.floor(256 * x) for x in v] for k, v in rows if k is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    for q in (k for k in good if k % 50 == 0):
-        score = sorted(((-sum(a * b for a, b in zip(good[q], good[k])), k) for k in good if k != q))[:5]
-        assert [got[q][n + 1] for n in range(5)] == [(k, -s) for s, k in score]
-    assert set(got) == {k for k in good if k % 50 == 0}
-    assert maxscore.search(vectors.where("id < 0"), vectors.where("id < 0"), 5).count() == 0
+    for block_rows, query_rows in ((64, 3), (16, 100)):
+        got = Counter()
+        for r in maxscore.search(vectors, "id % 50 = 0", 5, block_rows=block_rows, query_rows=query_rows).collect():
+            got[r["query_id"], r["rank"], r["vec_id"], r["score"]] += 1
+        good = [(k, [math.floor(256 * x) for x in v]) for k, v in rows if k is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+        want = Counter()
+        for at, (q, v) in enumerate(good):
+            if q % 50 == 0:
+                score = sorted((-sum(a * b for a, b in zip(v, w)), k) for j, (k, w) in enumerate(good) if j != at)[:5]
+                want.update((q, n + 1, k, -s) for n, (s, k) in enumerate(score))
+        assert got == want
+    assert maxscore.search(vectors.where("id < 0"), "id % 50 = 0", 5).count() == 0
 
 
 def test_maxscore_huge_components(spark):
     rows = [(0, [1e9, -1e9]), (1, [1e9, 3.0]), (2, [-1e9, 1e300])]
     v = spark.createDataFrame(rows, "id long, v array<double>")
-    out = maxscore.search(v, v.where("id = 0"), 5).orderBy("rank").collect()
+    out = maxscore.search(v, "id = 0", 5).orderBy("rank").collect()
     assert [r["vec_id"] for r in out] == [1, 2] and out[1]["score"] == -(1 << 63)
 
 
@@ -492,7 +530,8 @@ def test_token_probabilities_are_proper():
     """Over all continuations of any place the coded probabilities add up to one."""
     code = mixlm.prefix_code(np.bincount(np.frombuffer(b"ab abc b \n", np.uint8), minlength=256))
     rng = np.random.default_rng(0)
-    model = mixlm.Model(rng.integers(0, 9, mixlm.SLOTS).astype(np.float32), rng.integers(0, 9, mixlm.SLOTS).astype(np.float32), code)
+    model = mixlm.Model(rng.integers(0, 9, mixlm.SLOTS).astype(np.uint16) + rng.integers(0, 9, mixlm.SLOTS).astype(np.uint16) * 256, code)
+    assert [mixlm.LEVELS[k] for k in mixlm.as_levels(np.array([0, 1, 77, 128]))] == [0, 1, 77, 128] and abs(mixlm.LEVELS[mixlm.as_levels(10**9)] / 10**9 - 1) < 0.13
     weights, hits, total = model.weights.copy(), np.zeros(mixlm.GATES * mixlm.CELLS), np.zeros(mixlm.GATES * mixlm.CELLS)
     model.fit([b"ab", b"abc", b"b", mixlm.END] * 50, np.zeros(200, np.int64), np.full(200, 3), weights, hits, total)
     assert not np.allclose(weights, model.weights)
@@ -501,8 +540,9 @@ def test_token_probabilities_are_proper():
     cost = model.bits(first, np.zeros(len(first), np.int64))
     alone = []  # the cost of the first byte: of each word that is one byte and a space, less that of the space behind it
     for slots, bit, place, token in mixlm.pieces(first, np.zeros(len(first), np.int64), code):
-        gate = place + mixlm.PLACES * model.seen[slots[mixlm.WORD] - mixlm.OFFSETS[mixlm.WORD]].astype(np.int64)
-        one = mixlm.refine(mixlm.mixed_odds(model.odds[slots], gate, model.weights), gate, model.table)[0]
+        zeros, ones = (mixlm.LEVELS[c] for c in (model.counts[slots] & 255, model.counts[slots] >> 8))
+        gate = place + mixlm.PLACES * sum((zeros + ones)[mixlm.WORD] > k for k in (0, 12))
+        one = mixlm.refine(mixlm.mixed_odds(np.log((ones + mixlm.PRIOR) / (zeros + mixlm.PRIOR)), gate, model.weights), gate, model.table)[0]
         p = np.where(bit, one, 1 - one)
         for t in range(len(first)):
             alone.append(float(np.prod(p[(token == t) & (place == 0)])))
@@ -514,10 +554,10 @@ def test_what_a_text_says_is_a_distribution():
     """x adds up to 1 - y over the words seen so far, at each place; words not seen have none."""
     rng = random.Random(3)
     for _ in range(40):
-        text = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(1, 25))]
-        last = [(w, *[*mixlm.told([*text, w])][-1]) for w in (b"a", b"b", b"c", b"d", b"new")]
-        assert len({round(y, 12) for _, _, y in last}) == 1 and abs(sum(x for _, x, _ in last) + last[0][2] - 1) < 1e-9
-        assert last[-1][1] == 0.0
+        text = [rng.randrange(4) for _ in range(rng.randint(1, 25))]
+        last = [[c[-1] for c in mixlm.told(np.array([*text, w]))] for w in range(5)]
+        assert len({round(y, 12) for _, y in last}) == 1 and abs(sum(x for x, _ in last) + last[0][1] - 1) < 1e-9
+        assert last[4][0] == 0.0
 
 
 def test_scores_match_a_brute_force_coder(spark, docs):
@@ -527,7 +567,15 @@ def test_scores_match_a_brute_force_coder(spark, docs):
     hints, model, words = mixlm.learn(slim, 20, 64)
     held = {bytes(r["word"]): (r["n"], r["p"]) for r in words.collect()}
     rows = slim.collect()
-    coded = [(mixlm.classed((r["text"] or "").encode(), hints), r["learn"]) for r in rows]
+
+    def classed(tokens):
+        now, out = 0, []
+        for w in tokens:
+            out.append((w, now))
+            now = hints.get(w, now)
+        return out
+
+    coded = [(classed([*(r["text"] or "").encode().lower().split(), mixlm.END]), r["learn"]) for r in rows]
     zeros, ones = Counter(), Counter()
     n, by_class = Counter(), Counter()
     for tokens, counted in coded:
@@ -538,8 +586,9 @@ def test_scores_match_a_brute_force_coder(spark, docs):
                 for row in slots:
                     zeros.update(row[bit == 0].tolist())
                     ones.update(row[bit == 1].tolist())
-    for counted, table in ((zeros, model.zeros), (ones, model.ones)):
-        assert {k: int(table[k]) for k in np.nonzero(table)[0].tolist()} == dict(counted)
+    for counted, table in zip((zeros, ones), (model.counts & 255, model.counts >> 8)):
+        assert {k: int(table[k]) for k in np.nonzero(table)[0].tolist()} == {k: int(mixlm.as_levels(n)) for k, n in counted.items()}
+    zeros, ones = (Counter({k: mixlm.LEVELS[mixlm.as_levels(n)] for k, n in c.items()}) for c in (zeros, ones))
     trust = {}
     for (w, k), m in n.items():
         bits = sum(
@@ -754,21 +803,91 @@ def test_suffixes_find_planted_passages(spark, docs, clash):
 # -- pipeline ---------------------------------------------------------------------------------
 
 
-def test_pipeline_stages(spark, clash, tmp_path):
-    import corpus_pipeline
-
+def pipeline_rows(clash, spark):
+    """Rows with every stage's work in them, and columns named like the operators' own."""
     rng = random.Random(12)
     long = [f"{a}{b}" for a in WORDS for b in WORDS]
-    extra = spark.createDataFrame([(700 + k, say(rng, 150, long), ("en", "fr")[k % 2], "src1", 3) for k in range(30)], SCHEMA)
-    docs = clash.unionByName(extra, allowMissingColumns=True)
+    texts = [say(rng, 150, long) for _ in range(30)]
+    rows = [(700 + k, t, ("en", "fr")[k % 2], "src1", 3) for k, t in enumerate(texts)]
+    for k in range(12):  # near copies, some of them in a chain
+        w = texts[k % 4].split()
+        for at in rng.sample(range(150), 1 + k % 4):
+            w[at] = f"new{rng.randint(0, 10**6)}"
+        rows.append((800 + k, " ".join(w), "en", "src1", 3))
+    passage = say(rng, 60, long)
+    rows += [(900 + k, f"{say(rng, 80, long)}\n{passage}\n{say(rng, 30, long)}", "de", "src2", 3) for k in range(5)]
+    rows += [(950 + k, " ".join(f"{rng.choice(long)}###" for _ in range(120)), None, None, None) for k in range(8)]
+    return clash.where("doc_id is null or doc_id <> 302").unionByName(spark.createDataFrame(rows, SCHEMA), allowMissingColumns=True)
+
+
+def brute_alike(rows):
+    """Ids that stay of (id, text) when rows alike in 0.8 of their five-word shingles are one group."""
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [grams(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if label[i] != label[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    stay = {}
+    for (i, _), k in zip(rows, label):
+        stay[k] = min([stay[k], i] if k in stay else [i], key=lambda x: (x is None, x or 0))
+    return Counter(stay.values())
+
+
+def test_pipeline_stages_match_brute_force(spark, clash, tmp_path):
+    """Each stage on what the one before kept: columns stay, and rows, texts, copies and ids are those of the definition."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = pipeline_rows(clash, spark)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    ids = {r["doc_id"] for r in now.select("doc_id").collect()}
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        now = common.materialize(stage(spark, now, str(tmp_path)), "stage")
-        assert {r["doc_id"] for r in now.select("doc_id").collect()} <= ids
-        if k < 3:
-            assert {700 + j for j in range(30)} <= {r["doc_id"] for r in now.select("doc_id").collect()}
-        assert k == 4 or now.columns == docs.columns
-    assert now.count() and corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+    marks = [(700 + k, 1, 0) for k in range(30)] + [(950 + k, 0, 0) for k in range(4)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now, stages = spark.read.parquet(f"{tmp_path}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    pairs = lambda df: [tuple(r) for r in df.select("doc_id", "text").collect()]
+    step = lambda name: common.materialize(stages[name](spark, now, str(tmp_path)), "stage")
+
+    kept = step("quality rules")
+    sound = [p for p in pairs(now) if p[1] and (s := brute_statistics(p[1]))[0] >= 50 and 100 * s[4] <= 50 * s[0]]
+    judged = {(r["doc_id"], r["n_words"], r["word_chars"]): r["kept"] for r in quality.judge(common.materialize(quality.rule_statistics(now), "t"), spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    assert kept.columns == docs.columns
+    assert Counter(pairs(kept)) == Counter(p for p in sound if judged[p[0], brute_statistics(p[1])[0], brute_statistics(p[1])[1]])
+    assert {700 + k for k in range(30)} <= {i for i, _ in pairs(kept)} and not {950 + k for k in range(8)} & {i for i, _ in pairs(kept)}
+
+    now, before = kept, pairs(kept)
+    kept = step("near-duplicates")
+    assert kept.columns == docs.columns and Counter(i for i, _ in pairs(kept)) == brute_alike(before)
+    assert len(before) - kept.count() >= 8
+
+    now, before = kept, kept.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).collect()
+    kept = step("repeated spans")
+    want = brute_spans([tuple(r)[:2] for r in before], {tuple(r)[:2]: r["key"] for r in before})
+    words = lambda t: tuple(t.encode().lower().split())
+    assert kept.columns == docs.columns
+    assert Counter((i, words(t)) for i, t in pairs(kept)) == Counter((k[0], tuple(w)) for k, (w, n) in want.items() if w or not n)
+    assert all(r["n_chars"] == len(r["text"]) for r in kept.where("doc_id between 901 and 904").collect())
+
+    now, before = kept, kept
+    kept = step("mixture")
+    domain, weights = registry.mixture()
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(before, domain, weights).select("doc.doc_id", "copies").collect()}  # told by its own brute force
+    assert kept.columns == docs.columns and Counter(pairs(kept)) == Counter({p: copies[p[0]] for p in pairs(before) if copies[p[0]]})
+
+    now, before = kept, pairs(kept)
+    pieces = step("packing").collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    held = Counter()
+    for p in pieces:
+        held[p["doc_id"], p["doc_tokens"]] += p["length"]
+    whole = Counter()
+    for i, t in before:
+        n = len(tokenizer.encode(t, add_special_tokens=False).ids) + 1
+        whole[i, n] += n
+    assert held == whole
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
