@@ -128,7 +128,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 24, gr
 
 def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` without the words of ``passages``; white space around a cut becomes a line end."""
-    mine = passages.groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("cuts"))
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id")
+    mine = passages.groupBy(id_, "key").agg(F.collect_set(F.struct("begin", "end")).alias("cuts"))
 
     def cut(batches):
         import re
@@ -146,7 +147,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.string())], names=["doc", "text"])
 
-    whole = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text", text_key().alias("key"))
+    whole = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text", id_, text_key().alias("key"))
     schema = whole.select("doc", "text").schema
-    done = whole.join(mine, "key", "left").select("doc", "text", "cuts").mapInArrow(cut, schema)
+    done = whole.join(mine, ["id", "key"], "left").select("doc", "text", "cuts").mapInArrow(cut, schema)
     return done.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
