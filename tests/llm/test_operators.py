@@ -542,7 +542,7 @@ def test_token_probabilities_are_proper():
     for slots, bit, place, token in mixlm.pieces(first, np.zeros(len(first), np.int64), code):
         zeros, ones = (mixlm.LEVELS[c] for c in (model.counts[slots] & 255, model.counts[slots] >> 8))
         gate = place + mixlm.PLACES * sum((zeros + ones)[mixlm.WORD] > k for k in (0, 12))
-        one = mixlm.refine(mixlm.mixed_odds(np.log((ones + mixlm.PRIOR) / (zeros + mixlm.PRIOR)), gate, model.weights), gate, model.table)[0]
+        one = mixlm.refine(mixlm.mixed_odds(np.log((ones + mixlm.PRIOR) / (zeros + mixlm.PRIOR)), gate, model.weights), gate, model.table)
         p = np.where(bit, one, 1 - one)
         for t in range(len(first)):
             alone.append(float(np.prod(p[(token == t) & (place == 0)])))
