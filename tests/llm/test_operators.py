@@ -555,7 +555,9 @@ def test_what_a_text_says_is_a_distribution():
     rng = random.Random(3)
     for _ in range(40):
         text = [rng.randrange(4) for _ in range(rng.randint(1, 25))]
-        last = [[c[-1] for c in mixlm.told(np.array([*text, w]))] for w in range(5)]
+        before = [rng.randrange(4) for _ in range(rng.randint(1, 9))]  # another text, in one go with it
+        n, m = len(before), len(text) + 1
+        last = [[c[-1] for c in mixlm.told(np.array([*before, *text, w]), np.repeat([0, 1], [n, m]), np.repeat([0, n], [n, m]))] for w in range(5)]
         assert len({round(y, 12) for _, y in last}) == 1 and abs(sum(x for x, _ in last) + last[0][1] - 1) < 1e-9
         assert last[4][0] == 0.0
 
