@@ -153,7 +153,7 @@ def match_total(a: list, b: list) -> float:
         union = area(p) + area(q) - inter
         return inter / union if union > 0 else 0.0
 
-    if len(a) > 12:
+    if len(a) > 5:
         return assignment_total(np.array([[overlap(p, q) for q in b] for p in a]))
     best = {0: 0.0}
     for q in b:
