@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import langid, maxscore, mixing, mixlm, packing, quality, sharding, simhash, spans, suffixes
+from quillon.llm import importance, langid, maxscore, mixing, mixlm, packing, pieces, quality, ranking, sharding, simhash, spans, suffixes
 from quillon.llm.common import crc32_of_id, materialize, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,85 @@ def op8_context_mixing_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc32_of_id(F.col("doc_id")) % 7 == 2
     found = mixlm.score(docs, train=~held_out, label="lang")
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL["op11_importance_resampling"] = r"""
+WITH words AS (
+  SELECT 'raw' AS side, doc_id, text IS NULL AS none, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+  UNION ALL
+  SELECT 'target', NULL, false, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark
+),
+crc AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(1, 9)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM range(256) AS r(b)
+  )
+),
+buckets AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(hex(word)) + 1, 2), lambda i: CAST('0x' || substr(hex(word), CAST(i AS INTEGER), 2) AS BIGINT))),
+                    lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM words), crc
+),
+counts AS (
+  SELECT bucket, count(*) FILTER (side = 'raw') AS s, count(*) FILTER (side = 'target') AS t FROM words JOIN buckets USING (word) GROUP BY bucket
+),
+sums AS (SELECT CAST(sum(s) AS DOUBLE) AS s_all, CAST(sum(t) AS DOUBLE) AS t_all FROM counts),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (s_all + 10000) / ((CAST(s AS DOUBLE) + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM counts, sums
+),
+weights AS (
+  SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS w FROM words JOIN buckets USING (word) JOIN gains USING (bucket) WHERE side = 'raw' GROUP BY doc_id
+),
+scored AS (
+  SELECT d.doc_id, COALESCE(n, 0) AS n_features, COALESCE(w, 0) AS weight,
+         COALESCE(w, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM documents d LEFT JOIN weights USING (doc_id)
+),
+drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored s LEFT JOIN drawn USING (doc_id)
+"""
+
+
+@query
+def op12_block_max_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = ranking.index(read_table(spark, sf_dir, "documents"))
+    return ranking.search(built, read_table(spark, sf_dir, "benchmark"), k=50)
+
+
+SQL["op12_block_max_ranking"] = r"""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * CAST(any_value(n_docs) AS DOUBLE) + 2) / (2 * CAST(count(*) AS DOUBLE) + 1))) AS BIGINT) AS w FROM tfs, totals GROUP BY term
+),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), totals GROUP BY item_id, doc_id
+),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+@query
+def op13_distinct_chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.decode(pieces.encode(read_table(spark, sf_dir, "documents"), model), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
