@@ -10,6 +10,7 @@ from quillon.functions import arrays, geometry, labels, scan, text
 from quillon.operators import annotate, curate, infer, joins, packing, records, rewrite, split
 from quillon.plans.queries import _CLAIMED, _SURVEY, SEVEN, SPANS, YN, query, rendered, table
 from quillon.sources import records as files
+from quillon.sources.arrays import write_elements
 from quillon.streaming import resume
 
 #: White space as the engine's Unicode-aware patterns know it.
@@ -561,12 +562,11 @@ def numbered_lines(spark, sf_dir):
 
 @query("SELECT CAST(pack AS BIGINT) AS pack, CAST(count(*) AS BIGINT) AS n, min(id) AS first FROM (SELECT (row_number() OVER (ORDER BY CAST(conv_id AS VARCHAR)) - 1) // 3 AS pack, CAST(conv_id AS VARCHAR) AS id FROM (SELECT DISTINCT conv_id FROM conversations)) GROUP BY pack")
 def packs_flattened(spark, sf_dir):
-    """Packs of three records each in one array file."""
+    """Packs of three records each in one array."""
     path = f"{scratch(spark)}.json"
     rows = split.positions(_records(spark, sf_dir), ["id"]).select(F.floor(F.col("_idx") / 3).alias("p"), F.struct("id", "conversations").alias("r"))
-    packs = rows.groupBy("p").agg(F.array_sort(F.collect_list(F.struct(F.col("r.id").alias("id"), "r"))).alias("m")).orderBy("p")
-    line = packs.agg(F.array_sort(F.collect_list(F.struct("p", F.to_json(F.transform("m", lambda m: m["r"])).alias("j")))).alias("a"))
-    line.select(F.concat(F.lit("["), F.array_join(F.transform("a", lambda x: x["j"]), ","), F.lit("]")).alias("value")).write.text(path)
+    packs = rows.groupBy("p").agg(F.array_sort(F.collect_list(F.struct(F.col("r.id").alias("id"), "r"))).alias("m")).orderBy("p")  # three of each
+    write_elements(packs.select(F.to_json(F.transform("m", lambda m: m["r"])).alias("value")), path)
     return files.read_packed(spark, path, flatten=True).groupBy("pack").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 

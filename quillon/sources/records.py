@@ -16,10 +16,9 @@ from pyspark.sql import types as T
 
 from quillon.operators.records import media_list
 from quillon.operators.split import exact_sample, sampling_rate
+from quillon.sources.arrays import read_elements, write_array
 
 TURNS = "array<struct<from:string,value:string>>"
-#: Greatest file that is parsed as one text.
-WHOLE_BYTES = 1 << 30
 #: Fields as text where files differ in shape; ``annotations`` settles them.
 RECORD = f"images string, image string, videos string, video string, conversations {TURNS}, metadata string, id string, key string, num_tokens int, data_path string"
 
@@ -56,15 +55,9 @@ def read_numbered_jsonl(spark: SparkSession, path: str, schema: str = RECORD) ->
 
 
 def read_array(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
-    """A file that holds one JSON array, ``_idx`` its order; anything else raises.
-
-    The array is parsed as a stream, so it may be of any length, but by one task: large ones belong in JSONL.
-    """
-    head = spark.read.text(path).where(F.col("value").rlike(r"\S")).limit(1).collect()
-    if head and not head[0]["value"].lstrip("\ufeff \t").startswith("["):
-        raise ValueError(f"expected a JSON array: {path}")
-    rows = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
-    return rows.select(F.monotonically_increasing_id().alias("_idx"), "*")
+    """JSON arrays, ``_idx`` the order of their elements; anything else raises. Ranges of a file are read by many tasks."""
+    record = F.from_json("value", schema, {"mode": "FAILFAST"})
+    return read_elements(spark, path).select(F.col("number").alias("_idx"), record.alias("r")).select("_idx", "r.*")
 
 
 def read_inferred(spark: SparkSession, path: str, sampling: float = 1.0) -> DataFrame:
@@ -75,15 +68,11 @@ def read_inferred(spark: SparkSession, path: str, sampling: float = 1.0) -> Data
 def read_packed(spark: SparkSession, path: str, flatten: bool = False) -> DataFrame:
     """A JSON array of packs (arrays of records), one row a pack, or a record with ``flatten``; single records are packs of one.
 
-    Packs and records may stand side by side, so the file is parsed as one text; one above ``WHOLE_BYTES`` raises.
+    Packs and records may stand side by side. A pack is one row; its file is read by many tasks.
     """
     kind = _struct(RECORD)
-    size = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
-    if size and size > WHOLE_BYTES:
-        raise ValueError(f"{path} has {size} bytes; convert it to JSON lines")
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("pack", "value"))
-    members = F.when(F.trim("value").startswith("["), F.from_json("value", f"array<{kind}>")).otherwise(F.array(F.from_json("value", kind)))
-    packs = whole.select(F.col("pack").cast("long").alias("pack"), members.alias("members"))
+    members = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{kind}>")).otherwise(F.array(F.from_json("value", kind)))
+    packs = read_elements(spark, path).select(F.col("number").alias("pack"), F.expr("ltrim('\\r\\n\\t ', value)").alias("value")).select("pack", members.alias("members"))
     return packs.select("pack", F.posexplode("members").alias("pos", "r")).select("pack", "pos", "r.*") if flatten else packs
 
 
@@ -164,17 +153,11 @@ def write_records(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def write_by_extension(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """``.jsonl``: a line a record; ``.json``: one array in one file, written by one task; anything else raises."""
+    """``.jsonl``: a line a record; ``.json``: one array, in parts that follow one another; anything else raises."""
     if path.endswith(".jsonl"):
         write_records(df, path, mode)
     elif path.endswith(".json"):
-        order = F.monotonically_increasing_id()
-        line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-        lines = df.select(order.alias("_at"), line.alias("_line")).coalesce(1).sortWithinPartitions("_at")
-        first = F.lag("_line").over(Window.partitionBy(F.lit(0)).orderBy("_at")).isNull()
-        last = F.lead("_line").over(Window.partitionBy(F.lit(0)).orderBy("_at")).isNull()
-        text = F.concat(F.when(first, "[\n").otherwise(""), F.col("_line"), F.when(last, "\n]").otherwise(","))
-        (lines.select(text.alias("value")) if not df.isEmpty() else df.sparkSession.createDataFrame([("[]",)], "value string")).write.mode(mode).text(path)
+        write_array(df, path, mode)
     else:
         raise ValueError(f"neither .json nor .jsonl: {path}")
 
