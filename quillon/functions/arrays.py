@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.operators import ordered
+
 IGNORE = -100
 
 
@@ -71,9 +73,9 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def adjacent_changes(frames: DataFrame, by: list[str], order: str, vector: str) -> DataFrame:
-    """Mean, greatest and least distance of consecutive frames."""
-    last = F.lag(vector).over(Window.partitionBy(*by).orderBy(order))
-    steps = frames.withColumn("step", distance(F.col(vector), last)).where("step is not null")
+    """Mean, greatest and least distance of consecutive frames; a group may have any share of the rows."""
+    rows = ordered.previous(ordered.dealt(frames.select(*by, order, vector), by, [order]), F.col(vector), "_last")
+    steps = rows.withColumn("step", distance(F.col(vector), F.col("_last"))).where("step is not null")
     return steps.groupBy(*by).agg(F.avg("step").alias("mean_step"), F.max("step").alias("max_step"), F.min("step").alias("min_step"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import ordered
 from quillon.operators.split import positions
 
 
@@ -21,15 +22,17 @@ def pending_after(rows: DataFrame, index: str, done: int) -> DataFrame:
 
 def last_write(shards: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key in the order of files and lines."""
-    return _edge(shards, key, [F.col(o).desc() for o in order])
+    return _edge(shards, key, order, F.max_by)
 
 
 def first_write(shards: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return _edge(shards, key, [F.col(o) for o in order])
+    return _edge(shards, key, order, F.min_by)
 
 
-def _edge(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_rn = 1").drop("_rn")
+def _edge(rows: DataFrame, key: str, order: list[str], pick) -> DataFrame:
+    """One row of each key; rows of a key are compared where they lie, and one a task is shuffled."""
+    whole, place = F.struct(*rows.columns), F.struct(*order)
+    return rows.groupBy(key).agg(pick(whole, place).alias("_row")).select("_row.*")
 
 
 def upsert(base: DataFrame, shards: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
@@ -52,7 +55,7 @@ def conditional_merge(base: DataFrame, shard: DataFrame, index: str, value: str,
 
 def union_first(parts: DataFrame, rows: DataFrame, key: str, order: list[str], index: str) -> DataFrame:
     """Of each key the first part, for the keys of ``rows``, with its place there."""
-    return first_write(parts, key, order).join(_edge(rows.select(key, index), key, [F.col(index)]), key)
+    return first_write(parts, key, order).join(first_write(rows.select(key, index), key, [index]), key)
 
 
 def zip_rows(a: DataFrame, b: DataFrame, index: str) -> DataFrame:
@@ -77,19 +80,18 @@ def preceding_span(spans: Column, at: Column) -> Column:
 
 
 def as_of(mentions: DataFrame, spans: DataFrame, by: list[str], mention_at: str, span_end: str, values: list[str]) -> DataFrame:
-    """For each mention the values of the last span of its group that ends at or before it; one sort, no join."""
-    tagged = mentions.select("*", F.col(mention_at).alias("_at"), F.lit(1).alias("_kind"), *[F.lit(None).cast(spans.schema[v].dataType).alias(v) for v in values])
-    marks = spans.select(*by, *values, F.col(span_end).alias("_at"), F.lit(0).alias("_kind"))
-    both = tagged.unionByName(marks, allowMissingColumns=True)
-    before = Window.partitionBy(*by).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    held = F.last(F.when(F.col("_kind") == 0, F.struct(*values)), ignorenulls=True).over(before)
-    out = both.withColumn("_s", held).where("_kind = 1")
-    return out.withColumns({v: F.col(f"_s.{v}") for v in values}).drop("_s", "_at", "_kind")
+    """For each mention the values of the last span of its group that ends at or before it; one order, no join, and no group in one task."""
+    tagged = mentions.select("*", F.col(mention_at).alias("_place"), F.lit(1).alias("_kind"), *[F.lit(None).cast(spans.schema[v].dataType).alias(v) for v in values])
+    marks = spans.select(*by, *values, F.col(span_end).alias("_place"), F.lit(0).alias("_kind"))
+    rows = ordered.dealt(tagged.unionByName(marks, allowMissingColumns=True), by, ["_place", "_kind"])
+    out = ordered.running_last(rows, F.when(F.col("_kind") == 0, F.struct(*values)), "_s").where("_kind = 1")
+    return ordered.tidied(out.withColumns({v: F.col(f"_s.{v}") for v in values}).drop("_s", "_place", "_kind"))
 
 
 def until_next(df: DataFrame, by: list[str], begin: str, stop: Column) -> DataFrame:
     """``until``: where the next row of the group begins, or ``stop``."""
-    return df.withColumn("until", F.coalesce(F.lead(begin).over(Window.partitionBy(*by).orderBy(begin)), stop))
+    out = ordered.following(ordered.dealt(df, by, [begin]), F.col(begin), "until")
+    return ordered.tidied(out.withColumn("until", F.coalesce("until", stop)).drop("until_there"))
 
 
 def first_existing(candidates: DataFrame, files: DataFrame, by: list[str], rank: str, path: str) -> DataFrame:

@@ -6,6 +6,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillon.scratch import stored
 
 
 def sampling_rate(name: str) -> tuple[str, float]:
@@ -77,10 +80,9 @@ def stratified_split(df: DataFrame, label: Column, order: str, test_size: int, s
 def positions(df: DataFrame, order: list[str], index: str = "_idx") -> DataFrame:
     """Rows numbered from 0 in an order: range partitions sorted each for itself, their sizes added up on the driver.
 
-    No task sees more than its range. The sorted table is kept until the session ends or memory is short, as ranges are drawn anew if it is computed twice.
+    No task sees more than its range. The sorted table is written to the shared folder, as ranges are drawn anew if it is computed twice.
     """
-    at = F.monotonically_increasing_id()
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at).persist()
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "positions")
     part = F.shiftright("_at", 33)
     before, offsets = 0, [F.lit(-1), F.lit(0)]
     for r in ranged.groupBy(part.alias("part")).count().orderBy("part").collect():  # one row a partition
@@ -111,6 +113,12 @@ def pick(df: DataFrame, index: str, at: int | None = None, seed: int = 42) -> Da
 
 
 def best(df: DataFrame, by: list[str], score: str, order: str, least: float | None = None) -> DataFrame:
-    """The row of the greatest score of each group, the first on ties; none if it is below ``least``."""
-    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc_nulls_last(), order))).where("_rn = 1").drop("_rn")
+    """The row of the greatest score of each group, the first on ties; none if it is below ``least``, nulls are least.
+
+    Rows are compared where they lie, and one a task is shuffled.
+    """
+    kind = df.schema[score].dataType
+    low = F.bitwise_not(score) if isinstance(kind, T.IntegralType) else -F.col(score)
+    place = F.struct(F.col(score).isNull(), ~F.isnan(F.col(score).cast("double")), low, order)
+    ranked = df.groupBy(*by).agg(F.min_by(F.struct(*df.columns), place).alias("_row")).select("_row.*")
     return ranked if least is None else ranked.where(F.col(score) >= least)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quillon.functions import arrays, geometry, labels, scan, text
 from quillon.operators import annotate, curate, infer, joins, packing, records, rewrite, split
 from quillon.plans.queries import _CLAIMED, _SURVEY, SEVEN, SPANS, YN, query, rendered, table
+from quillon.scratch import shared_path
 from quillon.sources import records as files
 from quillon.sources.arrays import write_elements
 from quillon.streaming import resume
@@ -19,14 +18,7 @@ WS = r"[\s\x0B\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]"
 
 def scratch(spark) -> str:
     """A folder of its own that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("name a shared folder in spark.checkpoint.dir")
-        base = "file://" + tempfile.mkdtemp(prefix="quillon-")
-    return f"{base}/quillon-files/{uuid.uuid4().hex}"
+    return shared_path(spark, "files")
 
 
 # -- boxes and captions -------------------------------------------------------------------------
