@@ -2,6 +2,7 @@
 
 No piece of the vocabulary holds a whitespace mark behind another character, so no merge reaches over
 the place before a mark, and a text is the sequence of its marked words (a run of marks and what follows up to the next).
+Where no longer piece holds a line's end, that is a border as well.
 Each distinct marked word of all texts is segmented once, by the library itself, and its ids are joined back by position:
 
 1. A task cuts its texts into blocks of ``block_words`` words. A block keeps the number of each word, in
@@ -38,8 +39,12 @@ from quillon.llm.common import arrow_batches, materialize, shuffle_parts
 
 MARK = "▁"
 MARKED = re.compile(" +[^ ]*")
+#: With a line's end as a border: it starts a word, which then has no mark.
+MARKED_LINES = re.compile("\n[^ \n]*| +[^ \n]*")
 #: Words of one call of the library.
 CALL_WORDS = 1 << 14
+#: Of compression.
+LEVEL = 3
 SCHEMA = "block long, bucket int, n long, data binary, ids array<long>, sizes array<long>"
 ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 #: Bucket of a block's row of texts.
@@ -62,48 +67,58 @@ def separable(path: str) -> bool:
     return alone and not any(MARK in p.lstrip(MARK) for p in pieces)
 
 
-def marked_words(text: str) -> list[str]:
-    """The marked words of a text, each without its first mark; a mark is a blank."""
+@lru_cache(maxsize=2)
+def lines_apart(path: str) -> bool:
+    """Whether a line's end is part of no longer piece, so that no merge reaches over it either."""
+    model = load_model(path)
+    return not any("\n" in model.id_to_piece(i)[1:] or model.id_to_piece(i).startswith("\n") for i in range(model.get_piece_size()))
+
+
+def marked_words(text: str, lines: bool = False) -> list[str]:
+    """The marked words of a text, each without its first mark; a mark is a blank. ``lines``: a line's end starts a word without one."""
     if not text:
         return []
     text = text.replace(MARK, " ")
-    if "  " not in text and text[0] != " " and text[-1] != " ":
-        return text.split(" ")
-    return [w[1:] for w in MARKED.findall(" " + text)]
+    if "  " not in text and text[0] not in " \n" and text[-1] != " " and " \n" not in text:
+        return (text.replace("\n", " \n") if lines else text).split(" ")
+    if not lines:
+        return [w[1:] for w in MARKED.findall(" " + text)]
+    return [w[1:] if w[0] == " " else w for w in MARKED_LINES.findall(" " + text)]
 
 
-def segment(model, words: list[str]) -> list[list[int]]:
-    """Ids of marked words; the library puts the first mark before each, but for an empty one."""
+def segment(model, words: list[str], lines: bool = False) -> list[list[int]]:
+    """Ids of marked words; the library puts the first mark before each, but for an empty one, and it is taken off again before a line's end."""
     found = []
     for k in range(0, len(words), CALL_WORDS):
         found += model.encode(words[k : k + CALL_WORDS], num_threads=1)
     mark = model.piece_to_id(MARK)
-    return [ids or [mark] for ids in found]
+    return [ids[lines and w[:1] == "\n" :] or [mark] for w, ids in zip(words, found)]
 
 
 def pack_numbers(x: np.ndarray, width: int) -> bytes:
     """Numbers as ``width`` planes of bytes, least first, compressed; small numbers leave the high planes empty."""
     planes = x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(planes.T).tobytes())
 
 
 def unpack_numbers(data: bytes, width: int) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 4), np.uint8)
     out[:, :width] = planes.T
-    return out.view("<u4").ravel().astype(np.int64)
+    return out.view("<u4").ravel()
 
 
 def _pack_words(words: list[str]) -> bytes:
     """Words in order, lengths apart from letters."""
     raw = [w.encode() for w in words]
-    sizes = np.array([len(r) for r in raw], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(raw))
+    sizes = np.ascontiguousarray(np.array([len(r) for r in raw], "<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return zstandard.ZstdCompressor(level=LEVEL).compress(sizes + b"".join(raw))
 
 
 def _unpack_words(data: bytes, n: int) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(data)
-    ends = 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64)
+    sizes = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel()
+    ends = 4 * n + np.cumsum(sizes, dtype=np.int64)
     at, out = 4 * n, []
     for end in ends.tolist():
         out.append(raw[at:end])
@@ -123,7 +138,8 @@ def blocks_of(docs: DataFrame, path: str, block_words: int, buckets: int) -> Dat
 
     def run(batches):
         block, known, numbers, ids, sizes, held = TaskContext.get().partitionId() << 33, {}, [], [], [], 0
-        words_of = marked_words if separable(path) else lambda t: [t.replace(MARK, " ")] if t else []
+        lines = separable(path) and lines_apart(path)
+        words_of = (lambda t: marked_words(t, lines)) if separable(path) else lambda t: [t.replace(MARK, " ")] if t else []
 
         def close():
             nonlocal block, held
@@ -142,7 +158,9 @@ def blocks_of(docs: DataFrame, path: str, block_words: int, buckets: int) -> Dat
             order = np.argsort(-np.bincount(every, minlength=len(dealt)), kind="stable")
             rank = np.empty(len(dealt), np.int64)
             rank[order] = np.arange(len(dealt))
-            data = b"".join(len(x).to_bytes(8, "little") + x for x in (pack_numbers(rank[every], 4), pack_numbers(order, 4)))
+            # words as frequent as one another are in order, so steps are small
+            steps = np.diff(order, prepend=0).astype(np.int32)
+            data = b"".join(len(x).to_bytes(8, "little") + x for x in (pack_numbers(rank[every], 4), pack_numbers(steps, 4)))
             yield _row(block, TEXTS, len(dealt), data, list(ids), list(sizes))
             block, held = block + 1, 0
             for x in (known, numbers, ids, sizes):
@@ -168,14 +186,14 @@ def word_ids(blocks: DataFrame, path: str) -> DataFrame:
     """Step 2: rows of distinct words, with the ids of the words in place of them; each distinct word is segmented once."""
 
     def run(batches):
-        model, bucket, table = load_model(path), None, {}
+        model, bucket, table, lines = load_model(path), None, {}, separable(path) and lines_apart(path)
         for batch in batches:
             for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 if r["bucket"] != bucket:
                     bucket, table = r["bucket"], {}
                 words = _unpack_words(r["data"], r["n"])
                 new = [w for w in words if w not in table]
-                for w, ids in zip(new, segment(model, [w.decode() for w in new])):
+                for w, ids in zip(new, segment(model, [w.decode() for w in new], lines)):
                     table[w] = np.array(ids, "<u4")
                 found = [table[w] for w in words]
                 sizes = np.array([len(x) for x in found])
@@ -191,10 +209,10 @@ def _two(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return unpack_numbers(data[8 : 8 + n], 4), unpack_numbers(data[16 + n :], 4)
 
 
-def _gather(values: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parts of ``values``, of those sizes, laid end to end by ``picks``; and the sizes of the picked."""
-    taken, starts = sizes[picks], (np.cumsum(sizes) - sizes)[picks]
-    return values[np.repeat(starts - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())], taken
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of ``values``, of those starts and sizes, laid end to end by ``picks``; and the sizes of the picked."""
+    taken = sizes[picks]
+    return values[np.repeat(starts[picks] - (np.cumsum(taken) - taken), taken) + np.arange(taken.sum())], taken
 
 
 def join_back(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -213,15 +231,18 @@ def join_back(texts: DataFrame, found: DataFrame) -> DataFrame:
             text, parts = r, sorted(parts, key=lambda p: p[0])
             none = np.empty(0, np.int64)
             sizes, ids = (np.concatenate([p[k] for p in parts]) if parts else none for k in (1, 2))
-            ranks, order = _two(text["data"])
+            sizes = sizes.astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            ranks, steps = _two(text["data"])
+            order = np.cumsum(steps.astype(np.int32), dtype=np.int64)
             at = 0
-            # texts of about a million words at a time
+            # some texts at a time
             ends = np.cumsum(text["sizes"])
             first = 0
             while first < len(ends):
                 last = max(first + 1, int(np.searchsorted(ends, at + CALL_WORDS * 8)))
                 picks = order[ranks[at : ends[last - 1]]]
-                all_ids, taken = _gather(ids, sizes, picks)
+                all_ids, taken = _gather(ids, starts, sizes, picks)
                 upto = np.concatenate([[0], np.cumsum(taken)])
                 offsets = upto[np.concatenate([[at], ends[first:last]]) - at].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(all_ids.astype(np.int32)))
@@ -237,9 +258,9 @@ def join_back(texts: DataFrame, found: DataFrame) -> DataFrame:
 SCHEMA_NAMES = ARROW.names
 
 
-def encode(docs: DataFrame, model: str, block_words: int = 1 << 22, buckets: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: str, block_words: int = 1 << 23, buckets: int | None = None) -> DataFrame:
     """(doc_id, ids) of every row of ``docs(doc_id, text)``, as the library's ``encode``. ``model``: path, the same on every machine."""
-    buckets = buckets or 4 * shuffle_parts(docs.sparkSession)
+    buckets = buckets or shuffle_parts(docs.sparkSession)
     blocks = materialize(blocks_of(docs, model, block_words, buckets), "pieces-blocks")
     return join_back(blocks.where(F.col("bucket") == TEXTS), word_ids(blocks, model))
 

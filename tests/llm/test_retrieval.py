@@ -198,18 +198,20 @@ def test_pieces_match_the_library(spark, docs, clash, library, block_words, buck
 def test_marked_words_match_the_library(text):
     model = pieces.load_model(MODEL)
     text = text.encode("utf-8", "ignore").decode()
-    assert [i for ids in pieces.segment(model, pieces.marked_words(text)) for i in ids] == model.encode(text)
+    assert pieces.separable(MODEL) and pieces.lines_apart(MODEL)
+    for lines in (False, True):
+        assert [i for ids in pieces.segment(model, pieces.marked_words(text, lines), lines) for i in ids] == model.encode(text)
 
 
 def test_each_distinct_word_is_segmented_once(spark, docs, monkeypatch):
     blocks = pieces.blocks_of(docs, MODEL, 40, 3).where(F.col("bucket") != pieces.TEXTS).orderBy("bucket").collect()
     words_, model, asked = {w for r in blocks for w in pieces._unpack_words(r["data"], r["n"])}, pieces.load_model(MODEL), Counter()
-    assert {w for _, t in rows_of(docs) for w in pieces.marked_words(t or "")} == {w.decode() for w in words_}
+    assert {w for _, t in rows_of(docs) for w in pieces.marked_words(t or "", True)} == {w.decode() for w in words_}
     whole = spark.createDataFrame(blocks, pieces.SCHEMA).coalesce(1)
     import pyarrow as pa
 
     real = pieces.segment
-    monkeypatch.setattr(pieces, "segment", lambda m, w: (asked.update(w), real(m, w))[1])
+    monkeypatch.setattr(pieces, "segment", lambda m, w, lines: (asked.update(w), real(m, w, lines))[1])
     run = {}
     monkeypatch.setattr(type(whole), "mapInArrow", lambda self, f, schema: run.setdefault("f", f))
     pieces.word_ids(whole, MODEL)
