@@ -12,7 +12,8 @@ the sum over its pieces, since packed documents do not attend to one another.
 No shuffle: a block is a run of consecutive rows of one input split, so a hot source, equal
 texts or one huge text change nothing but the number of pieces. Memory holds one block.
 
-Defined cases: a null or empty text is the end id alone; a run of white space of any length is encoded;
+Defined cases: a null or empty text is the end id alone; a run of white space of any length is encoded; the
+string of an added token is that token, as ``tokenizers`` has it;
 repeated rows are packed as often as
 they occur; a null id stays null; columns other than the two named are ignored; an empty table
 gives an empty result.
@@ -44,7 +45,7 @@ def load_encoder(path: str):
     """A byte-pair encoder built from a ``tokenizers`` JSON file of a byte-level model.
 
     The ids are those of ``tokenizers`` itself (tests compare them); this encoder needs a
-    quarter of the time. Strings of special tokens are ordinary text.
+    quarter of the time.
     """
     import public_tokenizers
     import tiktoken
@@ -65,11 +66,21 @@ def load_encoder(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> dict[str, int]:
+    """Strings that ``tokenizers`` finds in a text before anything else, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", [])
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
+        raise ValueError(f"an added token of {path} takes what is beside it")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 #: White space of the encoder's pattern, in runs too long for the stack of its regular expressions.
 LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
-def encode(encoder, text: str) -> list[int]:
+def _encode(encoder, text: str) -> list[int]:
     """Ids of a text. A long run of white space is a token sequence of its own but for its last character, which the word after it may take."""
     ids, at = [], 0
     for m in LONG_SPACE.finditer(text):
@@ -80,6 +91,17 @@ def encode(encoder, text: str) -> list[int]:
     return ids + encoder.encode_ordinary(text[at:]) if at else encoder.encode_ordinary(text)
 
 
+def encode(encoder, text: str, added: dict[str, int]) -> list[int]:
+    """Ids of a text: added tokens, the longest where several begin, and between them ordinary text, each part for itself."""
+    if not any(token in text for token in added):
+        return _encode(encoder, text)
+    ids, at = [], 0
+    for m in re.finditer("|".join(map(re.escape, sorted(added, key=len, reverse=True))), text):
+        ids += [*_encode(encoder, text[at : m.start()]), added[m.group()]]
+        at = m.end()
+    return ids + _encode(encoder, text[at:])
+
+
 class Rooms:
     """Open sequences by room: for each room a heap by cost, over them a tree of the cheapest."""
 
@@ -164,7 +186,7 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
 
 def _packer(path, capacity, end_id, linear, quadratic, block_tokens):
     def run(batches):
-        encoder = load_encoder(path)
+        encoder, added = load_encoder(path), added_tokens(path)
         sequence = TaskContext.get().partitionId() << 36
         end = np.array([end_id], dtype="<u4")
         full_cost = linear * capacity + quadratic * capacity * capacity
@@ -185,7 +207,7 @@ def _packer(path, capacity, end_id, linear, quadratic, block_tokens):
 
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.concatenate([np.array(encode(encoder, text.as_py() or ""), dtype="<u4"), end])
+                ids = np.concatenate([np.array(encode(encoder, text.as_py() or "", added), dtype="<u4"), end])
                 total = len(ids)
                 whole = total - total % capacity
                 for start in range(0, whole, capacity):

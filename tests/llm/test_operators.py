@@ -191,6 +191,8 @@ def test_packing_round_trip(spark, clash):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
     odd = [(900, "It's  two   blanks\n\n tail é中퟿ don't 123 !?  "), (901, "a" * 3000), (902, "x" + " " * 5000 + "y" + "\n" * 9000 + " z"), (903, "\t" * 4097)]
+    mark = "<|endoftext|>"
+    odd += [(904, f"{mark}a {mark}{mark} mid{mark}dle  {mark}\n{mark}"), (905, mark), (906, f"x {mark[:-1]} {mark[1:]} <|{mark}|>")]
     rows = clash.unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True)
     pieces = packing.pack(rows, path, capacity=64, block_tokens=4096).collect()
     want = Counter((i, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0])) for i, t in rows_of(rows))
@@ -222,7 +224,7 @@ def test_long_white_space_is_encoded_as_the_tokenizer_does():
     texts = [f"a{gap * (n // len(gap))}{tail}" for gap, n in ((" ", 2_000_000), ("\n", 2_000_000), (" \n", 9000), ("\u3000", 5000)) for tail in ("", "b", " b", "\n1")]
     texts += ["".join(rng.choice(" \n\t\xa0\r") * rng.choice([1, 2, 5000]) + rng.choice(["a", "b1", "!", " c", ""]) for _ in range(6)) for _ in range(20)]
     for text in texts:
-        assert packing.encode(encoder, text) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert packing.encode(encoder, text, packing.added_tokens(path)) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def brute_balance(lengths, capacity, linear, quadratic):
@@ -818,6 +820,7 @@ def pipeline_rows(clash, spark):
         rows.append((800 + k, " ".join(w), "en", "src1", 3))
     passage = say(rng, 60, long)
     rows += [(900 + k, f"{say(rng, 80, long)}\n{passage}\n{say(rng, 30, long)}", "de", "src2", 3) for k in range(5)]
+    rows += [(940, f"{say(rng, 120, long)} <|endoftext|> {say(rng, 40, long)}<|endoftext|>", "en", "src1", 3)]
     rows += [(950 + k, " ".join(f"{rng.choice(long)}###" for _ in range(120)), None, None, None) for k in range(8)]
     return clash.where("doc_id is null or doc_id <> 302").unionByName(spark.createDataFrame(rows, SCHEMA), allowMissingColumns=True)
 
