@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,22 +27,60 @@ MENTION = T.ArrayType(
 )
 
 
-def noun_mentions(text: str, nouns) -> list[dict]:
+class Patterns:
+    """Words looked for in one pass over a text, by an automaton that grows with the words it is given."""
+
+    #: Words held at most between two texts.
+    MOST = 1 << 20
+
+    def __init__(self, words=()):
+        self._clear()
+        self.add(words)
+
+    def _clear(self):
+        import ahocorasick
+
+        self.known, self.trie = set(), ahocorasick.Automaton()
+
+    def add(self, words) -> None:
+        new = {w for w in words if w} - self.known
+        if new and len(new) + len(self.known) > self.MOST:
+            self._clear()
+        for word in new:
+            self.trie.add_word(word, word)
+        self.known |= new
+        if new:
+            self.trie.make_automaton()
+
+    def spots(self, text: str) -> dict[str, list[tuple[int, int]]]:
+        """Where each word stands, from left to right; a word doesn't overlap itself."""
+        found: dict[str, list[tuple[int, int]]] = {}
+        for last, word in self.trie.iter(text) if self.known else ():
+            begin, spots = last + 1 - len(word), found.setdefault(word, [])
+            if not spots or spots[-1][1] <= begin:
+                spots.append((begin, last + 1))
+        return found
+
+
+def noun_mentions(text: str, nouns, patterns: Patterns | None = None) -> list[dict]:
     """Mentions of nouns with the last time range before each, in text order.
 
     A noun listed k times gets its first k mentions, and none at all if no range stands before the first.
+    ``patterns``: holds these nouns, and others.
     """
     ranges = list(RANGE.finditer(text))
     ends = [r.end() for r in ranges]
+    wanted = nouns if isinstance(nouns, Counter) else Counter(n for n in (nouns if nouns is not None else ()) if n)
+    if not ends or not wanted:
+        return []
     found = []
-    for noun, times in Counter(n for n in (nouns if nouns is not None else ()) if n).items():
-        spots = [m.span() for m in re.finditer(re.escape(noun), text)]
-        if not ends or not spots or spots[0][0] < ends[0]:
+    for noun, spots in (patterns or Patterns(wanted)).spots(text).items():
+        if spots[0][0] < ends[0]:
             continue
-        for begin, end in spots[:times]:
+        for begin, end in spots[: wanted[noun]]:
             last = ranges[bisect_right(ends, begin) - 1]
             found.append({"noun": noun, "start_sec": float(last[1]), "end_sec": float(last[2]), "begin": begin, "end": end})
-    return sorted(found, key=lambda m: m["begin"])
+    return sorted(found, key=lambda m: (m["begin"], m["end"]))
 
 
 def place_boxes(text: str, mentions) -> str:
@@ -67,14 +108,39 @@ def label_spans(text: str) -> list[tuple[int, int]]:
 
 
 def find_pattern(ids, pattern) -> list[int]:
-    """Where a run of ids occurs in another."""
-    ids, pattern = list(ids if ids is not None else ()), list(pattern if pattern is not None else ())
-    return [k for k in range(len(ids) - len(pattern) + 1) if pattern and ids[k : k + len(pattern)] == pattern]
+    """Where a run of ids occurs in another, overlaps included; the search is the linear one of bytes."""
+    ids, pattern = (np.asarray(x if x is not None else (), np.int64) for x in (ids, pattern))
+    if not len(pattern) or len(pattern) > len(ids):
+        return []
+    data, wanted, out = ids.tobytes(), pattern.tobytes(), []
+    at = data.find(wanted)
+    while at >= 0:
+        if at % 8 == 0:
+            out.append(at // 8)
+        at = data.find(wanted, at + 1)
+    return out
 
 
 @F.pandas_udf(MENTION)
-def noun_mentions_udf(text: pd.Series, nouns: pd.Series) -> pd.Series:
-    return pd.Series([noun_mentions(t or "", n if n is not None else ()) for t, n in zip(text, nouns)])
+def noun_mentions_udf(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """(text, nouns): one automaton a task, one pass a text."""
+    patterns = Patterns()
+    for text, nouns in columns:
+        lists = [[w for w in n if w] if n is not None else [] for n in nouns]
+        patterns.add({w for n in lists for w in n})
+        yield pd.Series([noun_mentions(t or "", n, patterns) for t, n in zip(text, lists)])
+
+
+def dictionary_mentions(df: DataFrame, text: str, nouns: list[str]) -> DataFrame:
+    """``mentions``: those of every noun of a dictionary, which is shipped once and held as one automaton a task."""
+    shared = df.sparkSession.sparkContext.broadcast(nouns)
+
+    def run(batches):
+        patterns, wanted = Patterns(shared.value), Counter(n for n in shared.value if n)
+        for pdf in batches:
+            yield pdf.assign(mentions=[noun_mentions(t or "", wanted, patterns) for t in pdf[text]])
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("mentions", MENTION)]))
 
 
 @F.pandas_udf(T.StringType())

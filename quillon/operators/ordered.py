@@ -36,24 +36,25 @@ def _local(rows_between: tuple[int, int], backwards: bool = False) -> Window:
     return Window.partitionBy(PART, GROUP).orderBy(F.col(AT).desc() if backwards else F.col(AT)).rowsBetween(*rows_between)
 
 
-def _ends(rows: DataFrame, value: Column, last: bool) -> DataFrame:
-    """(part, group, value) of each partition's last, or first, group: the last, or first, value that isn't null there."""
+def _ends(rows: DataFrame, value: Column, last: bool, how=None) -> DataFrame:
+    """(part, group, value) of each partition's last, or first, group: the last, or first, value that isn't null there, or ``how`` of all."""
     edge, pick = (F.max, F.max_by) if last else (F.min, F.min_by)
-    at = F.when(value.isNotNull(), F.col(AT))
-    seen = rows.groupBy(PART, GROUP).agg(edge(AT).alias("_edge"), pick(value, at).alias("_value"))
+    held = how(value) if how else pick(value, F.when(value.isNotNull(), F.col(AT)))
+    seen = rows.groupBy(PART, GROUP).agg(edge(AT).alias("_edge"), held.alias("_value"))
     chosen = pick(F.struct(GROUP, "_value"), "_edge")
     return seen.groupBy(PART).agg(chosen.alias("_x")).select(PART, F.col(f"_x.{GROUP}").alias(GROUP), F.col("_x._value").alias("_value"))
 
 
-def _carried(rows: DataFrame, value: Column, forward: bool) -> DataFrame:
+def _carried(rows: DataFrame, value: Column, forward: bool, how=None) -> DataFrame:
     """(part, group, carry): what a partition's first group (last, if backwards) holds from the partitions before (after)."""
-    have = _ends(rows, value, last=forward).withColumn("_asks", F.lit(False))
+    have = _ends(rows, value, forward, how).withColumn("_asks", F.lit(False))
     empty = F.lit(None).cast(have.schema["_value"].dataType).alias("_value")
-    asks = _ends(rows, F.lit(1), last=not forward).select(PART, GROUP, empty, F.lit(True).alias("_asks"))
+    asks = _ends(rows, F.lit(1), not forward).select(PART, GROUP, empty, F.lit(True).alias("_asks"))
     # ends only: a group has a row or two for each partition that it spans
     place = F.col(PART) if forward else F.col(PART).desc()
     before = Window.partitionBy(GROUP).orderBy(place, F.col("_asks").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    found = have.unionByName(asks).withColumn("_carry", F.last("_value", ignorenulls=True).over(before)).where("_asks and _carry is not null")
+    carry = (how("_value") if how else F.last("_value", ignorenulls=True)).over(before)
+    found = have.unionByName(asks).withColumn("_carry", carry).where("_asks and _carry is not null")
     return found.select(F.col(PART).alias("_p"), F.col(GROUP).alias("_g"), "_carry")
 
 
@@ -68,6 +69,15 @@ def running_last(rows: DataFrame, value: Column, name: str) -> DataFrame:
     return _joined(rows.withColumn("_here", here), _carried(rows, value, True)).withColumn(name, F.coalesce("_here", "_carry")).drop("_here", "_carry")
 
 
+def running(rows: DataFrame, value: Column, name: str, how: str) -> DataFrame:
+    """``name``: 'sum', 'max' or 'min' of the values of the group up to this row, nulls left out. ``rows``: from ``dealt``."""
+    fold = {"sum": F.sum, "max": F.max, "min": F.min}[how]
+    both = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "min": F.least}[how]
+    here = fold(value).over(_local((Window.unboundedPreceding, 0)))
+    out = _joined(rows.withColumn("_here", here), _carried(rows, value, True, fold))
+    return out.withColumn(name, both(F.col("_here"), F.col("_carry"))).drop("_here", "_carry")
+
+
 def _beside(rows: DataFrame, value: Column, name: str, forward: bool) -> DataFrame:
     boxed = F.struct(value.alias("v"))  # a row whose value is null is a row
     here = F.last(boxed).over(_local((-1, -1), backwards=not forward))
