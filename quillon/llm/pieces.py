@@ -44,7 +44,7 @@ MARKED_LINES = re.compile("\n[^ \n]*| +[^ \n]*")
 #: Words of one call of the library.
 CALL_WORDS = 1 << 14
 #: Of compression.
-LEVEL = 3
+LEVEL = 9
 SCHEMA = "block long, bucket int, n long, data binary, ids array<long>, sizes array<long>"
 ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 #: Bucket of a block's row of texts.
