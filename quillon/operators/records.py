@@ -83,16 +83,20 @@ def problems(conversations: Column, images: Column, videos: Column, missing: Col
     return F.filter(F.array(gone, mismatch, F.when(told, row("gpt_media_token"))), lambda p: p.isNotNull())
 
 
-def validation_stats(checked: DataFrame) -> DataFrame:
-    """Totals over records with images, videos and problems."""
+def validation_counts() -> dict[str, Column]:
+    """Aggregates over records with images, videos and problems, for a table or for rows as they pass."""
     has = lambda kind: F.exists("problems", lambda p: p["type"] == kind)
     images, videos = F.size("images") > 0, F.size("videos") > 0
-    return checked.agg(
-        F.count(F.lit(1)).alias("total_entries"), F.count_if(F.size("problems") == 0).alias("valid_entries"),
-        F.count_if(has("missing_files")).alias("missing_media"), F.count_if(has("token_mismatch")).alias("token_mismatches"),
-        F.count_if(has("gpt_media_token")).alias("gpt_media_tokens"), F.count_if(images & ~videos).alias("image_only"),
-        F.count_if(videos & ~images).alias("video_only"), F.count_if(images & videos).alias("mixed"),
-    )
+    return {
+        "total_entries": F.count(F.lit(1)), "valid_entries": F.count_if(F.size("problems") == 0), "missing_media": F.count_if(has("missing_files")),
+        "token_mismatches": F.count_if(has("token_mismatch")), "gpt_media_tokens": F.count_if(has("gpt_media_token")),
+        "image_only": F.count_if(images & ~videos), "video_only": F.count_if(videos & ~images), "mixed": F.count_if(images & videos),
+    }
+
+
+def validation_stats(checked: DataFrame) -> DataFrame:
+    """Totals over records with images, videos and problems."""
+    return checked.agg(*[c.alias(k) for k, c in validation_counts().items()])
 
 
 def word_lengths(conversations: Column, image: Column, video: Column):

@@ -6,11 +6,12 @@ text lines, not from a global sort.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,14 +167,48 @@ def append_records(df: DataFrame, path: str) -> None:
     write_records(df, path, "append")
 
 
-def write_split(df: DataFrame, valid_path: str, problem_path: str, problems: str = "problems", mode: str = "overwrite") -> None:
-    """Sound records to one place, those with problems, and what they are, to another."""
-    held = df.persist()
+def write_split(df: DataFrame, valid_path: str, problem_path: str, problems: str = "problems", mode: str = "overwrite", stats: dict[str, Column] | None = None) -> dict:
+    """Sound records to one place, those with problems, and what they are, to another; returns ``stats``, aggregates over all rows.
+
+    One job writes both and one scan feeds it: the two kinds are folders of one write, renamed when it has
+    ended, and the aggregates are observed as the rows pass.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(valid_path).getFileSystem(conf)
+    taken = [p for p in (valid_path, problem_path) if fs.exists(at(p))]
+    if mode != "overwrite" and taken:
+        raise FileExistsError(taken[0])
+    seen = Observation()
+    if stats:
+        df = df.observe(seen, *[c.alias(k) for k, c in stats.items()])
+    line = lambda names: F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    sound = F.size(problems) == 0
+    lines = df.select(F.when(sound, line([c for c in df.columns if c != problems])).otherwise(line(df.columns)).alias("value"), F.when(sound, "sound").otherwise("problem").alias("kind"))
+    staging = at(valid_path).getParent().toString() + f"/_split-{uuid.uuid4().hex}"
     try:
-        write_records(held.where(F.size(problems) == 0).drop(problems), valid_path, mode)
-        write_records(held.where(F.size(problems) > 0), problem_path, mode)
+        lines.write.partitionBy("kind").text(staging)
+        for name, path in (("sound", valid_path), ("problem", problem_path)):
+            fs.delete(at(path), True)
+            fs.mkdirs(at(path).getParent())
+            if fs.exists(at(f"{staging}/kind={name}")):
+                fs.rename(at(f"{staging}/kind={name}"), at(path))
+            else:
+                fs.mkdirs(at(path))
     finally:
-        held.unpersist()
+        fs.delete(at(staging), True)
+    return seen.get if stats else {}
+
+
+def sift(spark: SparkSession, path: str, schema: str, good_path: str, bad_path: str) -> dict:
+    """JSON lines into those that parse, and the others with file and line; returns how many there were of each."""
+    broken = "_corrupt"
+    parsed = numbered_lines(spark, path).withColumn("r", F.from_json("value", f"{schema}, {broken} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken}))
+    bad = F.col(f"r.{broken}").isNotNull()
+    rows = parsed.select("source_file", "line", "value", F.when(bad, F.array(F.lit("no JSON record"))).otherwise(F.array().cast("array<string>")).alias("problems"))
+    counts = {"lines": F.count(F.lit(1)), "good": F.count_if(F.size("problems") == 0), "bad": F.count_if(F.size("problems") > 0)}
+    return write_split(rows, good_path, bad_path, stats=counts)
 
 
 def write_metrics(metrics: DataFrame, schema: str, path: str, mode: str = "overwrite") -> None:
