@@ -10,7 +10,7 @@ from quillon.plans.queries import SPANS, SQL, _dialogue, query, rendered, table
 from quillon.scratch import shared_path
 from quillon.sources import records as files
 from quillon.sources import variants
-from quillon.streaming import snapshots
+from quillon.streaming import retries, snapshots
 
 _TEXTS = "t AS (SELECT conv_id, turn, CAST(len(text) AS BIGINT) AS n FROM conversations WHERE text IS NOT NULL)"
 
@@ -202,3 +202,24 @@ def incremental_aggregates(spark, sf_dir):
         kept.put(events.where(F.col("event_id") % 3 == batch).withColumn("value", F.col("value") + int(batch == 1)), batch)
     kept.put(events.where("event_id % 3 = 1"), 1)
     return kept.result(spark).select("user_id", F.col("views").cast("long").alias("views"), F.round("total", 4).alias("total"), "top", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'dead' ELSE 'done' END AS state, CASE WHEN doc_id % 3 = 0 THEN 'ValueError: no answer' END AS error FROM (SELECT DISTINCT doc_id FROM labels)")
+def retried_requests(spark, sf_dir):
+    """A stream whose keys carry their tries, in two runs over the same requests: each key is answered or given up once."""
+    path = shared_path(spark, "retries")
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("q"))
+
+    def ask():
+        def answer(q):
+            if int(q) % 3 == 0:
+                raise ValueError("no answer")
+            return f"re {q}"
+
+        return answer
+
+    for run in range(2):
+        rows.write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema("doc_id long, q string").parquet(f"{path}/in")
+        retries.answer_stream(source, "doc_id", "q", ask, f"{path}/out", f"{path}/checkpoint", attempts=1).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("doc_id", "state", "error")
