@@ -8,9 +8,9 @@ descending order of bound, a few at a time are probed for the candidates that st
 Ties are kept, so results are exact. Per-block results are merged by a rank within the query.
 
 Queries are packed into blocks of ``query_rows``, candidates into blocks of ``block_rows``, inside
-the scan tasks, their components in as few bytes as hold them; every query block meets every
-candidate block through an equi-join on the query block's number, so a vector travels once for
-each ``query_rows`` queries. A task holds one pair of blocks. The k-th score a query has reached in
+tasks, their components in as few bytes as hold them. There are as many query blocks as their number needs, wherever the queries lay, so a
+vector travels once for each ``query_rows`` queries; candidates are dealt into as many parts as there are shuffle partitions, and a query block meets each part in
+a task of its own, through an equi-join on both numbers. A task holds one pair of blocks. The k-th score a query has reached in
 the blocks that a task saw before is its floor in the next one, and a block whose bounds together
 lie below it is left out for that query. Nothing is broadcast, and the driver sees only the numbers
 of the query blocks.
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_batches, materialize
+from quillon.llm.common import arrow_batches, materialize, shuffle_parts
 
 EXACT = 1 << 53
 PROBE = 8
@@ -109,13 +109,16 @@ def search(vectors: DataFrame, asks: str | Column, k: int, scale: int = 256, blo
     real = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("id is not null and v is not null").where(real)
     stored = materialize(usable.withColumn("row", F.monotonically_increasing_id()), "search-vectors")
-    asked = materialize(_blocks(stored.where(asks), query_rows, scale), "search-queries")
+    queries = stored.where(asks)
+    asked = materialize(_blocks(queries.repartition(max(1, -(-queries.count() // query_rows))), query_rows, scale), "search-queries")
     numbers = [r["block"] for r in asked.select("block").collect()]
-    held = _blocks(stored, block_rows, scale)
     every = F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>") if numbers else F.array().cast("array<long>")
-    held = held.select(F.explode(every).alias("asked"), "dim", "kind", "rows", "ids", "vals")
-    mine = asked.select(F.col("block").alias("asked"), *[F.col(c).alias(f"q_{c}") for c in ("dim", "kind", "rows", "ids", "vals")])
-    pairs = held.join(mine, "asked")
+    # a query block meets the candidates part by part, and is copied once for each part
+    parts = shuffle_parts(vectors.sparkSession)
+    held = _blocks(stored, block_rows, scale).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
+    held = held.select(F.explode(every).alias("asked"), "part", "dim", "kind", "rows", "ids", "vals")
+    mine = asked.select(F.col("block").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), *[F.col(c).alias(f"q_{c}") for c in ("dim", "kind", "rows", "ids", "vals")])
+    pairs = held.join(mine, ["asked", "part"])
 
     def run(batches):
         block, floors = None, None
