@@ -252,34 +252,68 @@ def rope_ids(df: DataFrame, ids: str, grids: str, vision_start: int, image: int,
     return df.mapInPandas(run, f"{schema},t:array<int>,h:array<int>,w:array<int>")
 
 
-def principal_maps(df: DataFrame, group: list[str], vector: str, order: str, components: int = 3) -> DataFrame:
+#: Directions kept of a part of a group's vectors; states of so many parts are merged by one task.
+KEPT, FAN = 64, 32
+
+
+def _spread(n, mean, rows, kept: int):
+    """(n, mean, factor) of vectors, the factor with at most ``kept`` rows: its products are those of the centred vectors."""
+    _, s, axes = np.linalg.svd(rows, full_matrices=False)
+    return n, mean, s[:kept, None] * axes[:kept]
+
+
+def _merged(states, kept: int):
+    n, mean, factor = states[0]
+    for m, other, more in states[1:]:
+        between = np.sqrt(n * m / (n + m)) * (mean - other)
+        n, mean, factor = _spread(n + m, (n * mean + m * other) / (n + m), np.vstack([factor, more, between]), kept)
+    return n, mean, factor
+
+
+def principal_maps(df: DataFrame, group: list[str], vector: str, order: str, components: int = 3, kept: int = KEPT) -> DataFrame:
     """``pca``: the projection of each vector on its group's first components, centred; zeros where there are fewer.
 
-    Sums of vectors and of their products are gathered batch by batch, a row of d * d numbers each, and added up for a group;
-    no task holds a group's vectors. The sign of a component is that which makes its greatest loading positive.
+    A part of a group is summed up by its size, mean and a factor of at most ``kept`` rows (the triangle of its QR decomposition, turned to its
+    principal directions), and factors are merged in a tree: a row has ``kept`` times d numbers, whatever d is, and a task
+    holds ``FAN`` of them. With at most ``kept`` dimensions, or directions in which the vectors spread, that is exact; beyond, what is cut off are the least spread
+    directions of parts. The sign of a component is that which makes its greatest loading positive.
     """
     kinds = ",".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in group)
-    keyed = df.select(*group, F.col(vector).cast("array<double>").alias("_x"))
+    keyed = df.select(*group, F.col(vector).cast("array<double>").alias("_x"), F.spark_partition_id().alias("_part"))
+
+    def row(key, part, state):
+        n, mean, factor = state
+        return (*key, part, n, mean, len(factor), factor.ravel())
+
+    columns, schema = [*group, "_part", "n", "mean", "rows", "factor"], f"{kinds},_part int,n long,mean array<double>,rows int,factor array<double>"
 
     def sums(batches):
         for pdf in batches:
             out = []
             for key, part in pdf.groupby(group, dropna=False, sort=False):
                 x = np.stack(part["_x"].to_numpy())
-                out.append((*(key if isinstance(key, tuple) else (key,)), len(x), x.sum(axis=0), (x.T @ x).ravel()))
-            yield pd.DataFrame(out, columns=[*group, "n", "s", "p"])
+                mean = x.mean(axis=0)
+                out.append(row(key if isinstance(key, tuple) else (key,), int(part["_part"].iloc[0]), _spread(len(x), mean, x - mean, kept)))
+            yield pd.DataFrame(out, columns=columns)
+
+    def states(pdf):
+        return [(n, np.asarray(m), np.asarray(f).reshape(r, -1)) for n, m, r, f in zip(pdf["n"], pdf["mean"], pdf["rows"], pdf["factor"])]
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([row(tuple(pdf[group].iloc[0]), int(pdf["_part"].iloc[0]), _merged(states(pdf), kept))], columns=columns)
 
     def axes(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, s = pdf["n"].sum(), np.sum(np.stack(pdf["s"].to_numpy()), axis=0)
-        products = np.sum(np.stack(pdf["p"].to_numpy()), axis=0).reshape(len(s), len(s)) - np.outer(s, s) / n
-        values, loads = np.linalg.eigh((products + products.T) / 2)
-        most = min(components, n, len(s))
-        loads = loads[:, ::-1][:, :most].T
-        loads = loads * (values[::-1][:most] > 1e-9 * max(values.max(), 1e-300))[:, None]  # a direction without spread has no component
+        n, mean, factor = _merged(states(pdf), kept)
+        _, s, loads = np.linalg.svd(factor, full_matrices=False)
+        most = min(components, n, len(mean), len(s))
+        loads = loads[:most] * (s[:most] ** 2 > 1e-9 * max((s**2).max(initial=0.0), 1e-300))[:, None]  # a direction without spread has no component
         loads = loads * np.where(loads[np.arange(most), np.abs(loads).argmax(axis=1)] < 0, -1.0, 1.0)[:, None]
-        return pdf[group].iloc[:1].assign(mean=[s / n], axes=[list(loads)])
+        return pdf[group].iloc[:1].assign(mean=[mean], axes=[list(loads)])
 
-    parts = keyed.mapInPandas(sums, f"{kinds},n long,s array<double>,p array<double>")
+    parts, width = keyed.mapInPandas(sums, schema), keyed.rdd.getNumPartitions()
+    while width > 1:  # a part of a group for each partition, then for each FAN of them
+        parts = parts.groupBy(*group, "_part").applyInPandas(merge, schema).withColumn("_part", F.floor(F.col("_part") / FAN).cast("int"))
+        width = -(-width // FAN)
     found = parts.groupBy(*group).applyInPandas(axes, f"{kinds},mean array<double>,axes array<array<double>>")
     found = found.withColumnsRenamed({c: f"_group{k}" for k, c in enumerate(group)})
     match = F.lit(True)

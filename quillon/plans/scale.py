@@ -223,3 +223,71 @@ def retried_requests(spark, sf_dir):
         source = spark.readStream.schema("doc_id long, q string").parquet(f"{path}/in")
         retries.answer_stream(source, "doc_id", "q", ask, f"{path}/out", f"{path}/checkpoint", attempts=1).awaitTermination()
     return spark.read.parquet(f"{path}/out").select("doc_id", "state", "error")
+
+
+# -- principal components in two scopes; sequences made of the texts' own characters -----------------------
+
+_SPREAD = "WITH x AS (SELECT {g} AS g, vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings), d AS (SELECT g, vec_id, generate_subscripts(e, 1) AS k, unnest(e) AS v FROM x), c AS (SELECT vec_id, v - avg(v) OVER (PARTITION BY g, k) AS v FROM d) SELECT vec_id, round(sum(v * v), 3) AS spread, true AS falling FROM c GROUP BY vec_id"
+
+
+def _spreads(spark, sf_dir, group):
+    """All components of every vector: their squares add up to its distance from the mean, and their spreads fall."""
+    rows = table(spark, sf_dir, "embeddings").select(group.alias("g"), "vec_id", "embedding")
+    d = rows.select(F.size("embedding").alias("d")).agg(F.max("d")).first()[0]
+    found = arrays.principal_maps(rows, ["g"], "embedding", "vec_id", components=d, kept=d)
+    square = lambda c: c * c
+    by_place = found.select("g", F.posexplode("pca").alias("k", "v")).groupBy("g", "k").agg(F.sum(square(F.col("v"))).alias("s"))
+    listed = by_place.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("l"))  # as many as dimensions
+    falls = listed.select("g", F.forall(F.sequence(F.lit(1), F.size("l") - 1), lambda k: F.get("l", k)["s"] <= F.get("l", k - 1)["s"] * (1 + 1e-9) + 1e-9).alias("falling"))
+    total = F.aggregate("pca", F.lit(0.0), lambda a, v: a + v * v)
+    return found.select("g", "vec_id", F.round(total, 3).alias("spread")).join(falls, "g").select("vec_id", "spread", "falling")
+
+
+@query(_SPREAD.format(g="label"))
+def components_of_clips(spark, sf_dir):
+    return _spreads(spark, sf_dir, F.col("label"))
+
+
+@query(_SPREAD.format(g="label * 1000 + vec_id % 7"))
+def components_of_frames(spark, sf_dir):
+    """The same within each frame of a clip."""
+    return _spreads(spark, sf_dir, F.col("label") * 1000 + F.col("vec_id") % 7)
+
+
+def _codes(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"))
+    ids = F.transform(F.filter(F.split("t", ""), lambda c: c != ""), lambda c: F.ascii(c))
+    return rows.select("conv_id", "turn", ids.alias("ids")).withColumns({"labels": F.col("ids"), "positions": F.transform("ids", lambda _, k: k)})
+
+
+_CODES = "s AS (SELECT conv_id, turn, list_transform(list_filter(string_split(COALESCE(text, ''), ''), lambda c: c <> ''), lambda c: unicode(c)) AS ids FROM conversations)"
+
+
+@query(
+    f"WITH {_CODES}, w AS (SELECT *, least(len(ids), 64) AS n, max(least(len(ids), 64)) OVER (PARTITION BY conv_id) AS w FROM s) SELECT conv_id, turn, array_to_string(list_transform(range(1, w + 1), lambda k: CASE WHEN k <= n THEN ids[k] ELSE 0 END), ',') AS ids, "
+    "array_to_string(list_transform(range(1, w + 1), lambda k: CASE WHEN k <= n THEN ids[k] ELSE -100 END), ',') AS labels, array_to_string(list_transform(range(1, w + 1), lambda k: CASE WHEN k <= n THEN k - 1 ELSE 1 END), ',') AS positions, array_to_string(list_transform(range(1, w + 1), lambda k: CASE WHEN k <= n THEN 1 ELSE 0 END), ',') AS mask FROM w"
+)
+def pad_collate_texts(spark, sf_dir):
+    out = arrays.collate(_codes(spark, sf_dir), "conv_id", 64)
+    return out.select("conv_id", "turn", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("ids", "labels", "positions", "mask")])
+
+
+@query(
+    f"WITH {_CODES}, c AS (SELECT *, sum(len(ids)) OVER (PARTITION BY conv_id ORDER BY turn, ids ROWS UNBOUNDED PRECEDING) AS cu FROM s) SELECT conv_id, '0,' || string_agg(CAST(CAST(cu AS BIGINT) AS VARCHAR), ',' ORDER BY turn, ids) AS cu_seqlens, md5(string_agg(array_to_string(ids, ','), ',' ORDER BY turn, ids) FILTER (WHERE len(ids) > 0)) AS ids FROM c GROUP BY conv_id"
+)
+def cu_seqlens_texts(spark, sf_dir):
+    out = arrays.flatten_batch(_codes(spark, sf_dir), "conv_id", "turn")
+    whole = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("conv_id", F.array_join(F.col("cu_seqlens").cast("array<string>"), ",").alias("cu_seqlens"), F.when(F.size("ids") > 0, F.md5(whole.cast("binary"))).alias("ids"))
+
+
+@query(
+    f"WITH {_CODES}, m AS (SELECT conv_id, turn, ids, list_transform(ids, lambda c: CAST(c % 3 > 0 AS INTEGER)) AS m FROM s) SELECT conv_id, turn, array_to_string(list_transform(range(1, len(m) + 1), lambda k: CASE WHEN m[k] = 1 THEN CAST(list_sum(m[1:k]) AS BIGINT) - 1 ELSE 0 END), ',') AS hidden, "
+    "CASE WHEN len(ids) > 0 AND ids[len(ids)] = 46 THEN array_to_string(ids, ',') ELSE array_to_string(list_append(ids, 46), ',') END AS eos FROM m"
+)
+def masked_positions_of_texts(spark, sf_dir):
+    """Positions under masks of the texts themselves, and texts that end with a full stop or get one."""
+    rows = _codes(spark, sf_dir)
+    line = lambda c: F.array_join(c.cast("array<string>"), ",")
+    mask = F.transform("ids", lambda c: (c % 3 > 0).cast("int"))
+    return rows.select("conv_id", "turn", line(arrays.masked_positions(mask)).alias("hidden"), line(arrays.with_eos(F.col("ids"), 46)).alias("eos"))

@@ -222,6 +222,20 @@ def test_percentiles_are_exact(spark, by):
             assert np.allclose([r["p0"], r["p1"], r["p2"]], np.percentile(mine, [1, 99, 50]))
 
 
+def test_principal_components_of_wide_vectors(spark):
+    """300 dimensions, 9 directions, 40 partitions: no factor has more than 12 rows, and the projections are the whole's."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 9)) * np.arange(9, 0, -1) @ rng.normal(size=(9, 300)) + rng.normal(size=300)
+    frame = spark.createDataFrame([("a", k, v.tolist()) for k, v in enumerate(x)], "g string, k long, v array<double>").repartition(40)
+    got = {r["k"]: r["pca"] for r in arrays.principal_maps(frame, ["g"], "v", "k", kept=12).collect()}
+    y = x - x.mean(axis=0)
+    axes = np.linalg.svd(y, full_matrices=False)[2][:3]
+    axes = axes * np.sign(axes[np.arange(3), np.abs(axes).argmax(axis=1)])[:, None]
+    assert np.allclose(np.array([got[k] for k in range(400)]), y @ axes.T, atol=1e-6)
+    n, mean, factor = arrays._merged([arrays._spread(10, x[k : k + 10].mean(axis=0), x[k : k + 10] - x[k : k + 10].mean(axis=0), 12) for k in range(0, 400, 10)], 12)
+    assert n == 400 and factor.shape == (12, 300) and np.allclose(mean, x.mean(axis=0)) and np.allclose(factor.T @ factor, y.T @ y, atol=1e-6 * np.abs(y.T @ y).max())
+
+
 def test_principal_components_are_those_of_the_svd(spark):
     rng = np.random.default_rng(3)
     rows = [("a", k, [float(x) for x in rng.normal(size=6) * [5, 3, 2, 1, 1, 1]]) for k in range(80)] + [("b", k, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0 + k]) for k in range(2)] + [(None, 9, [1.0] * 6)]
