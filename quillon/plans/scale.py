@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import arrays, scan, text
-from quillon.operators import incremental, intervals, records
+from quillon.operators import incremental, intervals, joins, records
 from quillon.plans.queries import SPANS, SQL, _dialogue, query, rendered, table
 from quillon.scratch import shared_path
 from quillon.sources import records as files
-from quillon.sources import variants
+from quillon.sources import media, variants
 from quillon.streaming import retries, snapshots
 
 _TEXTS = "t AS (SELECT conv_id, turn, CAST(len(text) AS BIGINT) AS n FROM conversations WHERE text IS NOT NULL)"
@@ -291,3 +291,41 @@ def masked_positions_of_texts(spark, sf_dir):
     line = lambda c: F.array_join(c.cast("array<string>"), ",")
     mask = F.transform("ids", lambda c: (c % 3 > 0).cast("int"))
     return rows.select("conv_id", "turn", line(arrays.masked_positions(mask)).alias("hidden"), line(arrays.with_eos(F.col("ids"), 46)).alias("eos"))
+
+
+# -- media that are there ---------------------------------------------------------------------------------
+
+
+def _media(spark, sf_dir, roots):
+    """Folders of files, named by numbers below 50, at each root those for which a test of the number holds; returns their common path."""
+    path = shared_path(spark, "media")
+    names = table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("k")).distinct()
+    for root, test in roots.items():
+        names.where(test).select(F.col("k").cast("string").alias("value"), F.col("k").alias("name")).write.partitionBy("name").text(f"{path}/{root}")
+    return path
+
+
+@query(
+    "SELECT count(*) AS total_entries, count(*) FILTER (WHERE doc_id % 9 <> 0 AND doc_id % 10 <> 0 AND NOT gone) AS valid_entries, count(*) FILTER (WHERE gone) AS missing_media, count(*) FILTER (WHERE doc_id % 9 = 0) AS token_mismatches, "
+    "count(*) FILTER (WHERE doc_id % 10 = 0) AS gpt_media_tokens, count(*) FILTER (WHERE doc_id % 4 = 0 AND doc_id % 3 <> 0) AS image_only, count(*) FILTER (WHERE doc_id % 3 = 0 AND doc_id % 4 <> 0) AS video_only, count(*) FILTER (WHERE doc_id % 12 = 0) AS mixed "
+    "FROM (SELECT doc_id, doc_id % 50 % 6 = 0 AND (doc_id % 4 = 0 OR doc_id % 3 = 0) AS gone FROM (SELECT DISTINCT doc_id FROM labels))"
+)
+def validator_stats_of_files(spark, sf_dir):
+    """The validator's totals where some of the media that records name aren't there."""
+    path = _media(spark, sf_dir, {"m": "k % 6 <> 0"})
+    rows = _dialogue(spark, sf_dir).dropDuplicates(["doc_id"])
+    there = media.media_folders(media.media_files(spark, f"{path}/m"))
+    wanted = F.when(F.size("images") + F.size("videos") > 0, F.array(media.bare(F.concat(F.lit(f"{path}/m/name="), (F.col("doc_id") % 50).cast("string"))))).otherwise(F.array().cast("array<string>"))
+    rows = media.with_missing(rows, "doc_id", wanted, there)
+    return records.validation_stats(rows.withColumn("problems", records.problems(F.col("conversations"), F.col("images"), F.col("videos"), F.col("missing"))))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 50 % 3 = 0 THEN 'a' ELSE 'b' END AS root FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id % 50 % 3 = 0 OR doc_id % 50 % 2 = 0")
+def first_existing_file(spark, sf_dir):
+    """Of two places the first where the file is."""
+    path = _media(spark, sf_dir, {"a": "k % 3 = 0", "b": "k % 2 = 0"})
+    there = media.media_folders(media.media_files(spark, [f"{path}/a", f"{path}/b"]))
+    place = lambda root: media.bare(F.concat(F.lit(f"{path}/{root}/name="), (F.col("doc_id") % 50).cast("string")))
+    tries = table(spark, sf_dir, "labels").select("doc_id").distinct().select("doc_id", F.posexplode(F.array(place("a"), place("b"))).alias("rank", "path"))
+    found = joins.first_existing(tries, there, ["doc_id"], "rank", "path")
+    return found.select("doc_id", F.element_at(F.split("path", "/"), -2).alias("root"))

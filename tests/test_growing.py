@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import incremental
 from quillon.sources import records as files
-from quillon.sources import variants
+from quillon.sources import media, variants
 from quillon.streaming.snapshots import Snapshots, rewrite_every
 
 IDS = [7, "seven", [1, "a"], {"k": {"z": None}}, 1.5, True, None]
@@ -113,3 +113,18 @@ def test_states_of_batches_combine(spark, tmp_path):
     assert {r["g"]: r["sum"] for r in kept.result(spark).collect()} == {"a": 114, None: 100, "b": 4}
     kept.put(df.where("batch = 1").drop("batch"), 1)
     assert {r["g"]: r["sum"] for r in kept.result(spark).collect()} == {"a": 23, None: 1, "b": 4}
+
+
+def test_missing_files_are_told_for_each_record(spark, tmp_path):
+    for name in ("a/x.mp4", "a/deep/y.mp4", "b/z.png", "b/with space.mp4"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"12345")
+    files = media.media_files(spark, [f"{tmp_path}/a", f"file://{tmp_path}/b"])
+    assert {(r["path"], r["length"]) for r in files.collect()} == {(f"{tmp_path}/{n}", 5) for n in ("a/x.mp4", "a/deep/y.mp4", "b/z.png", "b/with space.mp4")}
+    assert media.media_files(spark, str(tmp_path), "*.png").count() == 1
+    assert {r["path"] for r in media.media_folders(files).collect()} == {f"{tmp_path}/a", f"{tmp_path}/a/deep", f"{tmp_path}/b"}
+    rows = [(1, [f"{tmp_path}/a/x.mp4", f"{tmp_path}/a/no.mp4", f"{tmp_path}/a/no.mp4"]), (2, []), (3, None), (4, [None, f"{tmp_path}/b/z.png"]), (5, [f"{tmp_path}/b/1", f"{tmp_path}/a/2"])]
+    out = media.with_missing(spark.createDataFrame(rows, "k long, paths array<string>"), "k", F.col("paths"), files)
+    assert {r["k"]: r["missing"] for r in out.collect()} == {1: [f"{tmp_path}/a/no.mp4"], 2: [], 3: [], 4: [], 5: [f"{tmp_path}/a/2", f"{tmp_path}/b/1"]}
+    plan = files._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<path:string,length:bigint>" in plan  # no content
