@@ -14,9 +14,10 @@ blocks behind are done again. So counts are those of the whole text in one go.
 
 The sample: of the (id, text) pairs of a language the one of least hash in each of 4 * ``docs_per_language`` classes of
 hashes, of these the ``docs_per_language`` of least hash, texts over ``sample_bytes`` characters last, shortest first;
-whole texts in that order as long as their characters together stay within ``sample_bytes`` (and within an equal share
-of ``total_bytes``, if there are many languages), one at least. The driver sees that sample, first as hashes and
-lengths; executors build the automata from it. Texts are never shuffled but those of the sample.
+whole texts in that order as long as their bytes together stay within ``sample_bytes`` (and within an equal share
+of ``total_bytes``, if there are many languages). Where even the first is longer, it is taken alone; of one over that equal share, pieces from
+all its length, of the least hashes, take its place, so all samples together are never over ``total_bytes``. The driver sees that sample, first as hashes and lengths, builds the table, and broadcasts it: at most two states a byte of
+``total_bytes``, times the symbols, of four bytes. Texts are never shuffled but those of the sample.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text when nothing could be
 learned; null languages and texts without a letter are not learned; rows with a null id are learned like any other;
@@ -27,8 +28,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,21 +89,25 @@ class Parser:
         self.symbol[known] = np.arange(1, self.width)
         self.bits = np.array([np.log2(max(len(t), 2)) for t in held.values()])
         tables, starts, at = [], [], 0
+        most = sum(2 * len(text) + 2 for text in held.values())  # states of all automata
+        kind = np.int32 if 2 * most * self.width < 2**31 else np.int64
         for text in held.values():
             states = suffix_automaton(text)
-            step = np.full((len(states) + 1, self.width), -1, np.int64)  # the last state, where a parse begins, goes nowhere
+            step = np.full((len(states) + 1, self.width), -1, kind)  # the last state, where a parse begins, goes nowhere
             for k, to in enumerate(states):
                 step[k, self.symbol[list(to)]] = list(to.values())
             fresh = step[0] >= 0
             begins = step < 0
             # where a phrase can't go on the symbol begins the next one; an unknown symbol is one
-            target = np.where(begins, np.where(fresh, step[0], len(states))[None, :], step)
-            tables.append((((target + at) * self.width) << 1 | begins).ravel())
+            first = np.where(fresh, step[0], len(states)).astype(kind)
+            step = np.where(begins, first[None, :], step)
+            step += at
+            step *= 2 * self.width
+            step |= begins
+            tables.append(step.ravel())
             starts.append((at + len(states)) * self.width)
             at += len(states) + 1
-        joint = np.concatenate(tables)
-        kind = np.int32 if joint.max(initial=0) < 2**31 else np.int64
-        self.table, self.starts = joint.astype(kind), np.array(starts, kind)
+        self.table, self.starts = np.concatenate(tables), np.array(starts, kind)
 
     def encode(self, text: str) -> np.ndarray:
         return self.symbol[np.frombuffer(normal(text).encode("utf-8", "replace"), np.uint8)]
@@ -158,9 +163,18 @@ class Parser:
         return total
 
 
-@lru_cache(maxsize=2)
-def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(samples)
+def within(text: str, most: int, size: int = 1024) -> str:
+    """A text of at most ``most`` bytes whole; else pieces of it, of ``size`` characters and less, of the least hashes, in their order."""
+    if len(text.encode("utf-8", "replace")) <= most:
+        return text
+    pieces = [text[k : k + size] for k in range(0, len(text), size)]
+    drawn, left = [], most
+    for k in sorted(range(len(pieces)), key=lambda k: hashlib.md5(f"{k}:{pieces[k]}".encode("utf-8", "replace")).digest()):
+        n = len(pieces[k].encode("utf-8", "replace")) + 1
+        if n > left:
+            break
+        drawn, left = [*drawn, k], left - n
+    return BORDER.join(pieces[k] for k in sorted(drawn)) or text[:1]
 
 
 def sample(docs: DataFrame, docs_per_language: int, sample_bytes: int, total_bytes: int) -> tuple[tuple[str, str], ...]:
@@ -171,7 +185,8 @@ def sample(docs: DataFrame, docs_per_language: int, sample_bytes: int, total_byt
     cell = F.pmod("h", F.lit(4 * docs_per_language)).alias("cell")
     least = slim.select("lang", cell, F.struct(long, "h", "n").alias("r")).groupBy("lang", "cell").agg(F.min("r").alias("r"))
     listed = least.select("lang", "r.*").collect()  # 4 * docs_per_language rows a language
-    share = min(sample_bytes, total_bytes // max(1, len({r["lang"] for r in listed})))
+    equal = total_bytes // max(1, len({r["lang"] for r in listed}))
+    share = min(sample_bytes, equal)
     picked, held, rank = [], {}, {}
     for r in sorted(listed, key=lambda r: (r["lang"], r["long"], r["h"])):
         rank[r["lang"]] = rank.get(r["lang"], 0) + 1
@@ -181,10 +196,17 @@ def sample(docs: DataFrame, docs_per_language: int, sample_bytes: int, total_byt
     if not picked:
         return ()
     chosen = docs.sparkSession.createDataFrame(picked, "lang string, h long, rank int")  # docs_per_language rows a language
-    rows = slim.select("lang", "h", "text").join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "rank").agg(F.min("text").alias("text")).collect()
+    rows = slim.select("lang", "h", "text").join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "rank", "text")
+
+    def cut(batches):
+        for batch in batches:
+            found = [within(normal(t), equal) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("rank"), pa.array(found, pa.string())], names=["lang", "rank", "text"])
+
+    rows = rows.mapInArrow(cut, "lang string, rank int, text string").groupBy("lang", "rank").agg(F.min("text").alias("text")).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
-        texts.setdefault(r["lang"], []).append(normal(r["text"]))
+        texts.setdefault(r["lang"], []).append(r["text"])
     return tuple((name, BORDER.join(found)) for name, found in texts.items())
 
 
@@ -194,15 +216,15 @@ def identify(
     """doc_id, lang_pred and score for every row; learned from the rows where ``train`` holds."""
     arrow_batches(docs.sparkSession)
     learned = sample(docs.where(train).select("doc_id", "text", F.col("lang").cast("string").alias("lang")), docs_per_language, sample_bytes, total_bytes)
-    samples = docs.sparkSession.sparkContext.broadcast(learned)  # total_bytes, or a text a language
+    shared = docs.sparkSession.sparkContext.broadcast(Parser(learned) if learned else None)  # its size follows from total_bytes
 
     def run(batches):
         for batch in batches:
             whole = [t or "" for t in batch.column("text").to_pylist()]
             pred, score = ["und"] * len(whole), [0.0] * len(whole)
-            rows = [k for k, t in enumerate(whole) if any(map(str.isalpha, t))] if samples.value else []
+            known = shared.value
+            rows = [k for k, t in enumerate(whole) if any(map(str.isalpha, t))] if known else []
             if rows:
-                known = parser(samples.value)
                 coded = [known.encode(whole[k]) for k in rows]
                 entropy = known.phrases(coded) * known.bits[:, None] / np.array([len(c) for c in coded])
                 ranked = np.sort(entropy, axis=0)

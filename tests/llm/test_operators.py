@@ -351,6 +351,23 @@ def test_languages_of_a_wide_script(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in out} == {k: x for k, _, x in rows}
 
 
+def test_a_language_of_one_huge_text(spark):
+    """Two million characters and no shorter text: the sample is bounded, from the whole length, and told apart from the other language."""
+    rng = random.Random(9)
+    part = lambda syllables: "".join(rng.choice(syllables) + rng.choice(["", "", " "]) for _ in range(40))
+    huge = "".join(f"{part(['ba', 'bo', 'lu', 'ma'])} " for _ in range(25_000))
+    rows = [(0, huge, "one")] + [(k, part(["ti", "re", "ke", "su"]), "two") for k in range(1, 30)] + [(100 + k, part(["ba", "bo", "lu", "ma"]), None) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = dict(langid.sample(df, 64, 1 << 15, 1 << 18))
+    assert len(huge) > 1_900_000 and 1 << 16 < len(found["one"]) <= 1 << 17
+    pieces = found["one"].split(langid.BORDER)
+    places = [langid.normal(huge).index(p) for p in pieces]
+    assert places == sorted(places) and places[0] < len(huge) / 5 and places[-1] > len(huge) * 4 / 5
+    assert langid.Parser(tuple(found.items())).table.nbytes < 64 << 20
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, F.col("lang").isNotNull()).collect()}
+    assert all(out[k] == "one" for k in (0, *range(100, 120))) and all(out[k] == "two" for k in range(1, 30))
+
+
 def test_language_sample_is_bounded_and_whole(spark):
     """One id repeated 100,000 times is learned once, null ids like any other; texts are whole, long ones only where nothing else is."""
     kind = "doc_id long, text string, lang string"
