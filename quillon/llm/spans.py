@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut behind each sentence; a sentence of more than ``long_words`` words is cut further, behind words chosen by
-their hash (one in ``one_in``), so that a passage pasted into a sentence has whole parts of its own and one long sentence
-is a run of several. Each part begins a span and ends one: the shortest run of at least ``run_parts`` consecutive parts
+their hash (one in ``one_in``) and behind a word that stands twice in a row, so that a passage pasted into a sentence has whole parts of its own, one long sentence
+is a run of several, and so is one word said over and over. Each part begins a span and ends one: the shortest run of at least ``run_parts`` consecutive parts
 with at least ``run_words`` words. So a repeated run of that size or more, however long, is covered to its last part.
 
 Spans are compared by a 128-bit hash of their words, lower-cased in A-Z. They are put in order by hash, then place
@@ -44,7 +44,9 @@ def parts(text: bytes, long_words: int, one_in: int) -> tuple[Words, np.ndarray,
     cut[n] = True
     at = np.nonzero(cut[1:])[0] + 1  # ends of sentences
     size = np.diff(at, prepend=0)
-    inner = (np.repeat(size, size) > long_words) & (words.lanes[0] % np.uint64(one_in) == 0)
+    again = np.zeros(n, bool)
+    again[1:] = (words.lanes[0][1:n] == words.lanes[0][: n - 1]) & (words.lanes[1][1:n] == words.lanes[1][: n - 1]) if n else False
+    inner = (np.repeat(size, size) > long_words) & ((words.lanes[0] % np.uint64(one_in) == 0) | again)
     cut[1:] |= inner
     end = np.nonzero(cut[1:])[0] + 1
     return words, np.concatenate([[0], end[:-1]]).astype(np.int64) if n else end, end
@@ -63,7 +65,7 @@ def spans(begin: np.ndarray, end: np.ndarray, run_parts: int, run_words: int) ->
 
 
 def dedup_spans(
-    docs: DataFrame, run_parts: int = 2, run_words: int = 8, long_words: int = 12, one_in: int = 8
+    docs: DataFrame, run_parts: int = 2, run_words: int = 6, long_words: int = 12, one_in: int = 8
 ) -> DataFrame:
     """``docs`` as columns ``doc`` (a struct of all its own), text, n_parts (null where nothing is removed), n_removed."""
     arrow_batches(docs.sparkSession)

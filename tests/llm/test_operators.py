@@ -677,16 +677,17 @@ def brute_parts(text, long_words=12, one_in=8):
             sentences, now = [*sentences, now], []
     found = []
     for sentence in sentences:
-        for w in sentence:
+        for j, w in enumerate(sentence):
             now.append(w)
-            if len(sentence) > long_words and int.from_bytes(xxhash.xxh3_128_digest(w)[:8], "little") % one_in == 0:
+            again = j > 0 and sentence[j - 1] == w or not j and found and found[-1][-1] == w
+            if len(sentence) > long_words and (again or int.from_bytes(xxhash.xxh3_128_digest(w)[:8], "little") % one_in == 0):
                 found, now = [*found, now], []
         if now:
             found, now = [*found, now], []
     return found
 
 
-def brute_runs(found, k=2, n=8):
+def brute_runs(found, k=2, n=6):
     """Every shortest run by its first part, and by its last."""
     ok = lambda a, b: b - a >= k and sum(map(len, found[a:b])) >= n
     runs = {(a, b) for a in range(len(found)) for b in range(a, len(found) + 1) if ok(a, b)}
@@ -730,7 +731,7 @@ def test_sentence_spans_match_brute_force(spark, docs, clash, monkeypatch, arrow
     assert spans.dedup_spans(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("lengths", [[15, 8, 5], [40, 6], [6, 40], [45, 3, 4], [12, 12, 4, 3], [3, 4, 20, 2], [1, 1, 6], [4, 4]])
+@pytest.mark.parametrize("lengths", [[15, 8, 5], [40, 6], [6, 40], [45, 3, 4], [12, 12, 4, 3], [3, 4, 20, 2], [1, 1, 6], [4, 4], [3, 4], [4, 3, 2]])
 def test_repeated_runs_are_covered_to_their_end(lengths):
     unique = iter(range(10**6))
     make = lambda sizes: [" ".join(f"w{next(unique)}" for _ in range(m)) + "." for m in sizes]
@@ -738,7 +739,7 @@ def test_repeated_runs_are_covered_to_their_end(lengths):
     for text in ([*make([9, 30]), *passage, *make([25, 4])] for _ in range(2)):
         words, begin, end = spans.parts("\n".join(text).encode(), 12, 8)
         flat = "\n".join(text).split()
-        a, b = spans.spans(begin, end, 2, 8)
+        a, b = spans.spans(begin, end, 2, 6)
         for x, y in zip(begin[a].tolist(), end[b - 1].tolist()):
             line = tuple(flat[x:y])
             covered |= set(line) if line in seen else set()
@@ -746,6 +747,36 @@ def test_repeated_runs_are_covered_to_their_end(lengths):
     assert covered == set(" ".join(passage).split())
 
 
+def test_a_word_said_over_and_over_is_a_repeated_span(spark):
+    rng = random.Random(2)
+    rows = [(k, f"{say(rng, 20)}\nBegin {'spam ' * 400}end.", "en", "s", 1) for k in range(3)] + [(9, "Short one here.\nAnd that is all.", "en", "s", 1), (10, "Short one here.\nAnd that is all.\nMore.", "en", "s", 1)]
+    out = {r["doc_id"]: r["text"] for r in spans.dedup_spans(spark.createDataFrame(rows, SCHEMA)).select("doc.doc_id", "text").collect()}
+    assert out[0].count("spam") <= 12 and out[1].count("spam") <= 12 and out[2].count("spam") <= 12
+    assert out[9] == rows[3][1] and out[10].strip() == "More."
+
+
+def test_spans_reach_nine_tenths_of_passages(spark):
+    """Words in passages of 50 that stood in a lesser doc_id, on the test tables."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("doc_id", "text")
+    rows = sorted(tuple(r) for r in df.collect())
+    seen, whole, hit = set(), 0, 0
+    kept = {r["doc_id"]: r["text"] for r in spans.dedup_spans(df).select("doc.doc_id", "text").collect()}
+    for i, t in rows:
+        w = t.lower().split()
+        grams = [hash(tuple(w[k : k + 50])) for k in range(len(w) - 49)]
+        covered = {j for k, g in enumerate(grams) if g in seen for j in range(k, k + 50)}
+        seen |= set(grams)
+        whole += len(covered)
+        left, stay = kept[i].lower().split(), set()
+        at = 0
+        for j, x in enumerate(w):  # what stays is a subsequence, told greedily
+            if at < len(left) and left[at] == x:
+                stay.add(j)
+                at += 1
+        hit += len(covered - stay)
+    assert whole > 10_000 and hit >= 0.9 * whole
+
+
 def test_parts_cover_the_text():
     rng = random.Random(1)
     for t in ("", "  ", "One. Two!\n\nThree", "a.b c?  d", "\n\n x", say(rng, 300).replace(".", ""), "x. " * 40):
