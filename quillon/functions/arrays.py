@@ -143,28 +143,31 @@ def square_grid(tokens: Column, frames: Column) -> Column:
 # -- what needs a sequential algorithm: Arrow functions ---------------------------------------
 
 
+def box_overlaps(a: list, b: list) -> np.ndarray:
+    """Intersection over union of every box of ``a`` with every one of ``b``; 0 where both are empty."""
+    a, b = np.array(a, np.float64)[:, None, :], np.array(b, np.float64)[None, :, :]
+    sides = np.maximum(np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2]), 0.0)
+    area = lambda r: np.maximum(r[..., 2] - r[..., 0], 0.0) * np.maximum(r[..., 3] - r[..., 1], 0.0)
+    inter = sides[..., 0] * sides[..., 1]
+    union = area(a) + area(b) - inter
+    return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
+
+
 def match_total(a: list, b: list) -> float:
-    """Greatest sum of overlaps of an assignment between two lists of boxes; exact, by subsets of the shorter."""
+    """Greatest sum of overlaps of an assignment between two lists of boxes; exact, by subsets of the shorter or by augmenting paths."""
     if len(a) > len(b):
         a, b = b, a
-
-    def overlap(p, q):
-        w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
-        inter = max(0.0, w) * max(0.0, h)
-        area = lambda r: max(0.0, r[2] - r[0]) * max(0.0, r[3] - r[1])
-        union = area(p) + area(q) - inter
-        return inter / union if union > 0 else 0.0
-
+    gain = box_overlaps(a, b)
     if len(a) > 5:
-        return assignment_total(np.array([[overlap(p, q) for q in b] for p in a]))
+        return assignment_total(gain)
     best = {0: 0.0}
-    for q in b:
+    for gains in gain.T.tolist():
         new = dict(best)
         for used, total in best.items():
-            for k, p in enumerate(a):
+            for k, g in enumerate(gains):
                 if not used >> k & 1:
                     at = used | 1 << k
-                    new[at] = max(new.get(at, -1.0), total + overlap(p, q))
+                    new[at] = max(new.get(at, -1.0), total + g)
         best = new
     return max(best.values())
 

@@ -362,6 +362,15 @@ def clean_evidence(c: Column) -> Column:
     return F.btrim(squeeze(s), F.lit(EDGE))
 
 
+#: What is taken off a named object, and where an object is named in a sentence.
+LEADING_ARTICLE = r"(?i)^(?:the|a|an|this|that)\s+"
+TRAILING_PRONOUN = r"(?i)\b(?:that|which|who)$"
+POSSESSIVE = r"'s\b.*$"
+SECOND_OF_TWO = r"(?i)\bbetween\s+(.+?)\s+and\s+(.+?)(?:[.,;]|$)"
+SUBJECT_WITH_ARTICLE = rf"(?i)^(?:the|a|an|this|that)\s+(.+?)\s+\b({STOP_VERBS})\b"
+SUBJECT = rf"(?is)^(.*?)\b({STOP_VERBS})\b"
+
+
 def object_prompt(c: Column, max_words: int) -> Column:
     """A bare noun phrase of at most max_words words; null if it names nothing."""
     return let(_bare_object(c, max_words), _named)
@@ -369,9 +378,9 @@ def object_prompt(c: Column, max_words: int) -> Column:
 
 def _bare_object(c: Column, max_words: int) -> Column:
     p = squeeze(F.btrim(c, F.lit(EDGE)))
-    p = F.regexp_replace(p, r"(?i)^(?:the|a|an|this|that)\s+", "")
-    p = strip(F.regexp_replace(p, r"(?i)\b(?:that|which|who)$", ""))
-    p = F.btrim(strip(F.regexp_replace(p, r"'s\b.*$", "")), F.lit(EDGE))
+    p = F.regexp_replace(p, LEADING_ARTICLE, "")
+    p = strip(F.regexp_replace(p, TRAILING_PRONOUN, ""))
+    p = F.btrim(strip(F.regexp_replace(p, POSSESSIVE, "")), F.lit(EDGE))
     return let(p, lambda q: limit_words(q, max_words))
 
 
@@ -391,9 +400,9 @@ def _heuristic(text: Column, max_words: int) -> Column:
     return F.when(
         text != "",
         F.coalesce(
-            taken(r"(?i)\bbetween\s+(.+?)\s+and\s+(.+?)(?:[.,;]|$)", 2),
-            taken(rf"(?i)^(?:the|a|an|this|that)\s+(.+?)\s+\b({STOP_VERBS})\b", 1),
-            taken(rf"(?is)^(.*?)\b({STOP_VERBS})\b", 1),
+            taken(SECOND_OF_TWO, 2),
+            taken(SUBJECT_WITH_ARTICLE, 1),
+            taken(SUBJECT, 1),
             object_prompt(text, max_words),
         ),
     )

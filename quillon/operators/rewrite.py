@@ -95,9 +95,13 @@ def merge_conversation(conversations: Column, instruction: str) -> Column:
 # -- claims and reasoning traces ----------------------------------------------------------------
 
 
+#: Fixed value: names of the claims as they are written.
+CLAIM_NAMES = r"Visual Quality|Motion\s*&\s*Physical Consistency|Prompt Alignment"
+
+
 def claims(think: Column, strip_intervals: bool = True) -> dict[str, Column]:
     """The three labelled claims of a think block, the last of each; '' if missing."""
-    names = r"Visual Quality|Motion\s*&\s*Physical Consistency|Prompt Alignment"
+    names = CLAIM_NAMES
     pattern = rf"(?s)\[({names})\]\s*:\s*(.*?)(?=\n?\[(?:{names})\]\s*:|\z)"
     k, v = (F.regexp_extract_all(think, F.lit(pattern), i) for i in (1, 2))
     pairs = F.arrays_zip(F.transform(k, lambda x: F.regexp_replace(strip(x), r"\s+", " ")).alias("k"), v.alias("v"))
@@ -126,7 +130,7 @@ def think_with_intervals(said: dict[str, Column], intervals: Column, min_confide
 def video_eval(value: Column) -> tuple[dict[str, Column], dict[str, Column]]:
     """(claims, verdicts) of a response, keys in any case and with full-width colons too; '' where missing."""
     think, answer = first_tag(value, "think"), first_tag(value, "answer")
-    names = r"Visual Quality|Motion\s*&\s*Physical Consistency|Prompt Alignment"
+    names = CLAIM_NAMES
     pattern = rf"(?is)\[({names})\]\s*[:：]\s*(.*?)(?=\s*\[(?:{names})\]\s*[:：]|\z)"
     tidy = lambda x: F.regexp_replace(F.regexp_replace(F.lower(strip(x)), r"\s*&\s*", " & "), r"\s+", " ")
     k, v = (F.regexp_extract_all(think, F.lit(pattern), i) for i in (1, 2))

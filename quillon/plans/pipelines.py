@@ -567,10 +567,7 @@ def category_scan(spark, sf_dir):
     """A folder a category, in it sampled and removed records."""
     path = scratch(spark)
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 5 == 0, "removed_scene_jumpcut.jsonl").otherwise("sampled.jsonl").alias("name"))
-    kinds = [r["event_type"] for r in rows.select("event_type").distinct().collect()]
-    for kind in kinds:  # one folder a category
-        for name in ("sampled.jsonl", "removed_scene_jumpcut.jsonl"):
-            rows.where((F.col("event_type") == kind) & (F.col("name") == name)).select("event_id").write.json(f"{path}/{kind}/{name}")
+    files.write_categories(rows, path, "event_type", "name")
     found = files.read_categories(spark, path, "event_id long", removed=True, parts=True)
     return found.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total"), F.count_if(F.contains("source_file", F.lit("removed"))).alias("removed"))
 

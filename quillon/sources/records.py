@@ -211,6 +211,23 @@ def sift(spark: SparkSession, path: str, schema: str, good_path: str, bad_path:
     return write_split(rows, good_path, bad_path, stats=counts)
 
 
+def write_categories(df: DataFrame, root: str, category: str, name: str) -> None:
+    """Records into ``root``/category/name, by one job; the folders are renamed into place when it has ended."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs, staging = at(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), f"{root}/_categories-{uuid.uuid4().hex}"
+    df.write.partitionBy(category, name).option("ignoreNullFields", "false").json(staging)
+    plain = lambda folder: jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getName().split("=", 1)[1])
+    below = lambda path: [x.getPath() for x in fs.listStatus(path) if x.isDirectory()]
+    for outer in below(at(staging)):  # a folder a category
+        fs.mkdirs(at(f"{root}/{plain(outer)}"))
+        for inner in below(outer):
+            if not fs.rename(inner, at(f"{root}/{plain(outer)}/{plain(inner)}")):
+                raise OSError(f"could not rename {inner}")
+    fs.delete(at(staging), True)
+
+
 def write_metrics(metrics: DataFrame, schema: str, path: str, mode: str = "overwrite") -> None:
     """Per dimension and overall as one JSON line; a metric table has a row a dimension."""
     row = F.struct(*[c for c in metrics.columns if c != "dim"])
