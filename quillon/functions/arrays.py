@@ -15,10 +15,14 @@ from quillon.operators import ordered
 IGNORE = -100
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _offsets(lengths: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else np.concatenate([[0], np.cumsum(np.asarray(x, np.int64))]) for x in lengths], dtype=object)
+
+
 def running_offsets(lengths: Column) -> Column:
-    """0 and the running sums."""
-    zero = F.array(F.lit(0).cast("long"))
-    return F.aggregate(lengths, zero, lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n.cast("long")))
+    """0 and the running sums, in time linear in their number; lengths without nulls."""
+    return _offsets(lengths.cast("array<bigint>"))
 
 
 def pad(ids: Column, n: Column, with_: int) -> Column:
@@ -54,11 +58,18 @@ def with_eos(ids: Column, eos: int) -> Column:
     return F.when(F.coalesce(F.try_element_at(ids, F.lit(-1)) == eos, F.lit(False)), ids).otherwise(F.array_append(ids, F.lit(eos)))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _masked(mask: pd.Series, hidden: pd.Series) -> pd.Series:
+    out = []
+    for m, h in zip(mask, hidden):
+        m = None if m is None else np.asarray(m, np.int64)
+        out.append(None if m is None else np.where(m == 1, np.cumsum(m) - 1, h).astype(np.int32))
+    return pd.Series(out, dtype=object)
+
+
 def masked_positions(mask: Column, hidden: int = 0) -> Column:
-    """Running count of ones less 1; ``hidden`` where the mask is 0."""
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-    step = lambda a, m: F.struct((a["n"] + m).alias("n"), F.array_append(a["out"], F.when(m == 1, a["n"] + m - 1).otherwise(hidden)).alias("out"))
-    return F.aggregate(mask.cast("array<int>"), start, step)["out"]
+    """Running count of ones less 1; ``hidden`` where the mask is 0. Linear in the mask's length; masks without nulls."""
+    return _masked(mask.cast("array<int>"), F.lit(hidden))
 
 
 def l2_normalise(v: Column, floor: float = 1e-6) -> Column:
