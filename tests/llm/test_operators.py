@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -650,6 +651,29 @@ def test_scores_match_a_brute_force_coder(spark, docs):
     assert Counter((r["doc_id"], r["n_tokens"], round(r["score"], 3)) for r in out) == want
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Weights are fitted in runs that hashes choose: other partitions of the rows and of shuffles change no score."""
+    rng = random.Random(4)
+    rows = [(k, say(rng, 60, [a + b for a in "abcdefgh" for b in ("an", "on", "ush", "eld")]), "aa", None, None) for k in range(90)]
+    train, before = common.crc32_of_id(F.col("doc_id")) % 7 != 2, spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(mixlm, "RUN", 8)
+    found = []
+    try:
+        for parts in (4, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            out = mixlm.score(spark.createDataFrame(rows, SCHEMA).repartition(parts, "text"), train, label="lang", sample_rows=60).collect()
+            found.append({r["doc_id"]: r["score"] for r in out})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0].keys() == found[1].keys() and all(abs(found[0][k] - found[1][k]) < 1e-6 for k in found[0])
+
+
+def test_runs_are_cut_alike_however_batches_lie():
+    table = pa.table({"run": [0] * 7 + [2] * 3 + [3] * 5, "word": [bytes([65 + k]) for k in range(15)], "class": list(range(15)), "n": list(range(15))})
+    cut = lambda size: [(r, w, c.tolist(), n.tolist()) for r, w, c, n in mixlm.in_runs(table.to_batches(max_chunksize=size), 3)]
+    assert cut(100) == cut(1) == cut(4) and [(r, len(w)) for r, w, _, _ in cut(4)] == [(0, 3), (0, 3), (0, 1), (2, 3), (3, 3), (3, 2)]
+
+
 def test_model_beats_base_on_held_out(spark):
     """Two languages of disjoint words: a text's class is worth a bit a word, and unseen words have known parts."""
     rng = random.Random(8)
