@@ -8,12 +8,12 @@ descending order of bound, a few at a time are probed for the candidates that st
 Ties are kept, so results are exact. Per-block results are merged by a rank within the query.
 
 Queries are packed into blocks of ``query_rows``, candidates into blocks of ``block_rows``, inside
-tasks, their components in as few bytes as hold them. There are as many query blocks as their number needs, wherever the queries lay, so a
-vector travels once for each ``query_rows`` queries; candidates are dealt into as many parts as there are shuffle partitions, and a query block meets each part in
-a task of its own, through an equi-join on both numbers. A task holds one pair of blocks. The k-th score a query has reached in
-the blocks that a task saw before is its floor in the next one, and a block whose bounds together
-lie below it is left out for that query. Nothing is broadcast, and the driver sees only the numbers
-of the query blocks.
+tasks, their components in as few bytes as hold them. Candidate blocks are dealt by hash into parts of about ``part_blocks``,
+more and smaller ones where there would be fewer than shuffle partitions. Each candidate travels once, to its part; the query
+blocks, as many as their number needs wherever the queries lay, are copied to every part. An equi-join on the part runs
+through a part's candidates for one query block after the other, so a task holds one part and one query block. The k-th
+score a query has reached in the part's blocks before is its floor in the next one, and a block whose bounds together lie
+below it is left out for that query. Nothing is broadcast, and the driver sees only two counts.
 
 Defined cases: a vector that is null or holds null, NaN or an infinity takes no part, nor does a row
 with a null id; vectors of different lengths are compared as if the shorter ended in zeros; every row
@@ -103,22 +103,20 @@ def top_of_block(q: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray
     return rows, score
 
 
-def search(vectors: DataFrame, asks: str | Column, k: int, scale: int = 256, block_rows: int = 4096, query_rows: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, asks: str | Column, k: int, scale: int = 256, block_rows: int = 4096, query_rows: int = 8192, part_blocks: int = 64) -> DataFrame:
     """``vectors(id, v)``, of which the rows where ``asks`` holds are queries, to query_id, rank, vec_id, score: the k best, ties to the smaller id."""
-    arrow_batches(vectors.sparkSession)
+    spark = vectors.sparkSession
+    arrow_batches(spark)
     real = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).where("id is not null and v is not null").where(real)
     stored = materialize(usable.withColumn("row", F.monotonically_increasing_id()), "search-vectors")
-    queries = stored.where(asks)
+    queries, packed = stored.where(asks), ("dim", "kind", "rows", "ids", "vals")
     asked = materialize(_blocks(queries.repartition(max(1, -(-queries.count() // query_rows))), query_rows, scale), "search-queries")
-    numbers = [r["block"] for r in asked.select("block").collect()]
-    every = F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>") if numbers else F.array().cast("array<long>")
-    # a query block meets the candidates part by part, and is copied once for each part
-    parts = shuffle_parts(vectors.sparkSession)
-    held = _blocks(stored, block_rows, scale).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts)))
-    held = held.select(F.explode(every).alias("asked"), "part", "dim", "kind", "rows", "ids", "vals")
-    mine = asked.select(F.col("block").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), *[F.col(c).alias(f"q_{c}") for c in ("dim", "kind", "rows", "ids", "vals")])
-    pairs = held.join(mine, ["asked", "part"])
+    parts = max(shuffle_parts(spark), -(-stored.count() // (block_rows * part_blocks)))
+    held = _blocks(stored, block_rows, scale).select(F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"), *packed)
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    mine = asked.select(F.col("block").alias("asked"), every, *[F.col(c).alias(f"q_{c}") for c in packed])
+    pairs = mine.hint("merge").join(held, "part")
 
     def run(batches):
         block, floors = None, None

@@ -517,6 +517,16 @@ def test_maxscore_matches_brute_force(spark):
     assert maxscore.search(vectors.where("id < 0"), "id % 50 = 0", 5).count() == 0
 
 
+def test_maxscore_parts_and_clashing_columns(spark):
+    """Every part meets every query block, however many blocks it has; columns named like the operator's own are ignored."""
+    rows = [(k, [float((k * 7 + j * j) % 11) for j in range(4)], "x", k) for k in range(120)]
+    vectors = spark.createDataFrame(rows, "id long, v array<double>, part string, block int").repartition(5)
+    want = maxscore.search(vectors.select("id", "v"), "id % 10 = 0", 3).collect()
+    for options in ({"block_rows": 4, "query_rows": 2, "part_blocks": 1}, {"block_rows": 3, "query_rows": 5, "part_blocks": 50}):
+        got = maxscore.search(vectors, "id % 10 = 0", 3, **options).collect()
+        assert Counter(map(tuple, got)) == Counter(map(tuple, want)) and len(got) == 36
+
+
 def test_maxscore_huge_components(spark):
     rows = [(0, [1e9, -1e9]), (1, [1e9, 3.0]), (2, [-1e9, 1e300])]
     v = spark.createDataFrame(rows, "id long, v array<double>")
