@@ -74,8 +74,7 @@ def split_sentences(c: Column) -> Column:
 
 def sentence_key(c: Column) -> Column:
     """What tells sentences apart: lower-cased ASCII letters, digits and single spaces."""
-    s = F.regexp_replace(strip(F.lower(c)), "[\"'`]", "")
-    return squeeze(F.regexp_replace(s, r"(?U)[^a-z0-9\s]", ""))
+    return squeeze(F.regexp_replace(strip(F.lower(c)), r"(?U)[^a-z0-9\s]", ""))
 
 
 def mentions_machine(c: Column) -> Column:
@@ -84,14 +83,24 @@ def mentions_machine(c: Column) -> Column:
 
 
 def distinct_by_key(sentences: Column) -> Column:
-    """Sentences with a key, the first of each key kept, in order."""
-    keyed = F.transform(sentences, lambda s, i: F.struct(sentence_key(s).alias("k"), i.alias("i"), strip(s).alias("s")))
+    """Sentences with a key, the first of each key kept, in order.
 
-    def firsts(by_key):
-        mine = F.filter(by_key, lambda p, i: (p["k"] != "") & ((i == 0) | (F.get(by_key, i - 1)["k"] != p["k"])))
-        return F.transform(F.array_sort(F.transform(mine, lambda p: F.struct(p["i"], p["s"]))), lambda p: p["s"])
+    Ordered by a hash of the key, which nearly always decides, then by the key itself; sentences are taken by their places at the end.
+    """
 
-    return let(F.array_sort(keyed), firsts)
+    def kept(whole):
+        def hashed(key, i):
+            return F.struct(F.xxhash64(key).alias("h"), key.alias("k"), i.alias("i"))
+
+        keyed = F.transform(whole, lambda s, i: let(sentence_key(s), lambda key: hashed(key, i)))
+
+        def firsts(by_key):
+            mine = F.filter(by_key, lambda p, i: (p["k"] != "") & ((i == 0) | (F.get(by_key, i - 1)["k"] != p["k"])))
+            return F.transform(F.sort_array(F.transform(mine, lambda p: p["i"])), lambda i: strip(F.get(whole, i)))
+
+        return let(F.sort_array(keyed), firsts)
+
+    return let(sentences, kept)
 
 
 def clean_reasoning(c: Column) -> Column:
