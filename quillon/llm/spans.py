@@ -29,6 +29,8 @@ from quillon.llm.common import arrow_batches, texts
 from quillon.llm.neighbours import NULL_ID, ORDER, Words, named, neighbours, text_key
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Spans after which a batch of them is closed.
+SPANS = 1 << 16
 
 
 def parts(text: bytes, long_words: int, one_in: int) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -64,6 +66,26 @@ def spans(begin: np.ndarray, end: np.ndarray, run_parts: int, run_words: int) ->
     return pairs // (n + 1), pairs % (n + 1) + 1
 
 
+def covered(gone: pa.ListArray, k: int, n: int) -> np.ndarray:
+    """Which of the ``n`` parts of the text in row ``k`` lie in one of its spans of ``gone``; the spans stay in Arrow's buffers, 8 bytes each."""
+    a, b = gone.offsets[k].as_py(), gone.offsets[k + 1].as_py()
+    begin, end = (np.bincount(gone.values.field(c)[a:b].to_numpy(zero_copy_only=False), minlength=n + 1) for c in ("begin", "end"))
+    return np.cumsum(begin - end)[:n] > 0
+
+
+def in_batches(rows, names: list[str], most: int = SPANS):
+    """Record batches of the columns of ``rows`` (a tuple of arrays each), closed at ``most`` rows."""
+    held, n = [], 0
+    for columns in rows:
+        held.append(columns)
+        n += len(columns[0])
+        if n >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
+
+
 def dedup_spans(
     docs: DataFrame, run_parts: int = 2, run_words: int = 6, long_words: int = 12, one_in: int = 8
 ) -> DataFrame:
@@ -71,17 +93,16 @@ def dedup_spans(
     arrow_batches(docs.sparkSession)
 
     def every(batches):
-        for batch in batches:
-            out = []
+        def found(batch):
             for id_, key, text in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), texts(batch)):
                 words, begin, end = parts(text, long_words, one_in)
                 a, b = spans(begin, end, run_parts, run_words)
                 if len(a):
                     run, h = (words.run(begin[a], end[b - 1], lane).view(np.int64) for lane in (0, 1))
-                    out.append((run, h, np.full(len(a), id_), np.full(len(a), key), a.astype(np.int32), b.astype(np.int32)))
-            if out:
-                made = [pa.array(np.concatenate(c)) for c in zip(*out)]
-                yield pa.RecordBatch.from_arrays(made, names=[*ORDER, "end"])
+                    yield run, h, np.full(len(a), id_), np.full(len(a), key), a.astype(np.int32), b.astype(np.int32)
+
+        for batch in batches:
+            yield from in_batches(found(batch), [*ORDER, "end"])
 
     found = named(docs).mapInArrow(every, "run long, h long, id long, key long, begin int, end int")
     again, _ = neighbours(found.withColumn("at", F.lit(0)), "spans", tests=False)
@@ -89,21 +110,18 @@ def dedup_spans(
 
     def cut(batches):
         for batch in batches:
-            kept, total, removed = [], [], []
-            for text, gone in zip(texts(batch), batch.column("gone").to_pylist()):
+            kept, total, removed, gone = [], [], [], batch.column("gone")
+            loses = np.diff(gone.offsets.to_numpy()) > 0
+            for row, text in enumerate(texts(batch)):
                 total.append(None)
                 removed.append(0)
-                if gone:
+                if loses[row]:
                     _, begin, _ = parts(text, long_words, one_in)
-                    drop = np.zeros(len(begin) + 1, np.int64)
-                    for g in gone:
-                        drop[g["begin"]] += 1
-                        drop[g["end"]] -= 1
-                    covered = np.cumsum(drop)[: len(begin)] > 0
-                    total[-1], removed[-1] = len(begin), int(covered.sum())
+                    drop = covered(gone, row, len(begin))
+                    total[-1], removed[-1] = len(begin), int(drop.sum())
                     spots = [m.start() for m in WORD.finditer(text)]
                     cuts = [0, *(spots[k] for k in begin[1:].tolist()), len(text)]
-                    text = b"".join(text[a:b] for a, b, c in zip(cuts, cuts[1:], covered) if not c)
+                    text = b"".join(text[a:b] for a, b, c in zip(cuts, cuts[1:], drop) if not c)
                 kept.append(text.decode())
             kept = pa.array(kept, pa.string())
             kept = pa.compute.if_else(batch.column("text").is_null(), pa.scalar(None, pa.string()), kept)

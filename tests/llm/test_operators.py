@@ -765,6 +765,24 @@ def test_sentence_spans_match_brute_force(spark, docs, clash, monkeypatch, arrow
     assert spans.dedup_spans(empty(spark)).count() == 0
 
 
+def test_lost_spans_of_a_batch_stay_small():
+    """Many spans lost by the texts of one batch are read where they lie, and spans leave in batches of bounded size."""
+    import tracemalloc
+
+    begin = np.tile(np.arange(2_000, dtype=np.int32), 100)
+    pairs = pa.StructArray.from_arrays([pa.array(begin), pa.array(begin + 2)], ["begin", "end"])
+    gone = pa.ListArray.from_arrays(pa.array([0, 0, *range(2_000, 200_001, 2_000)], pa.int32()), pairs)
+    tracemalloc.start()
+    try:
+        found = [int(spans.covered(gone, k, 2_005).sum()) for k in range(1, 101)]
+        assert tracemalloc.get_traced_memory()[1] < 2_000_000  # a dict for each span took 68 MB
+    finally:
+        tracemalloc.stop()
+    assert found == [2_001] * 100 and not spans.covered(gone, 0, 5).any() and spans.covered(gone.slice(1), 0, 2_005).sum() == 2_001
+    sizes = [b.num_rows for b in spans.in_batches(((np.arange(7),) for _ in range(10)), ["x"], 20)]
+    assert sizes == [21, 21, 21, 7] and list(spans.in_batches([], ["x"])) == []
+
+
 @pytest.mark.parametrize("lengths", [[15, 8, 5], [40, 6], [6, 40], [45, 3, 4], [12, 12, 4, 3], [3, 4, 20, 2], [1, 1, 6], [4, 4], [3, 4], [4, 3, 2]])
 def test_repeated_runs_are_covered_to_their_end(lengths):
     unique = iter(range(10**6))
