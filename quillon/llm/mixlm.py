@@ -8,8 +8,9 @@ of the token so far, and all of it with its class. A predictor's table holds how
 context and code position over all training texts. The predictions, as log odds, are combined by weights chosen by a
 gate (the place in the token and how often the token so far was seen); a calibration table refines the result. Weights
 and calibration are fitted online over all distinct training tokens, each predicted by what its other occurrences
-counted, in runs of the table that hashes choose, and averaged. This probability is mixed with the token's share in the table of counts, which
-grows with the corpus; the weight of the two, for each class, comes from all counts as well.
+counted. The pass goes through the table once, in rounds of one run, two, four and so on: every run of a round goes on
+from the weights that all rounds before have learned, and only what runs of one round learned side by side is averaged.
+This probability is mixed with the token's share in the table of counts, which grows with the corpus; the weight of the two, for each class, comes from all counts as well.
 
 What the text says of it. As a text is coded, its own words are counted, and which followed which. A token is predicted
 from what followed the word before it in this text so far, else from the words of this text so far, else from the
@@ -199,6 +200,7 @@ class Model:
         self.counts, self.code = counts, code
         self.weights = np.full((len(WIDTHS), GATES), 1.0 / len(WIDTHS))
         self.table = np.tile(1 / (1 + np.exp(-np.linspace(-CLIP, CLIP, CELLS))), GATES)
+        self.hits, self.total = 20.0 * self.table, np.full(GATES * CELLS, 20.0)
 
     def fit(self, words: list[bytes], classes: np.ndarray, n: np.ndarray, weights: np.ndarray, hits: np.ndarray, total: np.ndarray) -> None:
         """One online pass over tokens counted ``n`` times; each is predicted without one occurrence of its own."""
@@ -219,13 +221,12 @@ class Model:
                 total += np.bincount(cell, weights=w, minlength=len(hits))
 
     def settle(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        """Take the weights of several passes, averaged by the bits behind them, and the calibration of all."""
-        hits, total = 20.0 * self.table, np.full(GATES * CELLS, 20.0)
+        """Go on with the weights of passes that began with these, averaged by the bits behind them, and the calibration of all so far."""
         sums, behind = 50.0 * self.weights, np.full(GATES, 50.0)
         for weights, h, t in parts:
             bits = t.reshape(GATES, CELLS).sum(axis=1)
-            sums, behind, hits, total = sums + weights * bits, behind + bits, hits + h, total + t
-        self.weights, self.table = (sums / behind).astype(np.float32), (hits / total).astype(np.float32)
+            sums, behind, self.hits, self.total = sums + weights * bits, behind + bits, self.hits + h, self.total + t
+        self.weights, self.table = (sums / behind).astype(np.float32), (self.hits / self.total).astype(np.float32)
 
     def bits(self, words: list[bytes], classes: np.ndarray) -> np.ndarray:
         """Coding cost of each token."""
@@ -361,37 +362,49 @@ def in_runs(batches, size: int):
         yield joined()
 
 
+def rounds_of(runs: int) -> list[tuple[int, int]]:
+    """The first run of each round and the one behind its last; each round has as many runs as all before it and one more."""
+    cuts = [0]
+    while cuts[-1] < runs:
+        cuts.append(min(2 * cuts[-1] + 1, runs))
+    return list(zip(cuts, cuts[1:]))
+
+
 def fitted(tokens: DataFrame, code):
-    """The model of all training tokens and its counters as they were broadcast: counted, then weights and calibration by online passes.
+    """The model of all training tokens and its counters as they were broadcast: counted, then weights and calibration by one online pass.
 
     Tokens are dealt to runs of about ``RUN`` by hash, each in the order of another hash, so neither the number of
-    partitions nor their order changes a weight.
+    partitions nor their order changes a weight. A round is a job; its runs begin with the weights of the rounds before.
     """
     spark = tokens.sparkSession
     counted = spark.sparkContext.broadcast(bit_counts(tokens, code))
     model = Model(counted.value, code)
     known = tokens.where("n > 0")
     runs = max(1, -(-known.count() // RUN))
-
-    def learn(batches):
-        mine, now, state = None, None, None
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), *(pa.array([x.astype("<f8").tobytes()], pa.binary()) for x in state)], names=["run", "weights", "hits", "total"])
-        for run, words, classes, n in in_runs(batches, TOKENS):
-            mine = mine or Model(counted.value, code)
-            if run != now:
-                if now is not None:
-                    yield out()
-                now, state = run, (np.full((len(WIDTHS), GATES), 1.0 / len(WIDTHS)), np.zeros(GATES * CELLS), np.zeros(GATES * CELLS))
-            mine.fit(words, classes, n, *state)
-        if now is not None:
-            yield out()
-
-    dealt = known.select(F.pmod(F.xxhash64("word", "class"), F.lit(runs)).alias("run"), "word", "class", "n")
-    dealt = dealt.repartitionById(min(runs, shuffle_parts(spark)), F.col("run").cast("int")).sortWithinPartitions("run", F.hash("word", "class"), "word", "class")
-    parts = materialize(dealt.mapInArrow(learn, "run long, weights binary, hits binary, total binary"), "lm-weights")
+    dealt = known.select(F.pmod(F.xxhash64("word", "class"), F.lit(runs)).cast("int").alias("run"), "word", "class", "n")
     shape = {"weights": (len(WIDTHS), GATES), "hits": (-1,), "total": (-1,)}
-    found = (tuple(np.frombuffer(r[c], "<f8").reshape(shape[c]) for c in shape) for r in parts.orderBy("run").toLocalIterator())
-    model.settle(found)
+
+    def learned(first: int, behind: int, start: np.ndarray) -> DataFrame:
+        def learn(batches):
+            mine, now, state = None, None, None
+            out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), *(pa.array([x.astype("<f8").tobytes()], pa.binary()) for x in state)], names=["run", "weights", "hits", "total"])
+            for run, words, classes, n in in_runs(batches, TOKENS):
+                mine = mine or Model(counted.value, code)
+                if run != now:
+                    if now is not None:
+                        yield out()
+                    now, state = run, (start.astype(np.float64), np.zeros(GATES * CELLS), np.zeros(GATES * CELLS))
+                mine.fit(words, classes, n, *state)
+            if now is not None:
+                yield out()
+
+        mine = dealt.where((F.col("run") >= first) & (F.col("run") < behind))
+        mine = mine.repartitionById(min(behind - first, shuffle_parts(spark)), F.col("run") - first).sortWithinPartitions("run", F.hash("word", "class"), "word", "class")
+        return mine.mapInArrow(learn, "run long, weights binary, hits binary, total binary")
+
+    for first, behind in rounds_of(runs):
+        parts = materialize(learned(first, behind, model.weights), "lm-weights")
+        model.settle(tuple(np.frombuffer(r[c], "<f8").reshape(shape[c]) for c in shape) for r in parts.orderBy("run").toLocalIterator())
     return model, counted
 
 

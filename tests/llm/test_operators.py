@@ -678,6 +678,33 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     assert found[0].keys() == found[1].keys() and all(abs(found[0][k] - found[1][k]) < 1e-6 for k in found[0])
 
 
+def test_weights_are_carried_on_from_round_to_round(spark, monkeypatch):
+    """Each run goes on from what all rounds before have learned: the weights of one pass made here, run by run."""
+    monkeypatch.setattr(mixlm, "RUN", 8)
+    rng = random.Random(6)
+    rows = sorted({("".join(rng.choices("abcde", k=rng.randint(1, 5))).encode(), rng.randrange(2)) for _ in range(40)})
+    tokens = spark.createDataFrame([(w, k, rng.randint(0, 5)) for w, k in rows], "word binary, class int, n long")
+    code = mixlm.prefix_code(mixlm.byte_counts(tokens))
+    model, _ = mixlm.fitted(tokens, code)
+    known = tokens.where("n > 0")
+    runs = -(-known.count() // 8)
+    assert runs >= 4 and mixlm.rounds_of(runs)[:2] == [(0, 1), (1, 3)] and mixlm.rounds_of(1) == [(0, 1)]
+    dealt = known.withColumn("run", F.expr(f"pmod(xxhash64(word, class), {runs})")).orderBy("run", F.hash("word", "class"), "word", "class").collect()
+    mine, last = mixlm.Model(model.counts, code), None
+    for first, behind in mixlm.rounds_of(runs):
+        parts = []
+        for run in range(first, behind):
+            part = [r for r in dealt if r["run"] == run]
+            state = mine.weights.astype(float), np.zeros(mixlm.GATES * mixlm.CELLS), np.zeros(mixlm.GATES * mixlm.CELLS)
+            if part:
+                mine.fit([bytes(r["word"]) for r in part], np.array([r["class"] for r in part]), np.array([r["n"] for r in part]), *state)
+                parts.append(state)
+        last = mine.weights
+        mine.settle(parts)
+    assert np.allclose(mine.weights, model.weights, atol=1e-6) and np.allclose(mine.table, model.table, atol=1e-6)
+    assert not np.allclose(last, np.full_like(last, 1 / len(mixlm.WIDTHS)))
+
+
 def test_runs_are_cut_alike_however_batches_lie():
     table = pa.table({"run": [0] * 7 + [2] * 3 + [3] * 5, "word": [bytes([65 + k]) for k in range(15)], "class": list(range(15)), "n": list(range(15))})
     cut = lambda size: [(r, w, c.tolist(), n.tolist()) for r, w, c, n in mixlm.in_runs(table.to_batches(max_chunksize=size), 3)]
