@@ -8,7 +8,7 @@ of the token so far, and all of it with its class. A predictor's table holds how
 context and code position over all training texts. The predictions, as log odds, are combined by weights chosen by a
 gate (the place in the token and how often the token so far was seen); a calibration table refines the result. Weights
 and calibration are fitted online over all distinct training tokens, each predicted by what its other occurrences
-counted. The pass goes through the table once, in rounds of one run, two, four and so on: every run of a round goes on
+counted. The pass goes through the table once, in rounds of one run, eight, 64 and so on: every run of a round goes on
 from the weights that all rounds before have learned, and only what runs of one round learned side by side is averaged.
 This probability is mixed with the token's share in the table of counts, which grows with the corpus; the weight of the two, for each class, comes from all counts as well.
 
@@ -363,10 +363,10 @@ def in_runs(batches, size: int):
 
 
 def rounds_of(runs: int) -> list[tuple[int, int]]:
-    """The first run of each round and the one behind its last; each round has as many runs as all before it and one more."""
+    """The first run of each round and the one behind its last; each ends at eight times as many runs and one more, as a round reads the table anew."""
     cuts = [0]
     while cuts[-1] < runs:
-        cuts.append(min(2 * cuts[-1] + 1, runs))
+        cuts.append(min(8 * cuts[-1] + 1, runs))
     return list(zip(cuts, cuts[1:]))
 
 

@@ -688,7 +688,7 @@ def test_weights_are_carried_on_from_round_to_round(spark, monkeypatch):
     model, _ = mixlm.fitted(tokens, code)
     known = tokens.where("n > 0")
     runs = -(-known.count() // 8)
-    assert runs >= 4 and mixlm.rounds_of(runs)[:2] == [(0, 1), (1, 3)] and mixlm.rounds_of(1) == [(0, 1)]
+    assert runs >= 4 and mixlm.rounds_of(runs)[0] == (0, 1) and mixlm.rounds_of(1) == [(0, 1)] and mixlm.rounds_of(57) == [(0, 1), (1, 9), (9, 57)]
     dealt = known.withColumn("run", F.expr(f"pmod(xxhash64(word, class), {runs})")).orderBy("run", F.hash("word", "class"), "word", "class").collect()
     mine, last = mixlm.Model(model.counts, code), None
     for first, behind in mixlm.rounds_of(runs):
